@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm.sample import bounded_texts
 from quillspark.llm.spans import IDS
 from quillspark.session import load
 
@@ -325,10 +326,9 @@ def fitted(spark: SparkSession, sf_dir: str):
     """The editor's weights, as a broadcast of fixed size (2^BITS rows) and the distinct words of TRAIN_ROWS texts."""
     df = None
     for table in ("passages", "source_sentences"):
-        part = load(spark, sf_dir, table).where("text is not null and origin = 'text'").select("text")
+        part = load(spark, sf_dir, table).where("origin = 'text'").select("text")
         df = part if df is None else df.unionByName(part)
-    texts = [r["text"] for r in df.orderBy(F.xxhash64("text"), "text").limit(TRAIN_ROWS).collect()]
-    return spark.sparkContext.broadcast(train(texts))
+    return spark.sparkContext.broadcast(train(bounded_texts(df, TRAIN_ROWS)))
 
 
 def repaired(records: DataFrame, model) -> DataFrame:
