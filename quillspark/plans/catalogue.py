@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.plans import corpus_queries, overlap_queries, retrieval_queries, review_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (retrieval_queries, overlap_queries, corpus_queries, review_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
