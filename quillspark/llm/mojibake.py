@@ -117,6 +117,7 @@ def decode_single(text: str, encoding: str) -> tuple[str, int]:
 
 
 WIDE = re.compile(r"[^\x00-\x7f]{2,}")
+DENSE = re.compile("[\u2e80-\uffef]")
 UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2})+")
 
 
@@ -141,7 +142,6 @@ def decode_double(text: str, encoding: str) -> tuple[str, int]:
     return WIDE.sub(put, text), spans
 
 
-WORD = re.compile(r"[^\s\x00-\x40\[-`{-\x7f]+")
 #: Letters with what a mistaken encoding puts between them: a capital or a symbol where a small letter belongs.
 ODD_INSIDE = re.compile(r"[a-z][À-ÖØ-ÞŠŒŽŸ](?=[a-z]|$)|[a-zß-öø-ÿ][\u0080-¿×÷ˆ-˝–-›∀-◿†‡‰€™ﬁﬂΩπ∂∑∏∫√ƒµ](?=[a-z])|[a-z][А-Яа-яЁёΑ-ω](?=[a-z]|$)|^[А-яΑ-ω][a-z]{2}|(?<![^\s])[¡-¿÷∀-◿·](?=[a-z]{3})|[a-z]{2}[²-¿÷∀-◿]$")
 LATIN_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž][a-zß-öø-ÿā-ž]*")
@@ -205,30 +205,30 @@ def reread_greek(word: str) -> str | None:
 
 
 PIECE = re.compile(r"[^\s\x21-\x40\[-`{-\x7f]+")
+RUN = re.compile(r"[^\x00-\x7f]{2,}")
 
 
 def reread_words(text: str) -> tuple[str, int]:
     """Words read with a wrong single-byte encoding, restored; the number of runs of them that carry enough evidence."""
     found = 0
-    if ODD_INSIDE.search(text):
-        odd = {w for w in PIECE.findall(text) if is_odd(w)}
-        if odd:  # one pair of encodings for the whole text: the one that reads most of the odd words
-            pair = max(LATIN_PAIRS, key=lambda p: sum(reread_latin(w, *p) is not None for w in odd))
-            words = {w: n for w in set(PIECE.findall(text)) if not w.isascii() and (n := reread_latin(w, *pair)) and (w in odd or not LATIN_WORD.fullmatch(w))}
-            text = PIECE.sub(lambda m: words.get(m.group(), m.group()), text)
-            found += 1
-    if CYRILLIC_SEEN.search(text) or GREEK_SEEN.search(text):
-        words = [(m.start(), m.end(), m.group()) for m in ALPHA.finditer(text) if not m.group().isascii()]
-        greek = [(s, e, w) for s, e, g in words if GREEK_SEEN.fullmatch(g) and (w := reread_greek(g))]
-        accented = sum(len(ACCENT.findall(w)) == 1 for _, _, w in greek)
-        if len(greek) >= 3 and accented >= 0.6 * len(greek):  # a Greek word carries one accent
-            hits = greek
-        else:
-            hits = [(s, e, w) for s, e, g in words if len(g) > 2 and (CYRILLIC_SEEN.fullmatch(g) or GREEK_SEEN.fullmatch(g)) and (w := reread_cyrillic(g))]
-        if len(hits) >= 3:
-            found += 1
-            for s, e, w in reversed(hits):
-                text = text[:s] + w + text[e:]
+    pieces = {p for w in set(text.split()) if not w.isascii() for p in PIECE.findall(w) if not p.isascii()}
+    odd = {w for w in pieces if is_odd(w)}
+    if odd:  # one pair of encodings for the whole text: the one that reads most of the odd words
+        pair = max(LATIN_PAIRS, key=lambda p: sum(reread_latin(w, *p) is not None for w in odd))
+        words = {w: n for w in pieces if (n := reread_latin(w, *pair)) and (w in odd or not LATIN_WORD.fullmatch(w))}
+        text = PIECE.sub(lambda m: words.get(m.group(), m.group()), text)
+        found += 1
+        pieces = {p for w in set(text.split()) if not w.isascii() for p in PIECE.findall(w) if not p.isascii()}
+    candidates = {g for p in pieces for g in ALPHA.findall(p) if len(g) > 2}
+    greek = {g: w for g in candidates if GREEK_SEEN.fullmatch(g) and (w := reread_greek(g))}
+    accented = sum(len(ACCENT.findall(w)) == 1 for w in greek.values())
+    if len(greek) >= 3 and accented >= 0.6 * len(greek):  # a Greek word carries one accent
+        hits = greek
+    else:
+        hits = {g: w for g in candidates if (CYRILLIC_SEEN.fullmatch(g) or GREEK_SEEN.fullmatch(g)) and (w := reread_cyrillic(g))}
+    if len(hits) >= 3 or (hits and sum(len(re.findall(rf"\b{re.escape(g)}\b", text)) for g in hits) >= 3):
+        found += 1
+        text = ALPHA.sub(lambda m: hits.get(m.group(), m.group()), text)
     return text, found
 
 
@@ -236,16 +236,19 @@ def repair(text: str) -> tuple[str, bool, bool]:
     """Restored text, whether the text is affected, and whether all of it could be restored."""
     if text.isascii():
         return text, False, True
-    affected, lost = False, "�" in text
+    affected, lost = False, "\ufffd" in text
     for _ in range(3):  # wrong twice: the first round uncovers the second
+        probe = " ".join(set(RUN.findall(text)))  # spans lie within runs beyond ASCII; each distinct run is looked at once
+        if not probe:
+            break
         best, most = text, 0
         for encoding in SINGLE:
-            if automaton(encoding).search(text):
+            if automaton(encoding).search(probe):
                 new, spans = decode_single(text, encoding)
                 gain = len(text) - len(new)
                 if spans and gain > most:
                     best, most = new, gain
-        if any("⺀" <= c for c in text):
+        if DENSE.search(probe):
             for encoding in DOUBLE:
                 new, spans = decode_double(text, encoding)
                 if spans and len(text) - len(new) > most:
@@ -256,7 +259,7 @@ def repair(text: str) -> tuple[str, bool, bool]:
     new, words = reread_words(text)
     if words:
         text, affected = new, True
-    lost = lost or "�" in text
+    lost = lost or "\ufffd" in text
     return text, affected or lost, not lost
 
 
