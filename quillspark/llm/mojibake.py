@@ -82,11 +82,15 @@ SCRIPTS = re.compile(r"[ -ſΆ-ώЀ-џҐ-ґ؀-ۿऀ-ॿ฀-๿Ḁ-ỿ‐-⁯⁰
 LETTER_LEADS = frozenset(("cp1252", "cp1250", "cp1254", "iso8859_2"))
 
 
-def plausible(text: str, start: int, end: int, decoded: str, encoding: str) -> bool:
+#: Encodings of which a span of letters alone counts once the text holds spans that are none.
+SURE_AFTER = frozenset(("cp1251", "cp1253", "iso8859_7", "cp437", "cp850", "mac_roman"))
+
+
+def plausible(text: str, start: int, end: int, decoded: str, encoding: str, sure: bool = False) -> bool:
     """Whether a decoded span may replace [start, end) of the text."""
     if not SCRIPTS.fullmatch(decoded):
         return False
-    if encoding not in LETTER_LEADS and text[start:end].isalpha():
+    if encoding not in LETTER_LEADS and not sure and text[start:end].isalpha():
         return False
     if len(decoded) > 1 and end - start > 3:
         return True
@@ -100,7 +104,7 @@ def plausible(text: str, start: int, end: int, decoded: str, encoding: str) -> b
 
 def decode_single(text: str, encoding: str) -> tuple[str, int]:
     """The text with its well-formed spans decoded, and the number of spans."""
-    table, spans = char_bytes(encoding), 0
+    table, spans, sure = char_bytes(encoding), 0, False
 
     def put(m: re.Match[str]) -> str:
         nonlocal spans
@@ -108,12 +112,16 @@ def decode_single(text: str, encoding: str) -> tuple[str, int]:
             decoded = bytes(table[ord(c)] for c in m.group()).decode("utf-8")
         except UnicodeDecodeError:
             return m.group()
-        if not plausible(text, m.start(), m.end(), decoded, encoding):
+        if not plausible(text, m.start(), m.end(), decoded, encoding, sure):
             return m.group()
         spans += 1
         return decoded
 
-    return automaton(encoding).sub(put, text), spans
+    new = automaton(encoding).sub(put, text)
+    if spans >= 2 and encoding in SURE_AFTER:
+        spans, sure = 0, True
+        new = automaton(encoding).sub(put, text)
+    return new, spans
 
 
 WIDE = re.compile(r"[^\x00-\x7f]{2,}")
@@ -183,16 +191,36 @@ def _russian(word: str) -> float:
     return sum(log(RUSSIAN.get(c, 1) / 10_000) for c in word.lower()) / len(word)
 
 
+#: Mean gain in log-likelihood a letter from which a reading of Russian words is better than what stands there.
+RUSSIAN_GAIN = 0.3
+RUSSIAN_WORD = re.compile("[А-ЯЁ]?[а-яё]+")
+
+
 @lru_cache(maxsize=65536)
-def reread_cyrillic(word: str) -> str | None:
-    """A Russian word that another Cyrillic (or Latin) encoding turned into other letters: better by far when read again."""
-    odd_case = bool(re.match(r".+[А-ЯЁÀ-ÖØ-Þ]", word))
-    best, score = None, (_russian(word) if CYRILLIC_SEEN.fullmatch(word) else -9.0) + (0.45 if odd_case else 1.2)
-    for read, written in CYRILLIC_PAIRS:
-        w = reread(word, read, written)
-        if w and CYRILLIC_SEEN.fullmatch(w) and re.fullmatch(r"[А-ЯЁ]?[а-яё]+", w) and _russian(w) > score:
-            best, score = w, _russian(w)
-    return best
+def reread_cyrillic(word: str) -> tuple[tuple[tuple[str, str], str, float], ...]:
+    """Readings of a word as a Russian one: the pair of encodings, the word in proper case, and its gain over all letters."""
+    now = _russian(word) if CYRILLIC_SEEN.fullmatch(word) else -9.0
+    out = []
+    for pair in CYRILLIC_PAIRS:
+        w = reread(word, *pair)
+        if w and w != word and RUSSIAN_WORD.fullmatch(w):
+            out.append((pair, w, (_russian(w) - now) * len(w)))
+    return tuple(out)
+
+
+def russian_words(words: set[str]) -> dict[str, str]:
+    """Words of a text restored by the one pair of encodings that gains most, if it gains enough over all words it can read."""
+    gains: dict[tuple[str, str], float] = {}
+    letters: dict[tuple[str, str], int] = {}
+    read: dict[tuple[str, str], dict[str, str]] = {}
+    for word in words:
+        for pair, w, gain in reread_cyrillic(word):
+            gains[pair] = gains.get(pair, 0.0) + gain
+            letters[pair] = letters.get(pair, 0) + len(w)
+            read.setdefault(pair, {})[word] = w
+    most = max(map(len, read.values()), default=0)
+    good = [p for p in gains if gains[p] >= RUSSIAN_GAIN * letters[p] and len(read[p]) >= max(3, 0.6 * most)]
+    return read[max(good, key=lambda p: gains[p] / letters[p])] if good else {}
 
 
 @lru_cache(maxsize=65536)
@@ -225,8 +253,8 @@ def reread_words(text: str) -> tuple[str, int]:
     if len(greek) >= 3 and accented >= 0.6 * len(greek):  # a Greek word carries one accent
         hits = greek
     else:
-        hits = {g: w for g in candidates if (CYRILLIC_SEEN.fullmatch(g) or GREEK_SEEN.fullmatch(g)) and (w := reread_cyrillic(g))}
-    if len(hits) >= 3 or (hits and sum(len(re.findall(rf"\b{re.escape(g)}\b", text)) for g in hits) >= 3):
+        hits = russian_words({g for g in candidates if CYRILLIC_SEEN.fullmatch(g) or GREEK_SEEN.fullmatch(g)})
+    if hits:
         found += 1
         text = ALPHA.sub(lambda m: hits.get(m.group(), m.group()), text)
     return text, found
