@@ -57,9 +57,9 @@ def fingerprint_changes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def passages_latest(spark: SparkSession, d: str) -> DataFrame:
-    """One record per passage_id: the latest delivery."""
+    """One record per passage_id: the latest delivery; unknown pages and texts count as 0."""
     p = load(spark, d, "passages").select("passage_id", "citekey", "label", "page", F.length("text").cast("long").alias("chars"), "loaded_at")
-    return corpus.latest(p, "passage_id", "loaded_at").drop("loaded_at")
+    return corpus.latest(p, "passage_id", "loaded_at").drop("loaded_at").fillna(0, ["page", "chars"])
 
 
 def collection_names(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def text_digests(spark: SparkSession, d: str) -> DataFrame:
 
 def passage_labels(spark: SparkSession, d: str) -> DataFrame:
     """Passages by label with their words; blank and page-less ones apart."""
-    rows = load(spark, d, "passages").select("label", (F.col("page") >= 1).alias("paged"), F.coalesce(F.size(T.words(F.col("text"))), F.lit(0)).alias("words"))
+    rows = load(spark, d, "passages").select("label", F.coalesce(F.col("page") >= 1, F.lit(False)).alias("paged"), F.coalesce(F.size(T.words(F.col("text"))), F.lit(0)).alias("words"))
     return rows.groupBy("label", "paged").agg(F.count("*").alias("passages"), F.sum(F.greatest("words", F.lit(0))).alias("words"))
 
 
@@ -214,7 +214,7 @@ SQL = {
     "failure_counts": "SELECT CASE WHEN pdf_resolution IN ('malformed file field', 'non-PDF attachment only') THEN 'deterministic' ELSE 'transient' END AS failure_kind, count(*) AS n FROM refs WHERE pdf_resolution <> 'resolved' GROUP BY 1",
     "fingerprint_changes": """WITH p AS (SELECT citekey AS key, concat_ws('-', max(page), min(page)) AS fp FROM passages WHERE citekey IS NOT NULL GROUP BY 1), c AS (SELECT citekey AS key, concat_ws('-', max(page), min(page)) AS fp FROM source_sentences WHERE citekey IS NOT NULL GROUP BY 1)
         SELECT coalesce(p.key, c.key) AS key, CASE WHEN c.key IS NULL THEN 'dropped' WHEN p.key IS NULL OR p.fp <> c.fp THEN 'rebuilt' ELSE 'unchanged' END AS state FROM p FULL JOIN c ON p.key = c.key""",
-    "passages_latest": "SELECT passage_id, citekey, label, page, CAST(length(text) AS BIGINT) AS chars FROM passages QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY loaded_at DESC) = 1",
+    "passages_latest": "SELECT passage_id, citekey, label, coalesce(page, 0) AS page, CAST(coalesce(length(text), 0) AS BIGINT) AS chars FROM passages QUALIFY row_number() OVER (PARTITION BY passage_id ORDER BY loaded_at DESC) = 1",
     "collection_names": """WITH p AS (SELECT ref_id, string_split(unnest(collections), ' > ') AS s FROM refs), a AS (SELECT ref_id, unnest(list_transform(range(1, len(s) + 1), lambda i: array_to_string(list_slice(s, 1, i), ' > '))) AS collection FROM p)
         SELECT collection, count(DISTINCT ref_id) AS entries FROM a GROUP BY 1""",
     "collection_members": "SELECT ref_id, citekey FROM refs WHERE len(list_filter(collections, lambda c: lower(c) = 'twins' OR starts_with(lower(c), 'twins > '))) > 0",
@@ -242,7 +242,7 @@ SQL = {
         SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(level AS BIGINT) AS level, title, CAST(coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, n) AS BIGINT) AS end_line FROM h""",
     "paragraph_counts": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda b: trim(translate(b, chr(10) || chr(12), '  ')) <> '')) AS BIGINT) AS paragraphs FROM documents WHERE text IS NOT NULL",
     "text_digests": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "passage_labels": f"SELECT label, page >= 1 AS paged, count(*) AS passages, CAST(sum(coalesce(len({_WORDS}), 0)) AS BIGINT) AS words FROM passages GROUP BY ALL",
+    "passage_labels": f"SELECT label, coalesce(page >= 1, false) AS paged, count(*) AS passages, CAST(sum(coalesce(len({_WORDS}), 0)) AS BIGINT) AS words FROM passages GROUP BY ALL",
     "box_overlaps": """WITH p AS (SELECT passage_id, any_value(citekey) AS citekey, any_value(page) AS page, any_value(bbox) AS b FROM passages WHERE bbox IS NOT NULL AND page IS NOT NULL AND citekey IS NOT NULL GROUP BY 1)
         SELECT a.passage_id AS a_id, b.passage_id AS b_id FROM p a JOIN p b ON a.citekey = b.citekey AND a.page = b.page AND a.passage_id < b.passage_id
         WHERE least(a.b[3], b.b[3]) - greatest(a.b[1], b.b[1]) > 1 AND least(a.b[4], b.b[4]) - greatest(a.b[2], b.b[2]) > 1

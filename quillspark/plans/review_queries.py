@@ -63,7 +63,7 @@ def claim_words(spark: SparkSession, d: str) -> DataFrame:
 
 def provenance_best_passage(spark: SparkSession, d: str) -> DataFrame:
     claims = load(spark, d, "draft_sentences").select(F.col("sent_id").alias("claim_id"), F.explode(F.array_distinct("citekeys")).alias("citekey"), "text")
-    return review.provenance(claims, load(spark, d, "passages").dropDuplicates(["passage_id"]))
+    return review.provenance(claims, load(spark, d, "passages").dropDuplicates(["passage_id"])).fillna(0, ["passage_id"])
 
 
 def provenance_bands(spark: SparkSession, d: str) -> DataFrame:
@@ -95,10 +95,10 @@ def first_appearance_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interpolated_cost(spark: SparkSession, d: str) -> DataFrame:
-    """Per user the value at the middle of each run of events: nearest points below and above, linearly between."""
+    """Per user the gaps between events, and the sum of the values on both sides of each: twice the sum of interpolated middles."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = load(spark, d, "events").select("user_id", "event_id", "value", F.lead("value").over(w).alias("next"))
-    return e.where("next is not null").groupBy("user_id").agg(F.count("*").alias("gaps"), F.round(F.sum((F.col("value") + F.col("next")) / 2), 2).alias("between"))
+    return e.where("next is not null").groupBy("user_id").agg(F.count("*").alias("gaps"), F.round(F.sum(F.col("value") + F.col("next")), 2).alias("both_sides"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -123,14 +123,14 @@ def doc_mean_pool(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_membership(spark: SparkSession, d: str) -> DataFrame:
-    return topics.memberships(load(spark, d, "embeddings"), "embedding", "label", "vec_id").withColumn("weight", F.round("weight", 4))
+    return topics.memberships(load(spark, d, "embeddings"), "embedding", "label", "vec_id")
 
 
 def topic_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Documents near the first vector of each label."""
     e = load(spark, d, "embeddings")
     seeds = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("seed_vector")).select(F.col("label").alias("seed"), "seed_vector")
-    return topics.seed_matches(seeds, e).withColumn("score", F.round("score", 4))
+    return topics.seed_matches(seeds, e)
 
 
 def topic_converged(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +143,7 @@ def topic_converged(spark: SparkSession, d: str) -> DataFrame:
         ab, aa, bb = sum(x * y for x, y in zip(a, b, strict=True)), sum(x * x for x in a), sum(y * y for y in b)
         return ab / (aa * bb) ** 0.5 if aa and bb else 0.0
 
-    pairs = topics.greedy_pairs([(cosine(s["v"], c["centroid"]), str(s["label"]), str(c["label"])) for s in seeds for c in cents])
+    pairs = topics.greedy_pairs([(cosine(s["v"], c["centroid"]), str(s["label"]), str(c["label"])) for s in seeds for c in cents], floor=0.15)
     return spark.createDataFrame([(p, t, round(x, 4)) for p, t, x in pairs], "phrase string, topic string, score double")
 
 
@@ -168,28 +168,28 @@ def _dot(a: str, b: str) -> str:
 SQL = {
     "used_keys": f"WITH {_CITED} SELECT key, CAST(pos AS BIGINT) AS pos, citekey FROM c",
     "citation_gate": f"WITH {_CITED} SELECT citekey, count(*) AS uses, min(key) AS first_key FROM c WHERE citekey NOT IN (SELECT citekey FROM refs) GROUP BY 1",
-    "citation_numbers": """WITH e AS (SELECT draft, sent_id, unnest(range(0, len(citekeys))) AS pos, unnest(citekeys) AS citekey FROM draft_sentences), f AS (SELECT draft, citekey, min((sent_id, pos)) AS at FROM e GROUP BY 1, 2)
-        SELECT draft AS "group", CAST(row_number() OVER (PARTITION BY draft ORDER BY at, citekey) AS BIGINT) AS number, citekey FROM f""",
+    "citation_numbers": """WITH e AS (SELECT draft, sent_id, unnest(range(0, len(citekeys))) AS pos, unnest(citekeys) AS citekey FROM draft_sentences), f AS (SELECT draft, citekey, min((sent_id, pos)) AS first_at FROM e GROUP BY 1, 2)
+        SELECT draft AS "group", CAST(row_number() OVER (PARTITION BY draft ORDER BY first_at, citekey) AS BIGINT) AS number, citekey FROM f""",
     "section_keys": "SELECT draft, coalesce(section, 'Unassigned') AS section, array_to_string(list_sort(list_distinct(list(k))), ',') AS keys FROM (SELECT draft, section, unnest(citekeys) AS k FROM draft_sentences) GROUP BY 1, 2",
     "synthesis_report": """WITH u AS (SELECT draft, len(list_distinct(citekeys)) AS n FROM draft_sentences)
         SELECT draft, count_if(n >= 1)::BIGINT AS citing, count_if(n = 0)::BIGINT AS uncited, count_if(n = 1)::BIGINT AS single_source, count_if(n > 1)::BIGINT AS multi_source, round(100.0e0 * count_if(n = 1) / nullif(count_if(n >= 1), 0), 4) AS single_percent FROM u GROUP BY 1""",
-    "longest_single_run": """WITH u AS (SELECT draft, sent_id AS at, CASE WHEN len(list_distinct(citekeys)) = 1 THEN citekeys[1] END AS only FROM draft_sentences),
-        o AS (SELECT *, CASE WHEN only IS NOT NULL AND only = lag(only) OVER w THEN 0 ELSE 1 END AS opened FROM u WINDOW w AS (PARTITION BY draft ORDER BY at)),
-        r AS (SELECT *, sum(opened) OVER (PARTITION BY draft ORDER BY at) AS run FROM o), g AS (SELECT draft, only, count(*) AS length, min(at) AS at FROM r WHERE only IS NOT NULL GROUP BY draft, run, only)
-        SELECT draft, only AS citekey, length FROM g QUALIFY row_number() OVER (PARTITION BY draft ORDER BY length DESC, at) = 1""",
+    "longest_single_run": """WITH u AS (SELECT draft, sent_id AS first_at, CASE WHEN len(list_distinct(citekeys)) = 1 THEN citekeys[1] END AS one_key FROM draft_sentences),
+        o AS (SELECT *, CASE WHEN one_key IS NOT NULL AND one_key = lag(one_key) OVER w THEN 0 ELSE 1 END AS opened FROM u WINDOW w AS (PARTITION BY draft ORDER BY first_at)),
+        r AS (SELECT *, sum(opened) OVER (PARTITION BY draft ORDER BY first_at) AS run FROM o), g AS (SELECT draft, one_key, count(*) AS length, min(first_at) AS first_at FROM r WHERE one_key IS NOT NULL GROUP BY draft, run, one_key)
+        SELECT draft, one_key AS citekey, length FROM g QUALIFY row_number() OVER (PARTITION BY draft ORDER BY length DESC, first_at) = 1""",
     "uncited_claims": "SELECT draft, count(*) AS claims, count_if(NOT cites)::BIGINT AS uncited, count_if(NOT cites AND block_cites)::BIGINT AS bare, round(count_if(NOT cites) / count(*)::DOUBLE, 4) AS share FROM claim_sentences GROUP BY 1",
     "uncited_order": "SELECT draft, claim_id, CAST(row_number() OVER (PARTITION BY draft ORDER BY block_cites, line, claim_id) AS BIGINT) AS rank, substr(sha256(text), 1, 12) AS finding_id FROM claim_sentences WHERE NOT cites",
     "claim_words": """WITH t AS (SELECT claim_id, trim(regexp_replace(regexp_replace(text, '\\[@[^\\]]+\\]|\\\\cite[tp]?\\{[^}]*\\}', ' ', 'g'), ' {2,}', ' ', 'g')) AS t FROM claim_sentences WHERE text IS NOT NULL)
         SELECT claim_id, CAST(len(regexp_extract_all(lower(t), '[a-z0-9]+')) AS BIGINT) AS words, len(regexp_extract_all(t, '[A-Za-z]{3,}')) < 12 AS pointer FROM t""",
-    "provenance_best_passage": f"WITH {_PROVENANCE} SELECT claim_id, citekey, score, passage_id FROM b",
+    "provenance_best_passage": f"WITH {_PROVENANCE} SELECT claim_id, citekey, score, coalesce(passage_id, 0) AS passage_id FROM b",
     "provenance_bands": f"WITH {_PROVENANCE} SELECT CASE WHEN score < 0.20 THEN 'none' WHEN score < 0.50 THEN 'weak' ELSE 'supported' END AS band, count(*) AS n FROM b GROUP BY 1",
     "registry_repeats": "SELECT key, count(DISTINCT unit) AS units, count(*) AS uses FROM (SELECT unnest(citekeys) AS key, draft AS unit FROM draft_sentences) GROUP BY 1 HAVING count(DISTINCT unit) > 1",
     "log_cost_by_segment": """WITH s AS (SELECT user_id, event_type, value, CAST(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM events)
         SELECT user_id, segment, count(*) AS calls, round(sum(value), 2) AS cost FROM s WHERE event_type <> 'signup' GROUP BY 1, 2""",
     "longest_event_run": """WITH o AS (SELECT user_id, ts, event_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS opened FROM events),
         r AS (SELECT user_id, sum(opened) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM o), g AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY 1, 2) SELECT user_id, max(n) AS longest FROM g GROUP BY 1""",
-    "first_appearance_order": "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS at FROM events GROUP BY 1, 2) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY at, event_type) AS BIGINT) AS number, event_type FROM f",
-    "interpolated_cost": "WITH e AS (SELECT user_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) SELECT user_id, count(*) AS gaps, round(sum((value + next) / 2), 2) AS between FROM e WHERE next IS NOT NULL GROUP BY 1",
+    "first_appearance_order": "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first_at FROM events GROUP BY 1, 2) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_at, event_type) AS BIGINT) AS number, event_type FROM f",
+    "interpolated_cost": "WITH e AS (SELECT user_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) SELECT user_id, count(*) AS gaps, round(sum(value + next), 2) AS both_sides FROM e WHERE next IS NOT NULL GROUP BY 1",
     "vector_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label AS source, round({_D2}, 4) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0),
         c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY distance, vec_id) <= 3)
         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank FROM c QUALIFY rank <= 10""",
@@ -201,9 +201,9 @@ SQL = {
         v AS (SELECT vec_id, label, list_transform(list_zip(embedding, mean), lambda z: z[1]::DOUBLE - z[2]) AS v FROM embeddings CROSS JOIN mm),
         w AS (SELECT vec_id, label, CAST(topic AS VARCHAR) AS topic, round(coalesce({_dot('v', 'c')} / nullif(sqrt({_dot('v', 'v')}) * sqrt({_dot('c', 'c')}), 0), 0), 6) AS weight FROM v CROSS JOIN c),
         r AS (SELECT *, max(weight) OVER (PARTITION BY vec_id) AS best, row_number() OVER (PARTITION BY vec_id ORDER BY weight DESC, topic) AS rk FROM w)
-        SELECT vec_id, topic, round(weight, 4) AS weight FROM r WHERE (weight > 0 AND weight >= 0.5e0 * best AND rk <= 8) OR topic = CAST(label AS VARCHAR)""",
+        SELECT vec_id, topic, weight FROM r WHERE (weight > 0 AND weight >= 0.5e0 * best AND rk <= 8) OR topic = CAST(label AS VARCHAR)""",
     "topic_seeds": f"""WITH s AS (SELECT label AS seed, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY 1),
         m AS (SELECT seed, vec_id AS key, round({_dot('v', 'embedding')} / (sqrt({_dot('v', 'v')}) * sqrt({_dot('embedding', 'embedding')})), 6) AS score FROM embeddings CROSS JOIN s),
         k AS (SELECT *, count(*) OVER (PARTITION BY seed) AS considered, CAST(row_number() OVER (PARTITION BY seed ORDER BY score DESC, key) AS BIGINT) AS rank FROM m WHERE score >= 0.15)
-        SELECT seed, key, round(score, 4) AS score, considered, rank FROM k WHERE rank <= 25""",
+        SELECT seed, key, score, considered, rank FROM k WHERE rank <= 25""",
 }
