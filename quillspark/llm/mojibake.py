@@ -29,7 +29,7 @@ DOUBLE = ("gbk", "cp932", "big5", "euc_jp")
 #: (read with, written in): single-byte encodings mistaken for each other, by script.
 LATIN_PAIRS = tuple((r, w) for w in ("cp1252", "cp1250", "iso8859_2") for r in ("cp850", "cp437", "mac_roman", "cp1252", "cp1250", "cp1251", "cp1253", "cp866", "koi8_r") if r != w and not {r, w} <= {"cp1250", "iso8859_2"})
 GREEK_PAIRS = tuple((r, "cp1253") for r in ("cp1252", "cp1250", "cp1251", "cp850", "cp437", "mac_roman")) + (("cp1252", "iso8859_7"),)
-CYRILLIC_PAIRS = tuple((r, w) for w in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic") for r in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp1252", "cp850", "cp437", "mac_roman") if r != w)
+CYRILLIC_PAIRS = (("cp1251", "koi8_r"), ("koi8_r", "cp1251")) + tuple((r, w) for w in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic") for r in ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp1252", "cp850", "cp437", "mac_roman") if r != w and {r, w} != {"cp1251", "koi8_r"})
 
 #: Share of the letters of Russian text, in hundredths of a percent (fixed values).
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (1097, 845, 801, 735, 670, 626, 547, 473, 454, 440, 349, 321, 298, 281, 262, 201, 190, 174, 170, 165, 159, 144, 121, 97, 94, 73, 64, 48, 36, 32, 26, 4, 4), strict=True))
@@ -220,7 +220,8 @@ def russian_words(words: set[str]) -> dict[str, str]:
             read.setdefault(pair, {})[word] = w
     most = max(map(len, read.values()), default=0)
     good = [p for p in gains if gains[p] >= RUSSIAN_GAIN * letters[p] and len(read[p]) >= max(3, 0.6 * most)]
-    return read[max(good, key=lambda p: gains[p] / letters[p])] if good else {}
+    best = max((gains[p] / letters[p] for p in good), default=0.0)
+    return next((read[p] for p in CYRILLIC_PAIRS if p in good and gains[p] >= 0.6 * best * letters[p]), {})
 
 
 @lru_cache(maxsize=65536)
