@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.words import mix, word_hashes, words_text
-from quillspark.session import load
+from quillspark.session import load, spread
 
 #: Consecutive words of an item that make a leak; shorter items must stand as a whole.
 RUN_WORDS = 13
@@ -148,7 +148,7 @@ def overlaps(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Null and word-less texts have none; an id that stands in several rows keeps its longest overlaps.
     """
-    docs = documents.where(F.col("text").isNotNull()).select("doc_id", words_text(F.col("text")).alias("words"))
+    docs = spread(documents.where(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", words_text(F.col("text")).alias("words"))
     found = None
     for block in item_blocks(items):
         part = docs.mapInArrow(_match(block), SCHEMA)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from quillspark.session import cut_lineage, load
+from quillspark.session import cut_lineage, load, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Documents that are rounded together.
@@ -52,7 +52,7 @@ def token_counter(path: str):
 
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens), written once; documents without source or tokens are left out, repeated ids count once."""
-    df = documents.where(F.col("source").isNotNull() & F.col("text").isNotNull())
+    df = spread(documents.where(F.col("source").isNotNull() & F.col("text").isNotNull()))
     return df.select("doc_id", "source", token_counter(tokenizer)(F.col("text")).alias("tokens")).where("tokens > 0")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.session import load
+from quillspark.session import load, spread
 
 #: Single-byte encodings through which UTF-8 is read by mistake, and encodings of two bytes.
 SINGLE = ("cp1252", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "cp1253", "cp1254", "mac_cyrillic")
@@ -309,7 +309,7 @@ def _repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repaired(documents: DataFrame) -> DataFrame:
     """Affected documents with their restored text. Null, empty and plain ASCII texts are never affected and stay in the JVM."""
-    return documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]")).mapInArrow(_repair, SCHEMA)
+    return spread(documents.select("doc_id", "text").where(F.col("text").rlike(r"[^\x00-\x7f]"))).mapInArrow(_repair, SCHEMA)
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.sample import bounded_texts
 from quillspark.llm.spans import IDS
-from quillspark.session import load
+from quillspark.session import load, spread
 
 #: Clean rows the editor is trained on: the first of them by a hash of their text.
 TRAIN_ROWS = 8_000
@@ -273,8 +273,8 @@ def join_lines(lines: list[str]) -> tuple[str, bool]:
         if not out:
             out = s
         elif CUT.search(out):
-            word = re.match(r"[^\W\d_]*", s).group()
-            if word and s[0].islower() and word.lower() not in SUSPENDED or s[0] in "|!1056" and not s[:2].isdigit() and re.match(r"[|!\d][a-z]", s):
+            word = re.match(r"[|!\d]?[^\W\d_]+", s)
+            if word and not word.group()[:2].isupper() and not s[0].isupper() and word.group() not in SUSPENDED:
                 out, cut = out.rstrip()[:-1] + s, True
             else:
                 out += " " + s
@@ -333,7 +333,7 @@ def fitted(spark: SparkSession, sf_dir: str):
 
 def repaired(records: DataFrame, model) -> DataFrame:
     """(rec_table, rec_id, paragraph, noise): repaired text and kinds of noise of each record; null texts have none."""
-    return records.where("text is not null").mapInArrow(_repair(model), "rec_table string, rec_id long, paragraph string, noise array<string>")
+    return spread(records.where("text is not null")).mapInArrow(_repair(model), "rec_table string, rec_id long, paragraph string, noise array<string>")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
