@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import spread
 
 N = 8
 
 
 def positions(rows: DataFrame, key: str, text: str, n: int = N) -> DataFrame:
-    """(key, pos, gram) of every run of n words; texts with fewer words and null texts have none."""
-    return rows.select(F.col(key).alias("key"), F.posexplode(T.ngrams(T.words(F.col(text)), n)).alias("pos", "gram"))
+    """(key, pos, gram) of every run of n words; texts with fewer words and null texts have none.
+
+    Words are a column of their own first: as part of the expression of the grams they would be found anew for each gram.
+    """
+    tokens = spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", T.words(F.col("text")).alias("tokens"))
+    return tokens.select("key", F.posexplode(T.ngrams(F.col("tokens"), n)).alias("pos", "gram"))
 
 
 def matches(drafts: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -66,7 +71,8 @@ def document_frequency(postings: DataFrame) -> DataFrame:
 
 def profile(findings: DataFrame, df: DataFrame, n: int = N) -> DataFrame:
     """Per finding (id, fragment): grams and least, median and greatest document frequency of its grams; 0 for unknown ones."""
-    grams = findings.select("id", F.explode(T.ngrams(T.words(F.col("fragment")), n)).alias("gram"))
+    tokens = findings.select("id", T.words(F.col("fragment")).alias("tokens"))
+    grams = tokens.select("id", F.explode(T.ngrams(F.col("tokens"), n)).alias("gram"))
     counts = grams.join(df.select("gram", "df"), "gram", "left").fillna(0, ["df"])
     return counts.groupBy("id").agg(F.count("*").alias("grams"), F.min("df").alias("min_df"), F.floor(F.median("df")).cast("long").alias("median_df"), F.max("df").alias("max_df"))
 

@@ -9,13 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import cut_lineage, spread
 
 K1, B = 1.5, 0.75
+#: Query terms that are held in the plan and broadcast; beyond, joins are shuffled.
+MOST_TERMS = 20_000
 
 
 def corpus_of(documents: DataFrame, *extra: str) -> DataFrame:
     """(key, text) of the documents, and further columns by name."""
-    return documents.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+    return spread(documents.select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("text"), *extra))
 
 
 def term_frequencies(corpus: DataFrame) -> DataFrame:
@@ -42,19 +45,27 @@ def term_stats(corpus: DataFrame) -> DataFrame:
 def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of documents that hold a term of the query.
 
-    queries: (query_id, query). A term counts once per query. Only postings of query terms leave the scan stage: the tokens are
-    filtered by a join with the terms of the queries (a stated query set) before they are counted.
+    queries: (query_id, query), a stated set; a term counts once per query. The corpus is read and tokenised once: of each document
+    its length and its tokens that are query terms are kept, and everything else works on this small table. Up to MOST_TERMS
+    terms the tokens are filtered as they are read; beyond, all tokens are kept and met with the terms by a shuffled join.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.bm25_tokens(F.col("query")))).alias("term")).distinct()
+    known = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(known) <= MOST_TERMS
     tokens = corpus.select("key", T.bm25_tokens(F.col("text")).alias("tokens"))
-    sized = tokens.select("key", F.size("tokens").cast("long").alias("length"), "tokens")
-    total = sized.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))  # one row
-    postings = sized.select("key", "length", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    hits = F.filter("tokens", lambda w: w.isin(known)) if few else F.col("tokens")
+    kept = cut_lineage(tokens.select("key", F.size("tokens").cast("long").alias("length"), hits.alias("hits")), "bm25")
+    total = kept.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))  # one row
+    occurrences = kept.select("key", "length", F.explode("hits").alias("term"))
+    if not few:
+        occurrences = occurrences.join(terms.select("term").distinct(), "term", "left_semi")
+    postings = occurrences.groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
+    df = kept.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = terms.join(df, "term")
     norm = F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avgdl")
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    hits = postings.join(df, "term").crossJoin(F.broadcast(total)).join(terms, "term").groupBy("query_id", "key").agg(F.sum(weight).alias("score"))
-    return hits.where("score > 0")
+    met = postings.join(F.broadcast(weights) if few else weights, "term")  # bounded by the queries' terms
+    return met.crossJoin(F.broadcast(total)).groupBy("query_id", "key").agg(F.sum(weight).alias("score")).where("score > 0")
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

@@ -145,7 +145,8 @@ def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(T.chunks(T.words(F.col("text")))).alias("chunk", "text"))
+    tokens = load(spark, d, "documents").where("text is not null").select("doc_id", T.words(F.col("text")).alias("w"))
+    rows = tokens.select("doc_id", F.posexplode(T.chunks(F.col("w"))).alias("chunk", "text"))
     return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.md5("text").alias("digest"))
 
 

@@ -110,7 +110,7 @@ def posting_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def gram_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Postings of the first gram of each finding: a semi-join on the gram."""
-    first = load(spark, d, "overlap_df").select(F.element_at(T.ngrams(T.words(F.col("fragment")), 8), 1).alias("gram")).distinct()
+    first = load(spark, d, "overlap_df").select(F.array_join(F.slice(T.words(F.col("fragment")), 1, 8), " ").alias("gram")).distinct()
     p = load(spark, d, "gram_postings").select(T.claim_key(F.col("gram")).alias("gram"), "citekey", "page", "position").where("citekey is not null")
     return p.join(first, "gram", "left_semi").distinct()
 
@@ -257,14 +257,15 @@ def keys_in_use(spark: SparkSession, d: str) -> DataFrame:
 
 def sentence_windows(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 20 words every 10 over claims, by digest."""
-    rows = load(spark, d, "claim_sentences").where("text is not null").select("claim_id", F.posexplode(structure.word_windows(T.words(F.col("text")))).alias("pos", "w"))
+    tokens = load(spark, d, "claim_sentences").where("text is not null").select("claim_id", T.words(F.col("text")).alias("w"))
+    rows = tokens.select("claim_id", F.posexplode(structure.word_windows(F.col("w"))).alias("pos", "w"))
     return rows.select("claim_id", F.col("pos").cast("long").alias("window"), F.md5("w").alias("digest"))
 
 
 def swapped_claims(spark: SparkSession, d: str) -> DataFrame:
     """Claims with every fourth word swapped, and the 8-grams that survive: none."""
-    w = T.words(F.col("text"))
-    rows = load(spark, d, "claim_sentences").where("text is not null").select("claim_id", w.alias("w"), structure.swap_every(w, 4, "x").alias("s"))
+    tokens = load(spark, d, "claim_sentences").where("text is not null").select("claim_id", T.words(F.col("text")).alias("w"))
+    rows = tokens.select("claim_id", "w", structure.swap_every(F.col("w"), 4, "x").alias("s"))
     return rows.select("claim_id", F.md5(F.array_join("s", " ")).alias("digest"), F.size(F.array_intersect(T.ngrams(F.col("w"), 8), T.ngrams(F.col("s"), 8))).cast("long").alias("shared"))
 
 
