@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 # The stop lists of ranked search and of passage scoring.
 BM25_STOP = ("a", "an", "the", "of", "on", "in", "for", "and", "to", "with", "is", "are", "be", "this", "that", "as", "by", "from", "at")
 PASSAGE_STOP = (*BM25_STOP, "it", "its", "can", "has", "have", "was", "were", "which", "such", "these", "those", "their", "than", "then", "but", "not", "also")
+# The stop list of the skip-gram tier.
+SKIP_STOP = tuple("""
+a an the and or but if then else when while as of to in on at by for with about against between into through during before
+after above below from up down out off over under again further once here there all any both each few more most other some such
+no nor not only own same so than too very s t can will just don should now is am are was were be been being have has had having
+do does did doing would could might must shall this that these those it its it's he she they we you i him her them us our your
+their his ours yours theirs myself yourself himself herself itself ourselves yourselves themselves what which who whom
+""".split())
 #: Bibliography fields that are kept (fixed values of the ledger's whitelist that occur in practice).
 KEPT_FIELDS = ("booktitle", "journal", "number", "pages", "publisher", "volume")
 CITE_MARKER = r"\[@[^\]]+\]|\\cite[tp]?\{[^}]*\}"

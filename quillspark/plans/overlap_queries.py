@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.functions import udf
 from quillspark.operators import corpus, overlap
 from quillspark.plans.retrieval_queries import grams_sql
 from quillspark.session import load
@@ -109,19 +108,7 @@ def finding_order(spark: SparkSession, d: str) -> DataFrame:
     return findings_latest(spark, d).select("id", "citekey", "span_words", "line").orderBy(F.desc("span_words"), "citekey", "line", "id").limit(25)
 
 
-def skipgram_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Stemmed 5-grams of every other word, per source sentence: the keys of the second tier."""
-    words = load(spark, d, "source_sentences").select(F.col("src_id").alias("key"), F.posexplode(T.words(F.col("text"))).alias("pos", "word"))
-    stems = words.join(udf.stemmed_vocabulary(words, "word"), "word")
-    stop = F.col("word").isin(*T.PASSAGE_STOP)
-    families = stems.where(~stop).groupBy("key", (F.col("pos") % 2).alias("family")).agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("s"))
-    grams = F.transform(F.sequence(F.lit(1), F.size("s") - 4), lambda i: F.struct(F.element_at("s", i)["pos"].alias("start"), F.array_join(F.transform(F.slice("s", i, 5), lambda x: x["stem"]), " ").alias("gram")))
-    rows = families.where(F.size("s") >= 5).select("key", F.explode(grams).alias("g")).select("key", "g.start", "g.gram")
-    numeric = F.size(F.filter(F.split("gram", " "), lambda x: x.rlike("^[0-9]+$")))
-    return rows.where(numeric < 2.5)
-
-
-QUERIES = {f.__name__: f for f in (exact_postings_join, exact_runs, exact_findings, finding_ids, findings_latest, severity_counts, gram_df_profile, finding_profiles, gate_threshold_sweep, df_threshold_sweep, recheck_diff, jaccard_shared_ngrams, draft_spans, containment_suppression, intersection_suppression, finding_order, skipgram_keys)}
+QUERIES = {f.__name__: f for f in (exact_postings_join, exact_runs, exact_findings, finding_ids, findings_latest, severity_counts, gram_df_profile, finding_profiles, gate_threshold_sweep, df_threshold_sweep, recheck_diff, jaccard_shared_ngrams, draft_spans, containment_suppression, intersection_suppression, finding_order)}
 
 
 def _positions(table: str, key: str) -> str:
