@@ -23,6 +23,8 @@ from quillspark.session import cut_lineage, load
 
 #: Most distinct keys of a bucket.
 BUCKET_KEYS = 100_000
+#: Classes of more copies than this meet their members without a shuffle.
+HOT_COPIES = 1_000_000
 #: Distinct keys a map task holds before it sends them.
 FLUSH_KEYS = 500_000
 
@@ -202,12 +204,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(first_ref_id, ref_id) for each entry that isn't the first of its group of copies.
 
     Null and blank fields are missing, and agree with missing only. A repeated row is a copy of itself and has no row here.
-    Classes of one entry leave before the join; what remains meets its members by the key, and the engine's skew join splits
-    a class that holds a large part of the rows.
+    Classes of one entry leave before the join. Classes of more than HOT_COPIES entries, of which there are at most
+    rows / HOT_COPIES, are sent to their members where these stand, so that the shuffled join has no hot key.
     """
-    entries = keyed(load(spark, sf_dir, "refs"))
-    many = classes(entries).where("copies > 1").select("key", F.col("first").alias("first_ref_id"))
-    return entries.join(many, "key").where(F.col("id") != F.col("first_ref_id")).select("first_ref_id", F.col("id").alias("ref_id")).distinct()
+    entries = cut_lineage(keyed(load(spark, sf_dir, "refs")), "keys")
+    many = cut_lineage(classes(entries).where("copies > 1").select("key", F.col("first").alias("first_ref_id"), "copies"), "classes")
+    hot, rest = F.broadcast(many.where(F.col("copies") > HOT_COPIES)), many.where(F.col("copies") <= HOT_COPIES)
+    found = entries.join(hot, "key").unionByName(entries.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
+    return found.where(F.col("id") != F.col("first_ref_id")).select("first_ref_id", F.col("id").alias("ref_id")).distinct()
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from quillspark.session import cut_lineage, load
 
 RARE_BELOW, COMMON_FROM = 3, 25
 FLUSH_ROWS = 1_000_000
+#: Values whose numbers are broadcast (some 50 MB), and tasks over which a value is spread beyond.
+BROADCAST_VALUES, SALTS = 1_000_000, 32
 #: A sorted array up to this many numbers, above it a bitmap (8192 bytes, which no array has).
 ARRAY_MOST = 4095
 SCHEMA = "term string, high long, container binary, postings long"
@@ -115,8 +117,8 @@ def _counts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["term", "records", "postings"])
 
 
-def numbered(values: DataFrame, column: str) -> DataFrame:
-    """Distinct values with dense numbers from 0: a range sort, sizes of its partitions (a few numbers), and offsets."""
+def numbered(values: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """Distinct values with dense numbers from 0, and how many there are: a range sort, sizes of its partitions, and offsets."""
     parted = cut_lineage(values.where(F.col(column).isNotNull()).select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id()), "values")
     sizes = parted.groupBy("part").count().orderBy("part").collect()  # as many rows as partitions
     offset, pairs = 0, []
@@ -124,11 +126,23 @@ def numbered(values: DataFrame, column: str) -> DataFrame:
         pairs += [F.lit(r["part"]), F.lit(offset)]
         offset += r["count"]
     if not pairs:
-        return parted.select(column, F.lit(0).cast("long").alias("number"))
+        return parted.select(column, F.lit(0).cast("long").alias("number")), 0
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return parted.select(column, (rank + F.create_map(*pairs)[F.col("part")]).cast("long").alias("number"))
+    return parted.select(column, (rank + F.create_map(*pairs)[F.col("part")]).cast("long").alias("number")), offset
+
+
+def with_numbers(rows: DataFrame, column: str) -> DataFrame:
+    """rows with the number of a value: sent to the rows if there are at most BROADCAST_VALUES, else met in a salted join.
+
+    One value may stand in a third of the rows; the salt, taken from the term, spreads it over SALTS tasks.
+    """
+    numbers, n = numbered(rows, column)
+    if n <= BROADCAST_VALUES:
+        return rows.join(F.broadcast(numbers), column)
+    salted = numbers.withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, [column, "salt"])
 
 
 def term_counts(postings: DataFrame, text: str, record: str) -> DataFrame:
@@ -138,7 +152,7 @@ def term_counts(postings: DataFrame, text: str, record: str) -> DataFrame:
     as a record. An empty table gives an empty result.
     """
     rows = postings.select(term(F.col(text)).alias("term"), F.col(record).alias("record")).where("term <> '' and record is not null")
-    rows = rows.join(numbered(rows, "record"), "record").select("term", "number")
+    rows = with_numbers(rows, "record").select("term", "number")
     parts = rows.mapInArrow(_build, SCHEMA).repartition(F.col("term"), F.col("high")).sortWithinPartitions("term", "high")
     merged = parts.mapInArrow(_merge, COUNTS)
     return merged.groupBy("term").agg(F.sum("records").alias("records"), F.sum("postings").alias("postings"))

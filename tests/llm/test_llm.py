@@ -69,10 +69,13 @@ def test_classes_against_brute_force(spark, most):
     assert radix_copies.classes(spark.createDataFrame([], "id long, key binary"), most).count() == 0
 
 
-def test_found_copies_with_nulls_repeats_and_extra_columns(spark, tables):
+def test_found_copies_with_nulls_repeats_and_extra_columns(spark, tables, monkeypatch):
     rows = [(1, "T a", None, ""), (2, "t-A", " ", None), (3, "t a", "10.1/x", None), (4, None, None, None), (5, "", None, None), (2, "t-A", " ", None)]
     df = spark.createDataFrame(rows, "ref_id long, title string, doi string, url string").withColumn("key", F.lit("clash")).withColumn("first", F.lit(0))
-    assert sorted(map(tuple, radix_copies.p1_found(spark, tables(refs=df)).collect())) == [(1, 2), (4, 5)]
+    d = tables(refs=df)
+    assert sorted(map(tuple, radix_copies.p1_found(spark, d).collect())) == [(1, 2), (4, 5)]
+    monkeypatch.setattr(radix_copies, "HOT_COPIES", 2)  # the class of three copies (one repeated row) is hot
+    assert sorted(map(tuple, radix_copies.p1_found(spark, d).collect())) == [(1, 2), (4, 5)]
 
 
 # ---------------------------------------------------------------- 2 spans
@@ -139,7 +142,9 @@ def test_containers():
     assert term_bitmaps.cardinality(term_bitmaps.union([term_bitmaps.pack(a), term_bitmaps.pack(b)])) == 9000
 
 
-def test_term_counts_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_term_counts_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(term_bitmaps, "BROADCAST_VALUES", most)
     rng = random.Random(4)
     rows = [(rng.choice(["a b", "A, b", "c", "", None, "??"]), rng.choice(["k1", "k2", "k3", None])) for _ in range(400)]
     got = {r["term"]: (r["records"], r["postings"]) for r in term_bitmaps.term_counts(spark.createDataFrame(rows, "gram string, citekey string"), "gram", "citekey").collect()}
