@@ -8,15 +8,35 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 
+def set_digest(rows: DataFrame, group: list[str], column: str) -> DataFrame:
+    """(group, members, digest, first): size, order-free digest and least element of each group's set of values.
+
+    The digest is a sum over distinct values of part of their hash. It combines map-side, so a group of any size is never held
+    in one place, as sorting and joining its values would require.
+    """
+    part = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 7), 16, 10).cast("long")
+    distinct = rows.where(F.col(column).isNotNull()).select(*group, column).distinct()
+    return distinct.groupBy(*group).agg(F.count("*").alias("members"), F.sum(part).alias("digest"), F.min(column).alias("first"))
+
+
 def duplicates(refs: DataFrame) -> DataFrame:
-    """(kind, value, keys): keys that share a normalised doi or title; the same keys are reported once, by doi first."""
+    """(kind, value, members, first): doi and title values that several keys share; the same keys are reported once, by doi first.
+
+    Groups are told apart by size, digest and least key, not by lists of keys; duplicate_members lists the keys.
+    """
+    groups = set_digest(keyed_values(refs), ["kind", "value"], "citekey").where("members >= 2")
+    return groups.groupBy("members", "digest", "first").agg(F.min(F.struct("kind", "value")).alias("r")).select("r.kind", "r.value", "members", "first")
+
+
+def keyed_values(refs: DataFrame) -> DataFrame:
+    """(kind, value, citekey): normalised doi and title of each entry, blank ones left out."""
+    pairs = F.array(F.struct(F.lit("doi").alias("kind"), T.normal_doi(F.col("doi")).alias("value")), F.struct(F.lit("title").alias("kind"), T.normal_title(F.col("title")).alias("value")))
+    return refs.select("citekey", F.explode(pairs).alias("p")).select("p.kind", "p.value", "citekey").where("value is not null and value <> ''")
 
-    def by(kind: str, value) -> DataFrame:
-        rows = refs.select("citekey", value.alias("value")).where("value is not null and value <> ''")
-        return rows.groupBy("value").agg(F.sort_array(F.collect_set("citekey")).alias("keys")).where(F.size("keys") >= 2).select(F.lit(kind).alias("kind"), "value", F.array_join("keys", ",").alias("keys"))
 
-    both = by("doi", T.normal_doi(F.col("doi"))).unionByName(by("title", T.normal_title(F.col("title"))))
-    return both.groupBy("keys").agg(F.min_by(F.struct("kind", "value"), F.struct("kind", "value")).alias("r")).select("r.kind", "r.value", "keys")
+def duplicate_members(refs: DataFrame) -> DataFrame:
+    """(citekey, kind, value) of every entry of a reported group."""
+    return keyed_values(refs).distinct().join(duplicates(refs).select("kind", "value"), ["kind", "value"], "left_semi").select("citekey", "kind", "value")
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -61,11 +81,6 @@ def collection_names(refs: DataFrame) -> DataFrame:
     return paths.select("ref_id", F.explode(T.collection_ancestors(F.col("path"))).alias("collection")).groupBy("collection").agg(F.count_distinct("ref_id").alias("entries"))
 
 
-def key_digest(rows: DataFrame, column: str) -> DataFrame:
-    """(group, digest): twelve digits of the digest of a group's sorted distinct keys; input (group, column)."""
-    return rows.groupBy("group").agg(F.substring(F.sha2(F.array_join(F.sort_array(F.collect_set(column)), "\n"), 256), 1, 12).alias("digest"))
-
-
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """One row per key, the one with the latest time: deliveries collapse to records (a map-side maximum, no window sort)."""
     others = [c for c in rows.columns if c != key]

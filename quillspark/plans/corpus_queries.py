@@ -14,6 +14,10 @@ def duplicate_groups(spark: SparkSession, d: str) -> DataFrame:
     return corpus.duplicates(load(spark, d, "refs"))
 
 
+def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.duplicate_members(load(spark, d, "refs"))
+
+
 def _delivery(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "refs").select("citekey", F.sha2("pdf_path", 256).alias("pdf_hash"))
 
@@ -72,13 +76,13 @@ def collection_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def key_digests(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.key_digest(load(spark, d, "refs").select(F.col("item_type").alias("group"), "citekey"), "citekey")
+    return corpus.set_digest(load(spark, d, "refs"), ["item_type"], "citekey").drop("first")
 
 
 def digest_states(spark: SparkSession, d: str) -> DataFrame:
     """Digest of the keys a draft cites against that of the keys its claims stand with."""
-    recorded = corpus.key_digest(load(spark, d, "overlap_df").select(F.col("draft").alias("group"), "citekey"), "citekey").withColumnRenamed("group", "key")
-    current = corpus.key_digest(load(spark, d, "draft_sentences").select(F.col("draft").alias("group"), F.explode("citekeys").alias("citekey")), "citekey").withColumnRenamed("group", "key")
+    recorded = corpus.set_digest(load(spark, d, "overlap_df").withColumnRenamed("draft", "key"), ["key"], "citekey")
+    current = corpus.set_digest(load(spark, d, "draft_sentences").select(F.col("draft").alias("key"), F.explode("citekeys").alias("citekey")), ["key"], "citekey")
     return review.status_of(recorded, current)
 
 
@@ -193,7 +197,7 @@ def length_fence(spark: SparkSession, d: str) -> DataFrame:
     return review.tukey_fence(load(spark, d, "documents").where("source is not null"), "source", "n_chars")
 
 
-_F = (duplicate_groups, ledger_upsert, stale_rows, ledger_pruned, status_counts, failure_counts, fingerprint_changes, passages_latest, collection_names, collection_members, key_digests, digest_states, citekey_problems, kept_fields, author_tokens, author_lists, ieee_entries, page_counts, page_words, parse_quality, content_chars, chunk_counts, chunk_texts, headings, paragraph_counts, text_digests, passage_labels, box_overlaps, fit_by_source, length_fence)
+_F = (duplicate_groups, duplicate_members, ledger_upsert, stale_rows, ledger_pruned, status_counts, failure_counts, fingerprint_changes, passages_latest, collection_names, collection_members, key_digests, digest_states, citekey_problems, kept_fields, author_tokens, author_lists, ieee_entries, page_counts, page_words, parse_quality, content_chars, chunk_counts, chunk_texts, headings, paragraph_counts, text_digests, passage_labels, box_overlaps, fit_by_source, length_fence)
 QUERIES = {f.__name__: f for f in _F}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
@@ -202,10 +206,18 @@ _DOI = "trim(regexp_replace(regexp_replace(lower(trim(doi)), '^https?://(dx\\.)?
 _TITLE = "trim(regexp_replace(lower(translate(title, '{}', '')), '[^a-z0-9]+', ' ', 'g'))"
 _CHUNKS = f"list_transform(range(0, len({_WORDS}), 160), lambda i: array_to_string(list_slice({_WORDS}, i + 1, i + 200), ' '))"
 
+_DUPLICATES = f"""r AS (SELECT 'doi' AS kind, {_DOI} AS value, citekey FROM refs WHERE doi IS NOT NULL UNION ALL SELECT 'title', {_TITLE}, citekey FROM refs WHERE title IS NOT NULL),
+    g AS (SELECT kind, value, array_to_string(list_sort(list_distinct(list(citekey))), ',') AS keys, count(DISTINCT citekey) AS members, min(citekey) AS first FROM r WHERE value <> '' GROUP BY kind, value HAVING count(DISTINCT citekey) >= 2),
+    d AS (SELECT kind, value, members, first FROM g QUALIFY row_number() OVER (PARTITION BY keys ORDER BY kind, value) = 1)"""
+
+
+def _digest(group: str, value: str, table: str) -> str:
+    return f"SELECT {group}, count(*) AS members, CAST(sum(CAST('0x' || substr(sha256({value}), 1, 7) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT {group}, {value} FROM {table} WHERE {value} IS NOT NULL) GROUP BY 1"
+
+
 SQL = {
-    "duplicate_groups": f"""WITH r AS (SELECT 'doi' AS kind, {_DOI} AS value, citekey FROM refs WHERE doi IS NOT NULL UNION ALL SELECT 'title', {_TITLE}, citekey FROM refs WHERE title IS NOT NULL),
-        g AS (SELECT kind, value, array_to_string(list_sort(list_distinct(list(citekey))), ',') AS keys FROM r WHERE value <> '' GROUP BY kind, value HAVING count(DISTINCT citekey) >= 2)
-        SELECT kind, value, keys FROM g QUALIFY row_number() OVER (PARTITION BY keys ORDER BY kind, value) = 1""",
+    "duplicate_groups": f"WITH {_DUPLICATES} SELECT kind, value, members, first FROM d",
+    "duplicate_members": f"WITH {_DUPLICATES} SELECT DISTINCT citekey, kind, value FROM r JOIN d USING (kind, value)",
     "ledger_upsert": f"""WITH {_DELIVERY}, j AS (SELECT coalesce(lg.citekey, dl.citekey) AS citekey, lg.citekey IS NOT NULL AS o, dl.citekey IS NOT NULL AS n, lg.pdf_hash AS oh, dl.pdf_hash AS nh, status FROM lg FULL JOIN dl ON lg.citekey = dl.citekey),
         a AS (SELECT *, CASE WHEN NOT o THEN 'insert' WHEN NOT n THEN 'stale' WHEN oh IS NOT DISTINCT FROM nh THEN 'keep' ELSE 'update' END AS action FROM j)
         SELECT citekey, CASE WHEN action IN ('keep', 'stale') THEN status WHEN nh IS NULL THEN 'no_pdf' ELSE 'discovered' END AS status, action FROM a""",
@@ -219,9 +231,9 @@ SQL = {
     "collection_names": """WITH p AS (SELECT ref_id, string_split(unnest(collections), ' > ') AS s FROM refs), a AS (SELECT ref_id, unnest(list_transform(range(1, len(s) + 1), lambda i: array_to_string(list_slice(s, 1, i), ' > '))) AS collection FROM p)
         SELECT collection, count(DISTINCT ref_id) AS entries FROM a GROUP BY 1""",
     "collection_members": "SELECT ref_id, citekey FROM refs WHERE len(list_filter(collections, lambda c: lower(c) = 'twins' OR starts_with(lower(c), 'twins > '))) > 0",
-    "key_digests": "SELECT item_type AS \"group\", substr(sha256(array_to_string(list_sort(list_distinct(list(citekey))), chr(10))), 1, 12) AS digest FROM refs GROUP BY 1",
-    "digest_states": """WITH r AS (SELECT draft AS key, sha256(array_to_string(list_sort(list_distinct(list(citekey))), chr(10))) AS old FROM overlap_df GROUP BY 1), c AS (SELECT draft AS key, sha256(array_to_string(list_sort(list_distinct(list(citekey))), chr(10))) AS new FROM (SELECT draft, unnest(citekeys) AS citekey FROM draft_sentences) GROUP BY 1)
-        SELECT key, CASE WHEN old IS NULL THEN 'unsigned' WHEN substr(old, 1, 12) <> substr(new, 1, 12) THEN 'changed' ELSE 'signed' END AS state FROM c LEFT JOIN r USING (key)""",
+    "key_digests": _digest("item_type", "citekey", "refs"),
+    "digest_states": f"""WITH r AS ({_digest('draft', 'citekey', 'overlap_df')}), c AS ({_digest('draft', 'citekey', '(SELECT draft, unnest(citekeys) AS citekey FROM draft_sentences)')})
+        SELECT c.draft AS key, CASE WHEN r.digest IS NULL THEN 'unsigned' WHEN r.digest <> c.digest THEN 'changed' ELSE 'signed' END AS state FROM c LEFT JOIN r ON r.draft = c.draft""",
     "citekey_problems": """SELECT CASE WHEN citekey IS NULL OR trim(citekey) = '' THEN 'empty' WHEN citekey IN ('.', '..') THEN 'reserved' WHEN regexp_matches(citekey, '[<>:"/\\\\|?*\\x00-\\x1f]') THEN 'illegal character' WHEN regexp_matches(citekey, '[. ]$') THEN 'trailing dot or space'
         WHEN regexp_matches(upper(split_part(citekey, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN 'device name' END AS problem, count(*) AS n FROM refs GROUP BY 1""",
     "kept_fields": f"""SELECT ref_id, nullif(coalesce(array_to_string(list_sort(list_transform(list_filter(map_entries(fields), lambda e: list_contains({list(T.KEPT_FIELDS)}, e.key) AND trim(e.value) <> ''), lambda e: e.key || '=' || e.value)), ';'), ''), '') AS kept FROM refs""",

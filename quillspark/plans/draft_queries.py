@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import udf
-from quillspark.operators import drafts, overlap
+from quillspark.operators import corpus, drafts, overlap
+from quillspark.plans.corpus_queries import _digest
 from quillspark.plans.overlap_queries import _HITS, _RUNS, findings_latest
 from quillspark.plans.review_queries import SQL as REVIEW_SQL
 from quillspark.plans.review_queries import topic_membership
@@ -80,7 +81,7 @@ def membership_score(spark: SparkSession, d: str) -> DataFrame:
 
 def unit_states(spark: SparkSession, d: str) -> DataFrame:
     """Drafts by state: accepted where claims are recorded and unchanged, by digests of their sentences and claims."""
-    digest = lambda t, c: load(spark, d, t).groupBy("draft").agg(F.sha2(F.array_join(F.sort_array(F.collect_set(c)), "\n"), 256).alias("h"))
+    digest = lambda t, c: corpus.set_digest(load(spark, d, t), ["draft"], c).select("draft", F.col("digest").alias("h"))
     units = digest("draft_sentences", "text").withColumnRenamed("h", "text").join(digest("overlap_df", "fragment").withColumnRenamed("h", "accepted_text"), "draft", "left")
     units = units.join(digest("draft_sentences", "section").withColumnRenamed("h", "inputs"), "draft", "left").withColumn("drafted_inputs", F.col("inputs")).withColumnRenamed("draft", "unit")
     return drafts.unit_state(units)
@@ -135,8 +136,8 @@ SQL = {
         SELECT key, CASE WHEN regexp_matches(f, '^#{1,6} ') THEN 'heading' WHEN regexp_matches(f, '^([-*+]|[0-9]+[.)]) ') THEN 'list' WHEN starts_with(f, '|') THEN 'table' WHEN starts_with(f, '>') THEN 'quote' ELSE 'paragraph' END AS kind, count(*) AS blocks FROM f GROUP BY 1, 2""",
     "membership_score": f"""WITH mem AS ({REVIEW_SQL['topic_membership']}), p AS (SELECT vec_id, count(*) AS n, max(weight) AS top FROM mem GROUP BY 1)
         SELECT round(avg(n), 4) AS topics, round(count_if(n > 1) / count(*)::DOUBLE, 4) AS plural, round(avg(top), 4) AS top_weight FROM p""",
-    "unit_states": """WITH t AS (SELECT draft, sha256(array_to_string(list_sort(list_distinct(list(text))), chr(10))) AS h FROM draft_sentences GROUP BY 1), a AS (SELECT draft, sha256(array_to_string(list_sort(list_distinct(list(fragment))), chr(10))) AS h FROM overlap_df GROUP BY 1)
-        SELECT t.draft AS unit, CASE WHEN t.h IS NULL THEN 'unwritten' WHEN a.h IS NULL THEN 'drafted' WHEN a.h <> t.h THEN 'stale draft' ELSE 'accepted' END AS state FROM t LEFT JOIN a ON a.draft = t.draft""",
+    "unit_states": f"""WITH t AS ({_digest('draft', 'text', 'draft_sentences')}), a AS ({_digest('draft', 'fragment', 'overlap_df')})
+        SELECT t.draft AS unit, CASE WHEN a.digest IS NULL THEN 'drafted' WHEN a.digest <> t.digest THEN 'stale draft' ELSE 'accepted' END AS state FROM t LEFT JOIN a ON a.draft = t.draft""",
     "findings_by_severity": """WITH f AS (SELECT *, CASE WHEN quoted AND cites_source THEN 'quoted' WHEN matched_words >= 15 THEN 'long' ELSE 'short' END AS sev FROM overlap_df QUALIFY row_number() OVER (PARTITION BY id ORDER BY scanned_at DESC) = 1)
         SELECT id, sev AS severity, CAST(row_number() OVER (PARTITION BY sev ORDER BY span_words DESC, citekey, line, id) AS BIGINT) AS place FROM f""",
 }

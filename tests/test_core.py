@@ -121,7 +121,8 @@ def test_suppression(spark):
 def test_duplicates_report_keys_once(spark):
     refs = spark.createDataFrame([("a", "T one", "10.1/x"), ("b", "t ONE", "doi:10.1/X"), ("c", "other", None), ("d", "Other!", "")], "citekey string, title string, doi string")
     got = sorted(tuple(r) for r in corpus.duplicates(refs).collect())
-    assert got == [("doi", "10.1/x", "a,b"), ("title", "other", "c,d")]
+    assert got == [("doi", "10.1/x", 2, "a"), ("title", "other", 2, "c")]
+    assert sorted(r["citekey"] for r in corpus.duplicate_members(refs).collect()) == ["a", "b", "c", "d"]
 
 
 def test_upsert_and_prune_guard(spark):
