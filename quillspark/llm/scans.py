@@ -265,22 +265,20 @@ def clean_lines(text: str) -> tuple[list[str], set[str]]:
 
 def join_lines(lines: list[str]) -> tuple[str, bool]:
     """One paragraph of the lines, and whether a word had been cut in two at a line end."""
-    out, cut = "", False
+    parts: list[str] = []
+    cut = False
     for line in lines:
         s = line.strip()
         if not s:
             continue
-        if not out:
-            out = s
-        elif CUT.search(out):
+        if parts and CUT.search(parts[-1]):
             word = re.match(r"[|!\d]?[^\W\d_]+", s)
-            if word and not word.group()[:2].isupper() and not s[0].isupper() and word.group() not in SUSPENDED:
-                out, cut = out.rstrip()[:-1] + s, True
-            else:
-                out += " " + s
-        else:
-            out += " " + s
-    return out, cut
+            if word and not s[0].isupper() and word.group() not in SUSPENDED:
+                parts[-1], cut = parts[-1][:-1], True
+                parts.append(s)
+                continue
+        parts.append(" " + s if parts else s)
+    return "".join(parts), cut
 
 
 def repair_batch(texts: list[str], editor: Editor) -> Iterator[tuple[str, list[str]]]:
