@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.operators import structure
 
 
 def citations(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -70,10 +71,13 @@ def provenance(claims: DataFrame, passages: DataFrame) -> DataFrame:
     return best.select("claim_id", "citekey", F.col("r.score").alias("score"), F.when(F.col("r.score") > 0, -F.col("r.first")).alias("passage_id"))
 
 
-def segments(log: DataFrame, group: str, order: list[str], marker, cost: str) -> DataFrame:
-    """(group, segment, calls, cost): sums between markers; markers count as no call, segments without a call are left out."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.withColumn("is_marker", marker).withColumn("segment", F.sum(F.when(F.col("is_marker"), 1).otherwise(0)).over(w))
+def segments(log: DataFrame, group: str, slice_, order: list[str], marker, cost: str) -> DataFrame:
+    """(group, segment, calls, cost): sums between markers; markers count as no call, segments without a call are left out.
+
+    slice_: a column that follows the order (the day of a time), by which a busy group is spread.
+    """
+    rows = log.withColumn("is_marker", marker)
+    rows = structure.running_sum(rows, group, slice_, order, F.when(F.col("is_marker"), 1).otherwise(0), "segment")
     return rows.where(~F.col("is_marker")).groupBy(group, "segment").agg(F.count("*").alias("calls"), F.round(F.sum(cost), 2).alias("cost"))
 
 
@@ -99,17 +103,19 @@ def status_of(recorded: DataFrame, current: DataFrame) -> DataFrame:
 def tukey_fence(rows: DataFrame, group: str, value: str) -> DataFrame:
     """(group, n, fence): third quartile plus 1.5 interquartile ranges, by exclusive quantiles; null for fewer than four rows.
 
-    The quantile at p of n sorted values stands at place p * (n + 1), interpolated. Ranks come from a window per group; only the
-    rows next to the quartiles are kept.
+    The quantile at p of n sorted values stands at place p * (n + 1), interpolated. Equal values are counted first, so the window
+    of a group orders its distinct values only.
     """
-    w = Window.partitionBy(group)
-    r = rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), F.row_number().over(w.orderBy(value)).alias("i"), F.count("*").over(w).alias("n"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    r = counts.withColumn("upto", upto).join(counts.groupBy(group).agg(F.sum("c").alias("n")), group)
 
     def quantile(p: float):
-        at = (F.col("n") + 1) * p
-        low = F.floor(at)
-        weight = at - low
-        return F.sum(F.when(F.col("i") == low, F.col("v") * (1 - weight)).when(F.col("i") == low + 1, F.col("v") * weight).otherwise(0.0))
+        place = (F.col("n") + 1) * p
+        low = F.floor(place)
+        at = lambda i: F.min(F.when(F.col("upto") >= i, F.col("v")))
+        weight = F.first(place - low)
+        return at(low) * (1 - weight) + at(low + 1) * weight
 
     q = r.groupBy(group, "n").agg(quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
     return q.select(group, "n", F.when(F.col("n") >= 4, F.round(F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")), 4)).alias("fence"))

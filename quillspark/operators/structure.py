@@ -8,17 +8,35 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 
-def asof(points: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """points with the value of the last mark at or before each, per key; null before the first.
+def asof(points: DataFrame, marks: DataFrame, key: str, at: str, value: str, width: int = 10_000) -> DataFrame:
+    """points with the value of the last mark at or before each, per key; null before the first. Places are whole numbers.
 
-    A union ordered by place and one running window: no range join. The window of a key is sorted and spilled, never collected;
-    marks and points of one source fit a task by what a document holds.
+    A mark holds until the next one of its key; points meet it by key and a slice of width places, so the points of one key spread
+    over as many tasks as it has slices. Only marks (pages, not words) are ordered in a window. Of marks at one place the
+    greatest value counts.
     """
-    rows = points.withColumn("_mark", F.lit(0)).withColumn("_value", F.lit(None).cast(marks.schema[value].dataType))
-    m = marks.select(key, at, F.lit(1).alias("_mark"), F.col(value).alias("_value"))
-    every = rows.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col(at), F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
-    return every.withColumn(value, F.last("_value", ignorenulls=True).over(w)).where("_mark = 0").drop("_mark", "_value")
+    ends = points.groupBy(key).agg(F.max(at).alias("_last"))
+    m = marks.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.max(value).alias(value)).join(ends, key)
+    m = m.withColumn("_until", F.coalesce(F.lead(at).over(Window.partitionBy(key).orderBy(at)), F.greatest(at, "_last") + 1))
+    slices = F.sequence(F.floor(F.col(at) / width), F.floor((F.col("_until") - 1) / width))
+    m = m.select(F.col(key).alias("_key"), F.col(at).alias("_from"), "_until", value, F.explode(slices).alias("_slice"))
+    p = points.withColumn("_of", F.floor(F.col(at) / width))
+    held = (p[key] == m["_key"]) & (p["_of"] == m["_slice"]) & (p[at] >= m["_from"]) & (p[at] < m["_until"])
+    return p.join(m, held, "left").drop("_key", "_from", "_until", "_slice", "_of")
+
+
+def running_sum(rows: DataFrame, key: str, slice_: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """rows with the running sum of value per key in order, by slices that follow the order (such as days of a time).
+
+    Sums of slices are added up first (a row a key and slice), then each slice runs by itself from what came before, so a key that
+    holds a large part of all rows is spread over its slices.
+    """
+    r = rows.withColumn("_slice", slice_).withColumn("_value", value)
+    by = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = r.groupBy(key, "_slice").agg(F.sum("_value").alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(by), F.lit(0)))
+    within = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = r.withColumn("_run", F.sum("_value").over(within)).join(sums.select(key, "_slice", "_before"), [key, "_slice"])
+    return out.withColumn(name, F.col("_run") + F.col("_before")).drop("_slice", "_value", "_run", "_before")
 
 
 def line_of(text: Column, offset: Column) -> Column:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspark.functions import text as T
 
@@ -28,14 +33,13 @@ def centroids(vectors: DataFrame, group: str, vector: str, centred: bool = True)
     return means.groupBy(group).agg(packed.alias("centroid"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, per_source: int | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, source, distance): exact nearest vectors of a stated set of queries by squared distance.
+#: Queries that are sent to the vectors at once (some 10 MB of them).
+QUERY_BLOCK = 20_000
+#: Vectors that an index is fitted on, most cells of it, and vectors of a cell that are searched in one task.
+INDEX_SAMPLE, INDEX_CELLS, CELL_ROWS = 20_000, 1024, 50_000
 
-    queries: (query_id, query), a stated set, sent to the vectors in one broadcast; vectors: (vec_id, source, embedding). Each
-    partition keeps its own best before the shuffle by way of the rank limit that the planner pushes below the exchange.
-    """
-    d = F.round(T.squared_distance(F.col("query"), F.col("embedding")), 4).alias("distance")
-    rows = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", "source", d)
+
+def _ranked(rows: DataFrame, k: int, per_source: int | None) -> DataFrame:
     if per_source:
         w = Window.partitionBy("query_id", "source").orderBy("distance", "vec_id")
         rows = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_source).drop("r")
@@ -43,10 +47,84 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, per_source: int | No
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in blocks of about QUERY_BLOCK, by a hash of their id."""
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    for n in range(max(blocks, 1)):
+        yield queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, per_source: int | None = None) -> DataFrame:
+    """(query_id, vec_id, source, distance, rank): exact nearest vectors of a stated set of queries by squared distance.
+
+    queries: (query_id, query), sent to the vectors in blocks of about QUERY_BLOCK; vectors: (vec_id, source, embedding). The rank
+    limit runs in each partition before the shuffle. For many queries see indexed_nearest.
+    """
+    d = F.round(T.squared_distance(F.col("query"), F.col("embedding")), 4).alias("distance")
+    out = None
+    for part in query_blocks(queries):
+        found = _ranked(vectors.crossJoin(F.broadcast(part)).select("query_id", "vec_id", "source", d), k, per_source)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def fit_cells(vectors: DataFrame, sample: int = INDEX_SAMPLE, rounds: int = 8):
+    """Centres of an inverted index: k-means on at most that many vectors, the first by a hash of their id."""
+    n = vectors.count()
+    limit = (1 << 40) if n <= sample else int((1 << 40) * 1.2 * sample / n)
+    rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < limit).select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"])[:sample]], np.float64)
+    if not len(x):
+        return x
+    cells = min(INDEX_CELLS, max(1, int(n**0.5)), len(x))
+    centres = x[np.linspace(0, len(x) - 1, cells).astype(int)].copy()
+    for _ in range(rounds):
+        near = ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(1)
+        for c in range(cells):
+            if (near == c).any():
+                centres[c] = x[near == c].mean(0)
+    return centres
+
+
+def indexed_nearest(queries: DataFrame, vectors: DataFrame, k: int, probes: int = 8, per_source: int | None = None) -> DataFrame:
+    """As nearest, by an inverted index: every vector is filed under its nearest centre, a query meets its nearest cells only.
+
+    The index is fitted on a bounded sample, but holds every row. A cell of more than CELL_ROWS vectors is split, and its queries
+    are sent to each part, so no cell is one task's work.
+    """
+    vectors, queries = vectors.where("embedding is not null"), queries.where("query is not null")
+    centres = fit_cells(vectors)
+    if not len(centres):
+        return nearest(queries, vectors, k, per_source)
+
+    def cells_of(m: int):
+        @F.pandas_udf(ArrayType(IntegerType()))
+        def run(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=object)
+            x = np.stack(v.to_numpy()).astype(np.float64)
+            d = (centres * centres).sum(1) - 2 * x @ centres.T
+            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :m].astype(np.int32)))
+
+        return run
+
+    filed = vectors.withColumn("cell", F.element_at(cells_of(1)("embedding"), 1))
+    parts = filed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))  # a row a cell
+    filed = filed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    asked = queries.withColumn("cell", F.explode(cells_of(min(probes, len(centres)))("query"))).join(F.broadcast(parts), "cell")
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    d = F.round(T.squared_distance(F.col("query"), F.col("embedding")), 4).alias("distance")
+    return _ranked(asked.join(filed, ["cell", "part"]).select("query_id", "vec_id", "source", d), k, per_source)
+
+
 def best_distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(source, distance): least distance of any query to a vector of the source."""
     d = T.squared_distance(F.col("query"), F.col("embedding"))
-    return vectors.crossJoin(F.broadcast(queries)).groupBy("source").agg(F.round(F.min(d), 4).alias("distance"))
+    out = None
+    for part in query_blocks(queries):
+        found = vectors.crossJoin(F.broadcast(part)).groupBy("source").agg(F.min(d).alias("distance"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("source").agg(F.round(F.min("distance"), 4).alias("distance"))
 
 
 def unit(v: Column) -> Column:
@@ -94,8 +172,6 @@ def align(cosines, threshold: float = 0.62, gap: float = 0.25, most: int = 3) ->
 
     A cell gains its cosine minus the threshold, a gap costs; ties prefer the diagonal, then up, then left.
     """
-    import numpy as np
-
     c = np.asarray(cosines, float)
     if c.size == 0:
         return []

@@ -77,7 +77,7 @@ def registry_repeats(spark: SparkSession, d: str) -> DataFrame:
 
 def log_cost_by_segment(spark: SparkSession, d: str) -> DataFrame:
     """Calls and cost of each user between the events that mark a segment."""
-    return review.segments(load(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("event_type") == "signup", "value")
+    return review.segments(load(spark, d, "events"), "user_id", F.to_date("ts"), ["ts", "event_id"], F.col("event_type") == "signup", "value")
 
 
 def longest_event_run(spark: SparkSession, d: str) -> DataFrame:
@@ -114,6 +114,11 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return topics.nearest(_query_vectors(spark, d), _vectors(spark, d), 10, per_source=3)
 
 
+def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """As vector_topk without the cap, by an inverted index (rows only; recall against exact search is tested)."""
+    return topics.indexed_nearest(_query_vectors(spark, d), _vectors(spark, d), 10)
+
+
 def shortlist_distances(spark: SparkSession, d: str) -> DataFrame:
     return topics.best_distances(_query_vectors(spark, d), _vectors(spark, d))
 
@@ -147,7 +152,7 @@ def topic_converged(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p, t, round(x, 4)) for p, t, x in pairs], "phrase string, topic string, score double")
 
 
-_F = (used_keys, citation_gate, citation_numbers, section_keys, synthesis_report, longest_single_run, uncited_claims, uncited_order, claim_words, provenance_best_passage, provenance_bands, registry_repeats, log_cost_by_segment, longest_event_run, first_appearance_order, interpolated_cost, vector_topk, shortlist_distances, doc_mean_pool, topic_membership, topic_seeds, topic_converged)
+_F = (used_keys, citation_gate, citation_numbers, section_keys, synthesis_report, longest_single_run, uncited_claims, uncited_order, claim_words, provenance_best_passage, provenance_bands, registry_repeats, log_cost_by_segment, longest_event_run, first_appearance_order, interpolated_cost, vector_topk, vector_topk_indexed, shortlist_distances, doc_mean_pool, topic_membership, topic_seeds, topic_converged)
 QUERIES = {f.__name__: f for f in _F}
 
 _KEYS = "regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9_-]*)', 1)"

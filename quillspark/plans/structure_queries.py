@@ -134,7 +134,6 @@ def page_asof(spark: SparkSession, d: str) -> DataFrame:
     """Page of each posting by the first positions of its source's pages, where it differs from the page it was delivered with."""
     p = load(spark, d, "gram_postings").where("citekey is not null and page is not null and position is not null").select("citekey", "page", "position").distinct()
     marks = p.groupBy("citekey", "page").agg(F.min("position").alias("position")).withColumnRenamed("page", "asof_page")
-    marks = marks.groupBy("citekey", "position").agg(F.max("asof_page").alias("asof_page"))
     return structure.asof(p, marks, "citekey", "position", "asof_page").where("asof_page <> page").select("citekey", "position", "page", "asof_page")
 
 

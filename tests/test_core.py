@@ -147,7 +147,7 @@ def test_single_source_run_breaks(spark):
 
 def test_segments_drop_empty_ones(spark):
     log = spark.createDataFrame([(1, i, m, 1.0) for i, m in enumerate([False, True, True, False, False])], "u int, at int, m boolean, c double")
-    got = sorted(tuple(r) for r in review.segments(log, "u", ["at"], F.col("m"), "c").collect())
+    got = sorted(tuple(r) for r in review.segments(log, "u", F.floor(F.col("at") / 2), ["at"], F.col("m"), "c").collect())
     assert got == [(1, 0, 1, 1.0), (1, 2, 2, 2.0)]
 
 
@@ -171,6 +171,22 @@ def test_nearest_respects_the_cap_of_a_source(spark):
     assert got == [(0, 1), (1, 2), (5, 3), (6, 4)]
 
 
+def test_index_recall_against_exact_search(spark, monkeypatch):
+    rng = random.Random(4)
+    centres = [[rng.gauss(0, 3) for _ in range(8)] for _ in range(12)]
+    rows = [(i, i % 3, [c + rng.gauss(0, 1) for c in centres[i % 12]]) for i in range(900)]
+    v = spark.createDataFrame(rows, "vec_id int, source int, embedding array<double>")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = {(r["query_id"], r["vec_id"]) for r in topics.nearest(q, v, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in topics.indexed_nearest(q, v, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    monkeypatch.setattr(topics, "CELL_ROWS", 5)
+    assert {(r["query_id"], r["vec_id"]) for r in topics.indexed_nearest(q, v, 10).collect()} == found
+    monkeypatch.setattr(topics, "QUERY_BLOCK", 7)
+    assert {(r["query_id"], r["vec_id"]) for r in topics.nearest(q, v, 10).collect()} == exact
+    assert topics.indexed_nearest(q, v.limit(0), 10).count() == 0
+
+
 def test_greedy_names_use_each_side_once():
     assert topics.greedy_pairs([(0.9, "p", "a"), (0.8, "p", "b"), (0.7, "q", "a"), (0.5, "q", "b"), (0.4, "r", "c")]) == [("p", "a", 0.9), ("q", "b", 0.5)]
 

@@ -109,7 +109,8 @@ def test_alignment_of_sections(spark):
 def test_asof_and_lines(spark):
     points = spark.createDataFrame([("k", 0), ("k", 5), ("k", 10), ("l", 1)], "k string, at int")
     marks = spark.createDataFrame([("k", 5, 2), ("k", 9, 3)], "k string, at int, page int")
-    assert {(r["k"], r["at"]): r["page"] for r in structure.asof(points, marks, "k", "at", "page").collect()} == {("k", 0): None, ("k", 5): 2, ("k", 10): 3, ("l", 1): None}
+    for width in (1, 4, 1000):
+        assert {(r["k"], r["at"]): r["page"] for r in structure.asof(points, marks, "k", "at", "page", width).collect()} == {("k", 0): None, ("k", 5): 2, ("k", 10): 3, ("l", 1): None}
     assert spark.createDataFrame([("a\nb\nc", 4)], "t string, o int").select(structure.line_of(F.col("t"), F.col("o"))).first()[0] == 3
 
 
