@@ -164,3 +164,60 @@ def test_the_core_stands_without_the_subpackage():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "quillspark.llm" not in p.read_text()
+
+
+def test_sidecars_are_read_tolerantly(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"text": "x", "label": "text", "page": 2, "bbox": [1, 2, 3, 4]}, {"text": " ", "label": "text"}, {"text": "y", "label": "footer"}, {"text": "z", "page": 0}]')
+    (tmp_path / "b.json").write_text("no json")
+    rows = sorted((r["text"], r["label"], r["page"]) for r in tables.sidecar_passages(spark, str(tmp_path)).collect())
+    assert rows == [("x", "text", 2), ("z", None, None)]
+
+
+def test_glossary_and_prose(spark):
+    df = spark.createDataFrame([("d", "- **DT** -- digital twin\n```\n- **no** -- code\n```\ntext")], "k string, t string")
+    assert {"DT": "digital twin"}.items() <= {r["term"]: r["definition"] for r in tables.glossary(df, "k", "t").collect()}.items()
+    assert [r["value"] for r in tables.prose_lines(df, "k", "t").orderBy("line").collect()] == ["- **DT** -- digital twin", "text"]
+
+
+def test_rejected_reasons_and_fields(spark):
+    df = spark.createDataFrame([("d", "| key | query | reason |\n|---|---|---|\n| `a_1` | q | old |\n| `a_1` | q | new |")], "k string, t string")
+    assert {r["citekey"]: r["reason"] for r in tables.rejected_reasons(df, "k", "t").collect()}["a_1"] == "new"
+    f = spark.createDataFrame([("claim: C\n- quote: Q\nclaim: D",)], "b string").select(tables.block_fields(F.col("b")).alias("f")).first()["f"]
+    assert (f["claim"], f["quote"], f["support"]) == ("C", "Q", None)
+
+
+def test_bucketed_postings_join_without_a_shuffle(spark, tmp_path):
+    spark.sql(f"create database if not exists postings location '{tmp_path}/db'")
+    rows = spark.createDataFrame([(f"g{i % 7}", i) for i in range(50)], "gram string, pos int")
+    tables.write_postings(rows, "postings.a", 3)
+    tables.write_postings(rows, "postings.b", 3)
+    a, b = spark.table("postings.a"), spark.table("postings.b").withColumnRenamed("pos", "other")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "gram")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and joined.count() == sum((50 // 7 + (g < 50 % 7)) ** 2 for g in range(7))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop database postings cascade")
+
+
+def test_best_text_skips_blanks(spark):
+    df = spark.createDataFrame([(" ", None, "c")], "a string, b string, c string")
+    assert df.select(tables.best_text(F.col("a"), F.col("b"), F.col("c"))).first()[0] == "c"
+
+
+def test_windowed_counts_as_a_stream(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    spark.sql("select timestamp_seconds(60 * id) as ts, cast(id % 2 as string) as kind from range(10)").write.parquet(folder)
+    counts = incremental.windowed_counts(incremental.read_deliveries(spark, folder, "ts timestamp, kind string"), "ts", ["kind"])
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sum(r["n"] for r in spark.table("counted").collect()) == 10
+
+
+def test_every_query_has_a_known_name():
+    import __spark_entry__
+
+    queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
+    assert set(sql) <= set(queries) and len(queries) > 120 and len(sql) > 100
