@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import leaks, mixing, mojibake, names, radix_copies, scans, sentences, spans, term_bitmaps
+from quillspark.llm import leaks, mixing, mojibake, names, oracles, radix_copies, scans, sentences, spans, term_bitmaps
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(term_bitmaps.SQL)
+    return term_bitmaps.SQL | oracles.SQL
