@@ -25,8 +25,8 @@ from quillspark.session import load, spread
 RUN_WORDS = 13
 #: Masks of at most RUN_WORDS places, in order of use: any run of RUN_WORDS equal words hits each of them.
 MASKS = ("1101011010111", "1110100110101", "111011101")
-#: Words of items sent to the executors at once.
-BLOCK_WORDS = 2_000_000
+#: Words of items sent to the executors at once: some 40 MB with their seeds.
+BLOCK_WORDS = 500_000
 #: Share of equal words that a tolerant overlap must keep, at either end and as a whole.
 TOLERANT_SHARE = 0.8
 
