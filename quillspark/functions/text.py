@@ -19,7 +19,6 @@ their his ours yours theirs myself yourself himself herself itself ourselves you
 #: Bibliography fields that are kept (fixed values of the ledger's whitelist that occur in practice).
 KEPT_FIELDS = ("booktitle", "journal", "number", "pages", "publisher", "volume")
 CITE_MARKER = r"\[@[^\]]+\]|\\cite[tp]?\{[^}]*\}"
-CITE_KEY = r"@([A-Za-z][A-Za-z0-9_-]*)"
 
 
 def words(text: Column) -> Column:

@@ -60,3 +60,9 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark)}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def purge(spark: SparkSession) -> bool:
+    """Delete the tables that cut_lineage left in the shared folder; frames that read them can't be used afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quillspark")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

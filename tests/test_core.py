@@ -239,3 +239,18 @@ def test_ladder_takes_the_first_rung(spark):
     a = spark.createDataFrame([("k", 1)], "citekey string, v int")
     b = spark.createDataFrame([("k", 2), ("l", 3)], "citekey string, v int")
     assert sorted((r["citekey"], r["v"]) for r in sources.passage_ladder([a, b]).collect()) == [("k", 1), ("l", 3)]
+
+
+def test_cut_lineage_and_purge(spark):
+    from quillspark import session
+
+    df = session.cut_lineage(spark.range(5).toDF("x"), "t")
+    assert df.count() == 5 and "Range" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert session.purge(spark) and not session.purge(spark)
+
+
+def test_spread_leaves_large_inputs_alone(spark):
+    from quillspark.session import spread
+
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(spark.range(0, 10, 1, 7)).rdd.getNumPartitions() == 7
