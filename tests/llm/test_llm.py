@@ -213,6 +213,7 @@ def test_sentences_of_other_scripts():
     model.fit([sentences.places(c) for c in cells], [sentences.first_word(c) for c in cells], cells)
     cut = lambda t: [t[s:e] for s, e in sentences.split(t, model)]
     assert cut(" 平台“稳定。引用”描述。系统！ ") == ["平台“稳定。引用”描述。", "系统！"]
+    assert cut("Es ersetzt „Kein Beleg. Nur Entwurf!“ und Modell. Es heißt „Kein Beleg.“ Danach endet es.") == ["Es ersetzt „Kein Beleg. Nur Entwurf!“ und Modell.", "Es heißt „Kein Beleg.“", "Danach endet es."]
     assert cut("Το όριο; Νέα ροή.") == ["Το όριο;", "Νέα ροή."]
     assert cut("ข้อ 3.5 ก ข") and cut("") == [] and cut(" \n") == []
 
