@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from quillspark.functions import text as T
+from quillspark.session import cut_lineage
 
 
 def exploded(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -87,34 +88,66 @@ def fit_cells(vectors: DataFrame, sample: int = INDEX_SAMPLE, rounds: int = 8):
 
 
 def indexed_nearest(queries: DataFrame, vectors: DataFrame, k: int, probes: int = 8, per_source: int | None = None) -> DataFrame:
-    """As nearest, by an inverted index: every vector is filed under its nearest centre, a query meets its nearest cells only.
+    """As nearest, and the same rows, by an inverted index: every vector is filed under its nearest centre.
 
-    The index is fitted on a bounded sample, but holds every row. A cell of more than CELL_ROWS vectors is split, and its queries
-    are sent to each part, so no cell is one task's work.
+    A query meets its nearest cells first. The k-th distance found there bounds the true one, so a cell is left out only if its
+    radius shows that none of its vectors can come nearer; all others are searched too, for blocks of queries as in nearest. The
+    index is fitted on a bounded sample, but holds every row. A cell of more than CELL_ROWS vectors is split, and its queries are
+    sent to each part, so no cell is one task's work.
     """
     vectors, queries = vectors.where("embedding is not null"), queries.where("query is not null")
     centres = fit_cells(vectors)
     if not len(centres):
         return nearest(queries, vectors, k, per_source)
 
+    def to_centres(v: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        x = np.stack(v.to_numpy()).astype(np.float64)
+        return x, (centres * centres).sum(1) - 2 * x @ centres.T
+
     def cells_of(m: int):
         @F.pandas_udf(ArrayType(IntegerType()))
         def run(v: pd.Series) -> pd.Series:
             if not len(v):
                 return pd.Series([], dtype=object)
-            x = np.stack(v.to_numpy()).astype(np.float64)
-            d = (centres * centres).sum(1) - 2 * x @ centres.T
-            return pd.Series(list(np.argsort(d, axis=1, kind="stable")[:, :m].astype(np.int32)))
+            return pd.Series(list(np.argsort(to_centres(v)[1], axis=1, kind="stable")[:, :m].astype(np.int32)))
 
         return run
 
+    @F.pandas_udf("double")
+    def reach(v: pd.Series, cell: pd.Series) -> pd.Series:
+        x = np.stack(v.to_numpy()).astype(np.float64) if len(v) else np.zeros((0, centres.shape[1]))
+        return pd.Series(np.linalg.norm(x - centres[cell.to_numpy(int)], axis=1))
+
     filed = vectors.withColumn("cell", F.element_at(cells_of(1)("embedding"), 1))
-    parts = filed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))  # a row a cell
-    filed = filed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    sizes = filed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"), F.max(reach("embedding", "cell")).alias("radius")).collect()  # a row a cell
+    parts = vectors.sparkSession.createDataFrame([(r["cell"], r["parts"]) for r in sizes], "cell int, parts int")
+    radius = np.full(len(centres), -np.inf)  # empty cells are never searched
+    radius[[r["cell"] for r in sizes]] = [r["radius"] for r in sizes]
+    in_parts = filed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     asked = queries.withColumn("cell", F.explode(cells_of(min(probes, len(centres)))("query"))).join(F.broadcast(parts), "cell")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     d = F.round(T.squared_distance(F.col("query"), F.col("embedding")), 4).alias("distance")
-    return _ranked(asked.join(filed, ["cell", "part"]).select("query_id", "vec_id", "source", d), k, per_source)
+    near = cut_lineage(_ranked(asked.join(in_parts, ["cell", "part"]).select("query_id", "vec_id", "source", d), k, per_source), "near")
+
+    @F.pandas_udf(ArrayType(BooleanType()))
+    def open_cells(v: pd.Series, bound: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        x, to = to_centres(v)
+        least = np.sqrt(np.maximum(to + (x * x).sum(1)[:, None], 0)) - radius
+        # distances are rounded to four places, and equal ones rank by id
+        found = least <= np.sqrt(bound.to_numpy(float) + 1e-4)[:, None] * (1 + 1e-6) + 1e-6
+        np.put_along_axis(found, np.argsort(to, axis=1, kind="stable")[:, : min(probes, len(centres))], False, axis=1)
+        return pd.Series(list(found))
+
+    bounds = near.where(F.col("rank") == k).select("query_id", F.col("distance").alias("bound"))
+    left = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    left = cut_lineage(left.withColumn("open", open_cells("query", "bound")).where(F.exists("open", lambda x: x)), "open")
+    out = near.drop("rank")
+    for part in query_blocks(left):
+        met = filed.crossJoin(F.broadcast(part)).where(F.element_at("open", F.col("cell") + 1)).select("query_id", "vec_id", "source", d, "bound")
+        out = out.unionByName(met.where("distance <= bound").drop("bound"))
+    return _ranked(out, k, per_source)
 
 
 def best_distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:

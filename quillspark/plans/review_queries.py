@@ -115,7 +115,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """As vector_topk without the cap, by an inverted index (rows only; recall against exact search is tested)."""
+    """As vector_topk without the cap, by an inverted index (rows only; tested to be those of exact search)."""
     return topics.indexed_nearest(_query_vectors(spark, d), _vectors(spark, d), 10)
 
 

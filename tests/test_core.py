@@ -187,6 +187,25 @@ def test_index_recall_against_exact_search(spark, monkeypatch):
     assert topics.indexed_nearest(q, v.limit(0), 10).count() == 0
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_index_finds_the_nearest_of_the_given_vectors(spark, size):
+    from quillspark.plans import review_queries as plans
+
+    d = f"/root/testdata/{size}"
+    exact = {(r["query_id"], r["vec_id"]) for r in topics.nearest(plans._query_vectors(spark, d), plans._vectors(spark, d), 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in plans.vector_topk_indexed(spark, d).collect()}
+    assert len(exact & found) >= 0.9 * len(exact) and found == exact
+
+
+def test_index_with_a_cap_of_a_source_and_too_few_vectors(spark):
+    rng = random.Random(7)
+    v = spark.createDataFrame([(i, i % 2, [rng.gauss(0, 1) for _ in range(6)]) for i in range(200)], "vec_id int, source int, embedding array<double>")
+    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for k, cap in ((10, 3), (4, 2), (300, None)):
+        exact = sorted(map(tuple, topics.nearest(q, v, k, per_source=cap).collect()))
+        assert sorted(map(tuple, topics.indexed_nearest(q, v, k, probes=2, per_source=cap).collect())) == exact
+
+
 def test_greedy_names_use_each_side_once():
     assert topics.greedy_pairs([(0.9, "p", "a"), (0.8, "p", "b"), (0.7, "q", "a"), (0.5, "q", "b"), (0.4, "r", "c")]) == [("p", "a", 0.9), ("q", "b", 0.5)]
 
