@@ -14,6 +14,8 @@ from quillspark.functions import udf
 from quillspark.operators import overlap, topics
 
 SKIP_N = 5
+#: Ids of a section of vectors, and sources that a section is aligned with (a fixed value).
+SECTION_IDS, SHORTLIST = 256, 5
 
 
 def skipgrams(rows: DataFrame, key: str, text: str, n: int = SKIP_N) -> DataFrame:
@@ -234,6 +236,45 @@ def reworded(claims: DataFrame, least: float = 0.5) -> DataFrame:
     return claims.withColumn("share", share("claim", "quote")).where(F.col("share") >= least)
 
 
+def vector_sections(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
+    """(section, pos, vector): every row, each label cut into sections of SECTION_IDS consecutive ids."""
+    section = F.concat_ws("/", F.col(label).cast("string"), F.floor(F.col(key) / SECTION_IDS).cast("string"))
+    rows = vectors.where(F.col(vector).isNotNull()).select(section.alias("section"), F.col(key).alias("key"), F.col(vector).alias("vector"))
+    return rows.select("section", F.row_number().over(Window.partitionBy("section").orderBy("key")).alias("pos"), "vector")
+
+
+def section_shortlist(rows: DataFrame, most: int = SHORTLIST) -> DataFrame:
+    """(section, source): for each section the other sections nearest to it, by the least distance of any two of their vectors.
+
+    rows: (section, pos, vector), which are the sources as well, bounded as vector_sections bounds them. All pairs of vectors are
+    compared: sections in blocks as in topics.nearest, a source at a time.
+    """
+    import numpy as np
+
+    def nearest_to(sent):
+        def run(key: tuple, source: pd.DataFrame) -> pd.DataFrame:
+            x, names, starts = sent.value
+            y = np.stack(source["vector"].to_numpy()).astype(np.float64)
+            least = ((x * x).sum(1) + (-2 * y @ x.T + (y * y).sum(1)[:, None]).min(0)).round(4)
+            return pd.DataFrame({"section": names, "source": key[0], "distance": np.minimum.reduceat(least, starts)})
+
+        return run
+
+    out = None
+    for part in topics.query_blocks(rows.select(F.col("section").alias("query_id"), F.col("vector").alias("query"))):
+        asked = sorted((r["query_id"], r["query"]) for r in part.collect())
+        names = sorted({n for n, _ in asked})
+        if not names:
+            continue
+        sent = rows.sparkSession.sparkContext.broadcast((np.array([v for _, v in asked], np.float64), names, np.searchsorted([n for n, _ in asked], names)))
+        found = rows.groupBy(F.col("section").alias("source")).applyInPandas(nearest_to(sent), "section string, source string, distance double").where("section != source")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.select("section", F.col("section").alias("source"))
+    w = Window.partitionBy("section").orderBy("distance", "source")
+    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("section", "source")
+
+
 def section_alignments(drafts: DataFrame, sources: DataFrame, pairs: DataFrame) -> DataFrame:
     """(section, source, rank, score, draft_start, draft_end, source_start, source_end): local alignments of sentence vectors.
 

@@ -94,17 +94,9 @@ def draft_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Local alignments between the first vectors of neighbouring labels, as if they were sections and sources (rows only)."""
-    e = load(spark, d, "embeddings")
-    rows = e.select(F.col("label").cast("string").alias("name"), F.row_number().over(_by_label()).alias("pos"), F.col("embedding").alias("vector")).where("pos <= 30")
-    pairs = e.select("label").distinct().select(F.col("label").cast("string").alias("section"), F.col("label").cast("string").alias("source"))
-    return drafts.section_alignments(rows.withColumnRenamed("name", "section"), rows.withColumnRenamed("name", "source"), pairs)
-
-
-def _by_label():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("label").orderBy("vec_id")
+    """Local alignments between sections of the labels' vectors and the five other sections nearest to each, as sources (rows only)."""
+    rows = drafts.vector_sections(load(spark, d, "embeddings"), "label", "vec_id", "embedding")
+    return drafts.section_alignments(rows, rows.withColumnRenamed("section", "source"), drafts.section_shortlist(rows))
 
 
 def findings_by_severity(spark: SparkSession, d: str) -> DataFrame:

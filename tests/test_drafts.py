@@ -1,5 +1,6 @@
 """Operators on drafts and places against brute force and literal cases."""
 
+import math
 import random
 import re
 
@@ -216,6 +217,41 @@ def test_windowed_counts_as_a_stream(spark, tmp_path):
     assert sum(r["n"] for r in spark.table("counted").collect()) == 10
 
 
+def test_vector_alignments_take_every_vector_and_other_sections(spark, tables):
+    from quillspark.plans import draft_queries as plans
+
+    rng = random.Random(3)
+    rows = [(i, i % 2, [rng.gauss(0, 1) for _ in range(32)]) for i in range(1200)]
+    for n in range(4):  # vectors beyond the first of their labels, in sections of two labels
+        rows[1100 + 2 * n] = (1100 + 2 * n, 0, rows[701 + 2 * n][2])
+    d = tables(embeddings=spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    got = plans.vector_alignments(spark, d).collect()
+    assert not [r for r in got if r["section"] == r["source"]]
+    best = max((r for r in got if r["section"] == "0/4" and r["source"] == "1/2"), key=lambda r: r["score"])
+    assert (best["draft_start"], best["draft_end"], best["source_start"], best["source_end"]) == (38, 42, 94, 98)
+    sections = drafts.vector_sections(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "vec_id", "embedding")
+    assert sections.count() == 1200 and sections.groupBy("section").count().where("count > 256").count() == 0
+    assert {r["n"] for r in drafts.section_shortlist(sections).groupBy("section").agg(F.count_distinct("source").alias("n")).collect()} == {5}
+    assert drafts.section_shortlist(sections.limit(0)).count() == 0 and drafts.section_shortlist(sections.where("section = '0/4'")).count() == 0
+
+
+def test_shortlist_is_that_of_all_pairs_in_any_blocks(spark, monkeypatch):
+    from quillspark.operators import topics
+
+    rng = random.Random(5)
+    vectors = [(f"s{i % 9}", i // 9, [rng.gauss(0, 1) for _ in range(5)]) for i in range(108)]
+    least = {}
+    for s, _, v in vectors:
+        for t, _, w in vectors:
+            if s != t:
+                least[s, t] = min(least.get((s, t), math.inf), sum((a - b) ** 2 for a, b in zip(v, w, strict=True)))
+    best = {(s, t) for s in {s for s, _ in least} for t in sorted((t for u, t in least if u == s), key=lambda t: least[s, t])[:5]}
+    rows = spark.createDataFrame(vectors, "section string, pos int, vector array<double>")
+    for block in (20_000, 30):
+        monkeypatch.setattr(topics, "QUERY_BLOCK", block)
+        assert {tuple(r) for r in drafts.section_shortlist(rows).collect()} == best
+
+
 def test_every_query_has_a_known_name():
     import __spark_entry__
 
