@@ -5,6 +5,7 @@ All are pandas functions over Arrow batches; stemming runs over distinct words o
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -86,6 +87,11 @@ def stem(word: str) -> str:
     return w
 
 
+@functools.lru_cache(100_000)
+def stem_once(word: str) -> str:
+    return stem(word)
+
+
 def stem_udf():
     @F.pandas_udf(StringType())
     def run(words: pd.Series) -> pd.Series:
@@ -94,6 +100,16 @@ def stem_udf():
     return run
 
 
+def stems_udf():
+    """Stems of an array of words, in order; a word that comes again is not stemmed again."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(lambda ws: [stem_once(w) for w in ws] if ws is not None else None)
+
+    return run
+
+
 def stemmed_vocabulary(words: DataFrame, column: str) -> DataFrame:
     """(word, stem) of the distinct words of a column; joined back by the word, each word is stemmed once."""
     v = words.select(F.col(column).alias("word")).where("word is not null").distinct()

@@ -236,6 +236,20 @@ def reworded(claims: DataFrame, least: float = 0.5) -> DataFrame:
     return claims.withColumn("share", share("claim", "quote")).where(F.col("share") >= least)
 
 
+def containment(quotes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, bigrams, share): share of a quote's stemmed bigrams that stand in the texts of its group; null under two stems.
+
+    quotes: (id, group, quote); texts: (group, text). Stop words leave before bigrams are built; a bigram lies in one text, and one
+    that comes again counts once.
+    """
+    stems = lambda c: udf.stems_udf()(F.filter(T.words(F.col(c)), lambda w: ~w.isin(*T.SKIP_STOP))).alias("stems")
+    grams = F.explode(F.array_distinct(T.ngrams(F.col("stems"), 2))).alias("gram")
+    q = quotes.select("id", "group", stems("quote")).select("id", "group", grams)
+    held = texts.select("group", stems("text")).select("group", grams).distinct().withColumn("held", F.lit(1))
+    counts = q.join(held, ["group", "gram"], "left").groupBy("id").agg(F.count("*").alias("bigrams"), F.round(F.count("held") / F.count("*"), 4).alias("share"))
+    return quotes.select("id").join(counts, "id", "left").select("id", F.coalesce("bigrams", F.lit(0)).alias("bigrams"), "share")
+
+
 def vector_sections(vectors: DataFrame, label: str, key: str, vector: str) -> DataFrame:
     """(section, pos, vector): every row, each label cut into sections of SECTION_IDS consecutive ids."""
     section = F.concat_ws("/", F.col(label).cast("string"), F.floor(F.col(key) / SECTION_IDS).cast("string"))

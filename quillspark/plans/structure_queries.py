@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions import udf
-from quillspark.operators import overlap, retrieval, structure, topics
+from quillspark.operators import drafts, overlap, retrieval, structure, topics
 from quillspark.plans.overlap_queries import finding_profiles, findings_latest
 from quillspark.plans.retrieval_queries import bm25_sql, grams_sql
 from quillspark.session import load
@@ -118,10 +118,10 @@ def gram_lookup(spark: SparkSession, d: str) -> DataFrame:
 def pairwise_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Grams that draft sentences share with the sources they cite themselves."""
     ds = load(spark, d, "draft_sentences")
-    drafts = overlap.positions(ds, "sent_id", "text").join(ds.select(F.col("sent_id").alias("key"), F.explode(F.array_distinct("citekeys")).alias("citekey")), "key").select(F.col("key").alias("sent_id"), "citekey", "gram").distinct()
+    own = overlap.positions(ds, "sent_id", "text").join(ds.select(F.col("sent_id").alias("key"), F.explode(F.array_distinct("citekeys")).alias("citekey")), "key").select(F.col("key").alias("sent_id"), "citekey", "gram").distinct()
     src = load(spark, d, "source_sentences")
     grams = overlap.positions(src, "src_id", "text").join(src.select(F.col("src_id").alias("key"), "citekey"), "key").select("citekey", "gram").distinct()
-    return drafts.join(grams, ["citekey", "gram"]).groupBy("sent_id", "citekey").agg(F.count("*").alias("grams"))
+    return own.join(grams, ["citekey", "gram"]).groupBy("sent_id", "citekey").agg(F.count("*").alias("grams"))
 
 
 def marker_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -293,10 +293,8 @@ def embedding_refresh(spark: SparkSession, d: str) -> DataFrame:
 
 def bigram_scores(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed bigram containment of each finding's fragment in the draft sentences of its draft (stems: rows only)."""
-    words = load(spark, d, "overlap_df").groupBy("id").agg(F.min("fragment").alias("f")).select("id", F.posexplode(T.words(F.col("f"))).alias("pos", "word"))
-    stems = words.join(udf.stemmed_vocabulary(words, "word"), "word")
-    per = stems.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "stem"))), lambda x: x["stem"]).alias("s"))
-    return per.select("id", F.size(F.array_distinct(T.ngrams(F.col("s"), 2))).alias("bigrams"))
+    findings = load(spark, d, "overlap_df").groupBy("id").agg(F.max(F.struct("draft", "fragment")).alias("f")).select("id", F.col("f.draft").alias("group"), F.col("f.fragment").alias("quote"))
+    return drafts.containment(findings, load(spark, d, "draft_sentences").select(F.col("draft").alias("group"), "text"))
 
 
 def snippets(spark: SparkSession, d: str) -> DataFrame:

@@ -252,6 +252,24 @@ def test_shortlist_is_that_of_all_pairs_in_any_blocks(spark, monkeypatch):
         assert {tuple(r) for r in drafts.section_shortlist(rows).collect()} == best
 
 
+def test_bigram_scores_are_shares_of_the_draft(spark, tables):
+    import __spark_entry__
+
+    def grams(t):
+        s = [udf.stem(w) for w in re.findall("[a-z0-9]+", t.lower()) if w not in T.SKIP_STOP]
+        return set(zip(s, s[1:], strict=False))
+
+    fragments = {"a": ("x", "the pumps were controlling the pressure of gateways"), "b": ("y", "the pumps were controlling the pressure of gateways"), "c": ("x", "of the pump"), "d": ("x", "unseen words only"), "e": ("x", None)}
+    texts = [("x", "A pump controls pressure."), ("x", "gateways of the pressured"), ("y", "gateways"), ("y", None)]
+    d = tables(overlap_df=spark.createDataFrame([(k, *v) for k, v in fragments.items()], "id string, draft string, fragment string"), draft_sentences=spark.createDataFrame(texts, "draft string, text string"))
+    got = {r["id"]: (r["bigrams"], r["share"]) for r in __spark_entry__.queries()["bigram_scores"](spark, d).collect()}
+    want = {}
+    for k, (draft, f) in fragments.items():
+        q, c = grams(f or ""), set().union(*(grams(t or "") for g, t in texts if g == draft))
+        want[k] = (len(q), round(len(q & c) / len(q), 4) if q else None)
+    assert got == want == {"a": (3, 0.6667), "b": (3, 0.0), "c": (0, None), "d": (1, 0.0), "e": (0, None)}
+
+
 def test_every_query_has_a_known_name():
     import __spark_entry__
 
