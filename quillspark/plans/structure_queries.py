@@ -109,10 +109,10 @@ def posting_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gram_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """Postings of the first gram of each finding: a semi-join on the gram."""
-    first = load(spark, d, "overlap_df").select(F.array_join(F.slice(T.words(F.col("fragment")), 1, 8), " ").alias("gram")).distinct()
+    """Postings of every gram of each finding: a semi-join on the gram."""
+    grams = load(spark, d, "overlap_df").select(F.explode(T.ngrams(T.words(F.col("fragment")), 8)).alias("gram")).distinct()
     p = load(spark, d, "gram_postings").select(T.claim_key(F.col("gram")).alias("gram"), "citekey", "page", "position").where("citekey is not null")
-    return p.join(first, "gram", "left_semi").distinct()
+    return p.join(grams, "gram", "left_semi").distinct()
 
 
 def pairwise_overlap(spark: SparkSession, d: str) -> DataFrame:

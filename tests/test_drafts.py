@@ -270,6 +270,19 @@ def test_bigram_scores_are_shares_of_the_draft(spark, tables):
     assert got == want == {"a": (3, 0.6667), "b": (3, 0.0), "c": (0, None), "d": (1, 0.0), "e": (0, None)}
 
 
+def test_gram_lookup_takes_every_gram_of_a_finding(spark, tables):
+    import __spark_entry__
+
+    words = SENTENCE.split()
+    postings = [(" ".join(words[i : i + 8]), "k", 1, i) for i in (0, 3, len(words) - 8)] + [("Calibration, " + " ".join(words[1:8]), "k", 2, 9), (" ".join(words[:7]), "k", 3, 0), (" ".join(words[3:11]), None, 1, 0), (None, "k", 1, 1)]
+    d = tables(
+        overlap_df=spark.createDataFrame([("a", " ".join(words)), ("b", " ".join(words[:7])), ("c", None)], "id string, fragment string"),
+        gram_postings=spark.createDataFrame(postings, "gram string, citekey string, page int, position int"),
+    )
+    got = sorted((r["page"], r["position"]) for r in __spark_entry__.queries()["gram_lookup"](spark, d).collect())
+    assert got == [(1, 0), (1, 3), (1, len(words) - 8), (2, 9)]
+
+
 def test_every_query_has_a_known_name():
     import __spark_entry__
 
