@@ -196,8 +196,7 @@ def token_neighbours(tokens: DataFrame) -> DataFrame:
 def assign(given_a: list[str], initials_a: list[str], given_b: list[str], initials_b: list[str]) -> int | None:
     """Cost of the cheapest one-to-one alignment of the given-name parts of two spellings; None if they contradict.
 
-    Equal or nicknamed names cost 0, one edit 1, an initial for a name 1, a part without partner (a middle name) 2. Parts are
-    few, so all assignments of the shorter list are tried.
+    Equal or nicknamed names cost 0, one edit 1, an initial for a name 1, a part without partner (a middle name) 2.
     """
     a = [(x, False) for x in given_a] + [(x, True) for x in initials_a]
     b = [(x, False) for x in given_b] + [(x, True) for x in initials_b]
@@ -214,34 +213,52 @@ def assign(given_a: list[str], initials_a: list[str], given_b: list[str], initia
             return 0
         return 1 if same_given(x[0], y[0]) else None
 
-    best: int | None = None
-
-    def search(i: int, used: int, total: int) -> None:
-        nonlocal best
-        if best is not None and total >= best:
-            return
-        if i == len(a):
-            best = total + 2 * (len(b) - len(a))
-            return
-        for j in range(len(b)):
-            if not used >> j & 1:
-                c = cost(a[i], b[j])
-                if c is not None:
-                    search(i + 1, used | 1 << j, total + c + (1 if i != j else 0))
-
-    if a and len(b) <= 6:
-        search(0, 0, 0)
-        # the leading parts must agree: a middle name alone is no evidence
-        if best is not None and cost(a[0], b[0]) is None:
-            return None
-    return best
+    # the leading parts must agree: a middle name alone is no evidence
+    if not a or cost(a[0], b[0]) is None:
+        return None
+    table = [[FORBIDDEN if (c := cost(x, y)) is None else c + (i != j) for j, y in enumerate(b)] for i, x in enumerate(a)]
+    total = cheapest(table)
+    return total + 2 * (len(b) - len(a)) if total < FORBIDDEN else None
+
+
+#: Cost of a pair of parts that contradict, more than any alignment without one.
+FORBIDDEN = 1 << 20
+
+
+def cheapest(table: list[list[int]]) -> int:
+    """Least total of one column a row, no column twice (Hungarian method); not more rows than columns."""
+    n, m = len(table), len(table[0])
+    u, v, row_of, way = [0] * (n + 1), [0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        slack, used = [1 << 40] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            used[j] = True
+            delta, to = 1 << 40, 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    if (c := table[row_of[j] - 1][k - 1] - u[row_of[j]] - v[k]) < slack[k]:
+                        slack[k], way[k] = c, j
+                    if slack[k] < delta:
+                        delta, to = slack[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[row_of[k]] += delta
+                    v[k] -= delta
+                else:
+                    slack[k] -= delta
+            j = to
+        while j:
+            row_of[j], j = row_of[way[j]], way[j]
+    return sum(table[row_of[k] - 1][k - 1] for k in range(1, m + 1) if row_of[k])
 
 
 def entities(rows: list[tuple[str, list[str], list[str], int]]) -> list[tuple[str, int]]:
     """Entity number of each spelling of one surname; rows: (name, given, initials, how often).
 
-    Spellings with a given name come first, the most frequent ones leading; each joins the first leader that it aligns with.
-    Spellings with initials only then join the one leader they fit; if they fit several, none.
+    Spellings with a given name come first, the most frequent ones leading; each joins the leader that it aligns with best, which
+    takes over its parts if they are more. Spellings with initials only then join the one leader with which most of their initials
+    agree; if several do, none. Those that fit no leader are grouped among themselves in the same way, the longest ones leading.
     """
     full = sorted((r for r in rows if r[1]), key=lambda r: (-r[3], r[0]))
     leaders: list[tuple[list[str], list[str]]] = []
@@ -255,25 +272,35 @@ def entities(rows: list[tuple[str, list[str], list[str], int]]) -> list[tuple[st
             k = min(costs)[1]
         else:
             k = len(leaders)
-            leaders.append((given[:1], []))
-            g = given[0]
+            leaders.append(([], []))
+        if len(given) + len(initials) > sum(map(len, leaders[k])):
+            leaders[k], g = (given, initials), given[0]
             for n in (*full_names(g), fold(g), spelled_out(g)):
                 for f in (*deletes(n), "." + n[:1]):
                     near.setdefault(f, set()).add(k)
         out.append((name, k))
-    singles: dict[str, int] = {}
     by_letter: dict[str, set[int]] = {}
     for k, (g, _) in enumerate(leaders):
         for letter in {fold(g[0])[:1], *(n[:1] for n in full_names(g[0]))}:
             by_letter.setdefault(letter, set()).add(k)
-    for name, _, initials, _ in sorted((r for r in rows if not r[1]), key=lambda r: r[0]):
-        if not initials:
-            continue
-        fits = sorted(by_letter.get(initials[0], ()))
-        if len(fits) == 1:
-            out.append((name, fits[0]))
-        elif not fits:
-            out.append((name, singles.setdefault(initials[0], len(leaders) + len(singles))))
+
+    def fitting(initials: list[str], index: dict[str, set[int]]) -> list[int]:
+        """Leaders that the initials fit, of those the ones with most parts that agree."""
+        fits = [(min(len(initials), sum(map(len, leaders[k]))), k) for k in sorted(index.get(initials[0], ())) if assign([], initials, *leaders[k]) is not None]
+        return [k for n, k in fits if n == max(fits)[0]]
+
+    told: dict[tuple[str, ...], list[int]] = {}  # spellings with the same initials fit the same leaders
+    alone: dict[str, set[int]] = {}
+    for initials in sorted({tuple(r[2]) for r in rows if not r[1] and r[2]}, key=lambda i: (-len(i), i)):
+        fits = fitting([*initials], by_letter) or fitting([*initials], alone)
+        if not fits:
+            fits = [len(leaders)]
+            leaders.append(([], [*initials]))
+            alone.setdefault(initials[0], set()).add(fits[0])
+        told[initials] = fits
+    for name, given, initials, _ in rows:
+        if not given and initials and len(told[tuple(initials)]) == 1:
+            out.append((name, told[tuple(initials)][0]))
     return out
 
 

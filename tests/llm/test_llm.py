@@ -1,5 +1,6 @@
 """Training-data operators against brute force, exact round trips and held-out accuracy, on small fixtures."""
 
+import itertools
 import random
 import re
 
@@ -174,6 +175,34 @@ def test_names_link_variants_only(spark, tables):
     assert got == want
 
 
+def test_middle_names_and_further_initials_decide():
+    def groups(*spellings):
+        found = {}
+        for name, k in names.entities([(n, g.split(), i.split(), c) for n, g, i, c in spellings]):
+            found.setdefault(k, set()).add(name)
+        return sorted(map(sorted, found.values()))
+
+    leaders = (("John David", "John David", "", 5), ("James", "James", "", 3))
+    assert groups(*leaders, ("J. D.", "", "j d", 1)) == [["J. D.", "John David"], ["James"]]
+    assert groups(*leaders, ("J.", "", "j", 1)) == [["James"], ["John David"]]
+    assert groups(("A.", "", "a", 1), ("B.", "", "b", 1)) == [["A."], ["B."]]
+    assert groups(("X. A.", "", "x a", 1), ("X. B.", "", "x b", 1)) == [["X. A."], ["X. B."]]
+    assert groups(("X. A.", "", "x a", 1), ("X.", "", "x", 1)) == [["X.", "X. A."]]
+    assert groups(("John", "John", "", 5), ("John David", "John David", "", 2), ("John Michael", "John Michael", "", 1)) == [["John", "John David"], ["John Michael"]]
+    long = "Anna Berta Clara Doris Elsa Frida Greta Hanna"
+    assert groups((long, long, "", 2), ("A. B.", "", "a b", 1), ("Anna", "Anna", "", 1)) == [["A. B.", "Anna", long]]
+
+
+def test_assignment_is_the_cheapest():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(1, 4)
+        m = n + rng.randint(0, 2)
+        table = [[rng.choice((0, 1, 2, 3, names.FORBIDDEN)) for _ in range(m)] for _ in range(n)]
+        want = min(sum(table[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        assert names.cheapest(table) == want
+
+
 @pytest.mark.parametrize("a,b,near", [("abcd", "abdc", True), ("abcd", "abc", True), ("abcd", "xbcd", True), ("abcd", "badc", False), ("abcd", "ab", False)])
 def test_within_one(a, b, near):
     assert names.within_one(a, b) is near and names.within_one(b, a) is near
