@@ -110,12 +110,15 @@ def corrupt(word: str, rng: np.random.Generator) -> tuple[str, list[int]] | None
     return out + word[at:], labels + [0] * (len(word) - at)
 
 
+CLEAN_WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]{2,}"
+
+
 def train(texts: list[str], seed: int = 7) -> tuple[np.ndarray, frozenset[str]]:
     """Weights of the editor, scaled so that the mean winning margin on training words is 1, and the clean words it saw."""
     rng = np.random.default_rng(seed)
     seen: dict[str, int] = {}
     for t in texts:
-        for w in re.findall(r"[A-Za-zÀ-ÖØ-öø-ÿ]{2,}", t):
+        for w in re.findall(CLEAN_WORD, t):
             w = w.lower()
             seen[w] = seen.get(w, 0) + 1
     clean = sorted(w for w in seen if w.isalpha())
@@ -320,13 +323,39 @@ def scan_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df
 
 
+def _doubted(broadcast):
+    """Words whose reading depends on whether a clean text holds them: those that the editor changes, and plain readings of codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        editor = Editor(*broadcast.value)
+        for b in batches:
+            words = {w for t in b.column("text").to_pylist() for w in WORD.findall(join_lines(clean_lines(t)[0])[0])} - editor.known.keys()
+            editor.learn(words)
+            asked = {w.translate(SHORT) if CODE.fullmatch(w) else w.lower() for w in words if CODE.fullmatch(w) or editor.known[w] != w}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(asked - editor.clean), pa.string())], names=["word"])
+
+    return run
+
+
 def fitted(spark: SparkSession, sf_dir: str):
-    """The editor's weights, as a broadcast of fixed size (2^BITS rows) and the distinct words of TRAIN_ROWS texts."""
+    """The editor's weights, as a broadcast of fixed size (2^BITS rows), and the words that clean texts hold.
+
+    Weights are fitted on TRAIN_ROWS texts. Words of all other clean texts count as well, as far as they matter: those that the
+    editor would change in a scan are joined with the vocabulary of all clean texts.
+    """
     df = None
     for table in ("passages", "source_sentences"):
         part = load(spark, sf_dir, table).where("origin = 'text'").select("text")
         df = part if df is None else df.unionByName(part)
-    return spark.sparkContext.broadcast(train(bounded_texts(df, TRAIN_ROWS)))
+    weights, clean = train(bounded_texts(df, TRAIN_ROWS))
+    model = spark.sparkContext.broadcast((weights, clean))
+    if df.count() <= TRAIN_ROWS:
+        return model
+    doubted = spread(scan_records(spark, sf_dir).select("text")).mapInArrow(_doubted(model), "word string").distinct()
+    every = df.select(F.explode(F.regexp_extract_all("text", F.lit(CLEAN_WORD), 0)).alias("word")).select(F.lower("word").alias("word")).distinct()
+    met = frozenset(r["word"] for r in doubted.join(every, "word", "left_semi").collect())
+    model.unpersist()
+    return spark.sparkContext.broadcast((weights, clean | met))
 
 
 def repaired(records: DataFrame, model) -> DataFrame:

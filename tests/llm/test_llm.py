@@ -265,6 +265,20 @@ def clean_text(rng, n=30):
     return " ".join(rng.choice(["", "meta", "sub", "over"]) + rng.choice(STEMS) + rng.choice(["", *STEMS]) for _ in range(n))
 
 
+def test_words_of_clean_texts_beyond_the_sample_are_no_misreadings(spark, tables, monkeypatch):
+    rng, g = random.Random(6), np.random.default_rng(9)
+    good = sorted({w for _ in range(60) for w in clean_text(rng).split()})
+    rare = sorted({c[0] for w in good if (c := scans.corrupt(w, g)) and c[0] not in good and re.fullmatch("[a-z]{2,}", c[0])})
+    clean = [(k, t, "text") for k, t in enumerate([clean_text(rng) for _ in range(400)] + rare)]
+    asked = [(10_000 + k, w, "scan") for k, w in enumerate(rare)]
+    schema = "passage_id long, text string, origin string"
+    d = tables(passages=spark.createDataFrame(clean + asked, schema), source_sentences=spark.createDataFrame([], schema).withColumnRenamed("passage_id", "src_id"))
+    monkeypatch.setattr(scans, "TRAIN_ROWS", 300)
+    assert len(rare) > 20 and scans.p6_found(spark, d).count() == 0
+    model = scans.fitted(spark, d).value
+    assert model[1] < {w for _, t, _ in clean for w in re.findall(scans.CLEAN_WORD, t.lower())}
+
+
 def test_editor_held_out_accuracy():
     rng = random.Random(6)
     model = scans.train([clean_text(rng) for _ in range(400)])
