@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quillspark.llm import leaks, mixing, mojibake, names, radix_copies, scans, sentences, shared_keys, spans, term_bitmaps, words
+from quillspark.llm import bits, leaks, mixing, mojibake, names, radix_copies, scans, sentences, shared_keys, spans, term_bitmaps, words
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 
@@ -316,7 +316,7 @@ def test_scan_query_on_nulls(spark, tables):
 # ---------------------------------------------------------------- 7 leaks
 
 
-def test_leaks_against_brute_force(spark, monkeypatch):
+def test_leaks_against_brute_force(spark):
     rng = random.Random(7)
     vocabulary = [f"v{i}" for i in range(300)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 8, 12, 13, 14, 40])))) for i in range(30)] + [(99, None), (98, "")]
@@ -338,12 +338,30 @@ def test_leaks_against_brute_force(spark, monkeypatch):
             grams = {tuple(q[k : k + n]) for k in range(len(q) - n + 1)} if n else set()
             if any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1)):
                 want.add((d, i))
-    monkeypatch.setattr(leaks, "BLOCK_WORDS", 100)
     got = leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     found = {(r["doc_id"], r["item_id"]) for r in got.collect() if r["exact_words"] >= min(13, r["item_words"])}
     assert found == want and len(want) > 40
 
 
+def test_leaks_of_repeated_ids_hot_words_and_clashing_columns(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    docs = [(1, "nothing here", 5), (1, "x " + item, 5), (1, "x " + item, 5), (None, item, 5), (2, "same " * 400, 5)]
+    items = [(7, item, 9), (7, item, 9), (7, "other words only", 9), (8, "same " * 30, 9), (9, None, 9)]
+    got = leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string, own long"), spark.createDataFrame(items, "item_id long, text string, own long"))
+    assert {tuple(r) for r in got.collect()} == {(1, 7, 20, 20, 20), (None, 7, 20, 20, 20), (2, 8, 30, 30, 30)}
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert leaks.overlaps(empty, spark.createDataFrame(items, "item_id long, text string, own long")).count() == 0
+    assert leaks.overlaps(spark.createDataFrame(docs, "doc_id long, text string, own long"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_bit_filter_holds_every_key(spark):
+    keys = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 5000)
+    f = bits.build(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k long"), "k", 1000)
+    assert bits.may_hold(f, keys[:1000]).all() and bits.may_hold(f, keys[1000:]).mean() < 0.05
+    tiny = bits.build(spark.createDataFrame([(int(k),) for k in keys[:1000]], "k long"), "k", 1000, most=6)
+    assert len(tiny) == 64 and bits.may_hold(tiny, keys[:1000]).all()
+
+
 def test_a_substituted_word_is_tolerated(spark):
     item = " ".join(f"a{i}" for i in range(30))
     doc = item.replace("a7 ", "zz ").replace("a20 ", "yy ")
