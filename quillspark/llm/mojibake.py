@@ -3,8 +3,8 @@
 Every suspect character is mapped back to the byte it had in a legacy encoding. An automaton over the structure of UTF-8 bytes,
 written per encoding as a regular expression over its characters, finds the maximal well-formed multibyte spans, and only these
 spans are decoded; text around them stays as it is. Encodings of two bytes a character are mapped back run by run, and the same
-structure is sought in the bytes. A decoded span must also be plausible: letters or marks of the scripts in use, more than one
-of them where the span could be an accident.
+structure is sought in the bytes; a span ends where characters end. A decoded span must also be plausible: letters or marks of
+the scripts in use, more than one of them where the span could be an accident. Decoding goes on until no span is left.
 
 Bytes of a single-byte encoding read with another one have no multibyte structure. Such words are recognised by what they
 show, and read again with the pair of encodings that makes letters of one script and case out of them. Replacement characters
@@ -126,28 +126,77 @@ def decode_single(text: str, encoding: str) -> tuple[str, int]:
 
 WIDE = re.compile(r"[^\x00-\x7f]{2,}")
 DENSE = re.compile("[\u2e80-\uffef]")
-UTF8 = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2})+")
-
-
-def decode_double(text: str, encoding: str) -> tuple[str, int]:
-    """As decode_single, for encodings of two bytes: a run counts if two thirds of its bytes are well-formed sequences."""
-    spans = 0
+#: The automaton over bytes: sequences of UTF-8, and plain bytes that are halves of a two-byte character.
+SEQUENCE = rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+ONE, SPAN = re.compile(SEQUENCE + rb"|[\x20-\x7e]"), re.compile(b"(?:" + SEQUENCE + b")(?:" + SEQUENCE + rb"|[\x20-\x7e])*")
+#: What a run of bytes must hold to be looked at: two long sequences in a row, or four short ones.
+HINT = re.compile(rb"(?:[\xe0-\xef][\x80-\xbf]{2}){2}|(?:[\xc2-\xdf][\x80-\xbf]){4}|[\xf0-\xf4][\x80-\xbf]{3}")
+PLAIN = re.compile(rb"[\x00-\x7f]")
+#: Letters of two bytes make a span only if all of them are of one script.
+ONE_SCRIPT = re.compile("(?:[Ѐ-ӿ]|[ -~])+|(?:[Ͱ-Ͽ]|[ -~])+|(?:[֐-׿]|[ -~])+|(?:[؀-ۿ]|[ -~])+|(?:[À-ɏ]|[ -~])+")
+
+
+def bytes_of(run: str, encoding: str) -> Iterator[tuple[int, bytes, list[int]]]:
+    """Maximal parts of a run that an encoding can write: first character, their bytes, and the byte at which each character starts."""
+    begin, data, starts = 0, bytearray(), []
+    for k, c in enumerate(run):
+        try:
+            piece = c.encode(encoding)
+        except UnicodeEncodeError:
+            if starts:
+                yield begin, bytes(data), starts
+            data, starts = bytearray(), []
+            continue
+        if not starts:
+            begin = k
+        starts.append(len(data))
+        data += piece
+    if starts:
+        yield begin, bytes(data), starts
+
+
+def decode_double(text: str, encoding: str) -> tuple[str, int, int]:
+    """As decode_single, for encodings of two bytes: the maximal well-formed spans whose ends are ends of characters.
+
+    Characters around a span stay as they are, so a garbled stretch may stand within correct text. A character at the end of a run
+    that belongs to a span with one of its bytes only becomes a replacement character; elsewhere such characters stay. The third
+    value counts spans that lost an end in this way.
+    """
+    spans = cut = 0
+    least = 4  # letters of two bytes that make a span: fewer once the text holds such spans
 
     def put(m: re.Match[str]) -> str:
-        nonlocal spans
-        raw = m.group().encode(encoding, "replace")
-        good = [s for s in UTF8.findall(raw) if len(s) >= 3]
-        held = sum(map(len, good))
-        if held < 6 or held < 0.6 * len(raw):
-            return m.group()
-        decoded = raw.decode("utf-8", "replace")
-        letters = sum(1 for c in decoded if SCRIPTS.match(c))
-        if letters < 0.6 * len(decoded):
-            return m.group()
-        spans += 1
-        return decoded
-
-    return WIDE.sub(put, text), spans
+        nonlocal spans, cut
+        run = m.group()
+        if least == 4 and not HINT.search(run.encode(encoding, "replace")):
+            return run
+        out, done = [], 0
+        for begin, data, starts in bytes_of(run, encoding):
+            character = {b: begin + k for k, b in enumerate(starts)} | {len(data): begin + len(starts)}
+            for span in SPAN.finditer(data):
+                edges = [span.start() + x.start() for x in ONE.finditer(span.group())] + [span.end()]
+                even = [e for e in edges if e in character]
+                # a character that shares its bytes with other ones is given up where nothing else follows or precedes
+                a = 0 if 0 < span.start() < max(starts[:2]) else even[0] if even else span.end()
+                z = len(data) if starts[-1] < span.end() < len(data) else even[-1] if even else span.start()
+                if a >= z:
+                    continue
+                decoded = data[a:z].decode("utf-8", "replace")
+                wide = [c for c in decoded if c > "\x7f" and c != "\ufffd"]
+                long = sum(c > "\u07ff" for c in wide)
+                if not (HINT.search(data, a, z) or (least == 2 and not PLAIN.search(data, a, z))) or not (long >= least // 2 or (len(wide) >= least and not long and ONE_SCRIPT.fullmatch(decoded))) or not SCRIPTS.fullmatch("".join(wide)):
+                    continue
+                out += [run[done : character[a]], decoded]
+                done = character[z]
+                spans += 1
+                cut += any(bool(SCRIPTS.fullmatch(x.decode("utf-8", "replace"))) for x in (data[span.start() : a], data[z : span.end()]) if x)
+        return "".join([*out, run[done:]])
+
+    new = WIDE.sub(put, text)
+    if spans:
+        spans, cut, least = 0, 0, 2
+        new = WIDE.sub(put, text)
+    return new, spans, cut
 
 
 #: Letters with what a mistaken encoding puts between them: a capital or a symbol where a small letter belongs.
@@ -265,31 +314,41 @@ def repair(text: str) -> tuple[str, bool, bool]:
     """Restored text, whether the text is affected, and whether all of it could be restored."""
     if text.isascii():
         return text, False, True
-    affected, lost = False, "\ufffd" in text
-    for _ in range(3):  # wrong twice: the first round uncovers the second
-        probe = " ".join(set(RUN.findall(text)))  # spans lie within runs beyond ASCII; each distinct run is looked at once
-        if not probe:
-            break
-        best, most = text, 0
+    text, affected, cut = decode_spans(text)
+    new, words = reread_words(text)
+    if words:
+        text, _, more = decode_spans(new)
+        affected, cut = True, cut + more
+    lost = "\ufffd" in text
+    return text, affected or lost, not lost and not cut
+
+
+def decode_spans(text: str) -> tuple[str, bool, int]:
+    """All spans of UTF-8 read with a wrong encoding decoded, round by round, until none is left (a text may be wrong more than once).
+
+    Each round takes the encoding that explains most bytes. Every decoding makes the text shorter in bytes, so the rounds end. Also
+    whether there was a span, and the number of spans with a lost end.
+    """
+    affected, cut = False, 0
+    while probe := " ".join(set(RUN.findall(text))):  # spans lie within runs beyond ASCII; each distinct run is looked at once
+        size = len(text.encode("utf-8", "surrogatepass"))
+        best, most, lost = text, 0, 0
         for encoding in SINGLE:
             if automaton(encoding).search(probe):
                 new, spans = decode_single(text, encoding)
-                gain = len(text) - len(new)
-                if spans and gain > most:
-                    best, most = new, gain
+                gain = size - len(new.encode("utf-8", "surrogatepass")) if spans else 0
+                if gain > most:
+                    best, most, lost = new, gain, 0
         if DENSE.search(probe):
             for encoding in DOUBLE:
-                new, spans = decode_double(text, encoding)
-                if spans and len(text) - len(new) > most:
-                    best, most = new, len(text) - len(new)
+                new, spans, ends = decode_double(text, encoding)
+                gain = size - len(new.encode("utf-8", "surrogatepass")) if spans else 0
+                if gain > most:
+                    best, most, lost = new, gain, ends
         if not most:
             break
-        text, affected = best, True
-    new, words = reread_words(text)
-    if words:
-        text, affected = new, True
-    lost = lost or "\ufffd" in text
-    return text, affected or lost, not lost
+        text, affected, cut = best, True, cut + lost
+    return text, affected, cut
 
 
 SCHEMA = "doc_id long, repaired string, restored boolean"

@@ -427,3 +427,33 @@ def test_mojibake_query_on_nulls(spark, tables):
     d = tables(documents=df)
     assert [tuple(r) for r in mojibake.p9_found(spark, d).collect()] == [(1,)]
     assert mojibake.p9_repaired(spark, d).first()["repaired"] == "café"
+
+
+@pytest.mark.parametrize("encoding", ["gbk", "cp932"])
+@pytest.mark.parametrize("text", ["日本語のテキスト", "Ελληνικά κείμενα"])
+def test_double_byte_spans_within_correct_text(text, encoding):
+    correct = "这是一段正常的中文文字，没有任何问题。"
+    garbled = text.encode().decode(encoding, "replace")
+    for before, after in (("", ""), ("a ", " b"), (correct, ""), ("", correct), (correct, correct)):
+        new, affected, whole = mojibake.repair(before + garbled + after)
+        assert affected and whole == (new == before + text + after)
+        assert whole or "�" in garbled
+        assert new.startswith(before) and new.endswith(after)
+
+
+def test_correct_dense_text_stays():
+    for t in ("这是一段正常的中文文字，没有任何问题。", "日本語のテキストは正しいです。漢字とカナ。", "これは「正しい」文章です。ｶﾀｶﾅ"):
+        assert mojibake.repair(t) == (t, False, True)
+
+
+def test_text_decoded_wrong_many_times():
+    text = once = "Déjà vu à Zürich: naïve «œuvre»"
+    for _ in range(6):
+        once = "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in once.encode())
+        assert mojibake.repair(once) == (text, True, True)
+
+
+def test_unreadable_ends_are_not_called_restored():
+    garbled = "数字孪生模型".encode().decode("cp932", "replace")
+    new, affected, whole = mojibake.repair(garbled)
+    assert affected and not whole and new.startswith("数字孪生")
