@@ -75,7 +75,8 @@ def automaton(encoding: str) -> re.Pattern[str]:
 
 
 LONE = re.compile(r"[¡-ſ‐-‧‰-›₠-₿℀-⅏←-⋿]")
-SCRIPTS = re.compile(r"[ -ſΆ-ώЀ-џҐ-ґ؀-ۿऀ-ॿ฀-๿Ḁ-ỿ‐-⁯⁰-⋿─-◿　-ヿ㐀-鿿가-힯＀-￯\U0001f300-\U0001faff]+")
+#: What a decoded span may hold; a control character only as a byte of a sequence that was wrong twice.
+SCRIPTS = re.compile(r"(?:[ƒˆ-˝ -ſΆ-ώЀ-џҐ-ґ؀-ۿऀ-ॿ฀-๿Ḁ-ỿ‐-⁯⁰-⋿─-◿　-ヿ㐀-鿿가-힯＀-￯\U0001f300-\U0001faff]|(?<=[À-ÿ‚-™Œœ])[\x80-\x9f])+")
 
 
 #: Encodings whose lead bytes are capitals with accents: a span of letters alone is no accident there.
