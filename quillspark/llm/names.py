@@ -2,11 +2,17 @@
 
 Spellings are parsed into tokens (accents, case and marks folded away). A symmetric-delete neighbourhood index on tokens finds
 the tokens within one edit or swap of each other: every token is filed under itself and under each of its forms with one
-letter deleted, and two tokens that meet under a form are compared exactly. Spellings whose surname tokens meet are then
-aligned: the cheapest one-to-one assignment of their tokens, permitting initials, nicknames and reordered parts, decides.
+letter deleted, and tokens that meet under a form are compared exactly. A form of n letters is that of at most 26 (n + 1) + 1
+folded tokens, so no form is hot.
 
-A spelling with full given names is a form of an entity; full forms that agree are one entity. A spelling with initials only
-belongs to an entity if it fits exactly one of those that share its surname. Organisations are told apart by their proper name.
+The spellings of one surname are aligned with each other: the cheapest one-to-one assignment of their tokens, permitting initials,
+nicknames and reordered parts, decides. A spelling with full given names is a form of a person; full forms that agree are one
+person. A spelling with initials only belongs to a person if it fits exactly one of those with its surname.
+
+A surname that may be a misspelling of another one (see misspelled) is a guest there: its spellings are aligned with the persons
+of the other surname, and its persons follow the one they fit best, link by link until a surname is reached that is no
+misspelling. Two surnames that both are in use stay apart, whatever their letters. Organisations are told apart by their proper
+name.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.session import cut_lineage, load
@@ -30,12 +36,12 @@ NICKNAMES = (
     "james jim jimmy", "jennifer jen jenny", "johannes hannes hans", "john jack johnny", "joseph joe", "katherine kate kathy katie", "kenneth ken", "leonardo leo",
     "lorenzo renzo", "margaret peggy maggie meg", "matthew matt", "matthias matti matze", "michael mike mick", "nicholas nick nico", "olivera oli", "patricia pat trish", "penelope penny nell",
     "peter pete", "philip phil", "quentin quin", "rebecca becky becca", "richard dick rick", "robert bob bobby rob", "samantha sam", "samuel sam sammy", "stephen steve", "susannah sue susan",
-    "theodore theo ted teddy", "thomas tom tommy", "ursula uschi", "victoria vicky", "vladimir vova volodya", "wilhelmina mina willa", "william bill billy will", "xiomara xio",
-    "yevgenia zhenya", "zacharias zach zack", "zsofia zsofi",
+    "theodore theo ted teddy", "thomas tom tommy", "ursula uschi", "victoria vicky", "vladimir vova volodya", "wilhelmina mina willa", "william bill billy will",
+    "yevgenia zhenya", "zacharias zach zack",
 )
 FULL: dict[str, frozenset[str]] = {n: frozenset(g.split()[0] for g in NICKNAMES if n in g.split()) for group in NICKNAMES for n in group.split()}
-#: Words of organisations (fixed values), and words that carry no meaning in their names.
-ORGANISATION = frozenset("agency association board bureau centre center college committee commission consortium council department division faculty foundation group institute institution laboratory laboratories lab network office organisation organization panel programme program project school section society taskforce team union unit university working labs dept inst univ cent ctr prog comm assoc consort cons soc agcy org".split())
+#: Kinds of bodies, by their names (fixed values), and words that carry no meaning in the names of organisations.
+BODIES = "agency association board bureau center centre college committee commission consortium council department division faculty foundation group institute institution laboratory laboratories network office organisation organization panel programme program project school section society taskforce team union unit university working".split()
 STOP = frozenset("the of for f in and at on a an de der die und".split())
 TWO_LETTERS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø": "o", "æ": "ae", "å": "a", "đ": "d", "ł": "l", "þ": "th", "ð": "d"}
 
@@ -55,9 +61,21 @@ def spelled_out(token: str) -> str:
     return fold("".join(TWO_LETTERS.get(c, c) for c in t))
 
 
+@lru_cache(maxsize=65536)
+def is_body(word: str) -> bool:
+    """Whether a word names a kind of body, in full or cut short: its beginning, or first, last and some letters in order."""
+    w = word.lower().rstrip(".")
+    if w in BODIES:
+        return True
+    if not word.endswith(".") or len(w) < 3:
+        return False
+    inner = re.compile(".*".join(map(re.escape, w)))
+    return any(b.startswith(w) or inner.fullmatch(b) for b in BODIES)
+
+
 def is_organisation(last: str, first: str) -> bool:
-    words = [w.lower().rstrip(".") for w in re.findall(r"[\w.]+", last + " " + first)]
-    return bool(ORGANISATION.intersection(words)) or (len(words) > 3 and any(w in ("for", "of", "f") for w in words))
+    words = re.findall(r"[\w.]+", last + " " + first)
+    return any(map(is_body, words)) or (len(words) > 3 and any(w.lower() in ("for", "of", "f", "f.") for w in words))
 
 
 def initials_of(word: str) -> list[str] | None:
@@ -79,7 +97,7 @@ def person(last: str, first: str) -> tuple[list[str], list[str], list[str]] | No
             if letters is not None:
                 initials += letters
             else:
-                names.append(raw)
+                names.append(unicodedata.normalize("NFKC", raw).lower())
         return names, initials
 
     a, ai = parts(last)
@@ -116,10 +134,19 @@ def full_names(token: str) -> frozenset[str]:
     return FULL.get(t) or frozenset((t,))
 
 
+def shortened(a: str, b: str) -> bool:
+    """Whether one name is a beginning of the other, perhaps with an ending of its own: dan and danny of daniel, charlie of charles."""
+    a, b = sorted((a, b), key=len)
+    m = re.fullmatch(r"(.{2,}(.))\2(?:ie|y|i)|(.{4,})(?:ie|y|i)", a)
+    return len(a) > 2 and b.startswith(a) or bool(m) and b.startswith(m.group(1) or m.group(3))
+
+
 def same_given(a: str, b: str) -> bool:
     if full_names(a) & full_names(b):
         return True
     x, y = fold(a), fold(b)
+    if any(shortened(p, q) for p in {x, *full_names(a)} for q in {y, *full_names(b)}):
+        return True
     return min(len(x), len(y)) > 3 and same_token(a, b) and not (x in FULL and y in FULL)
 
 
@@ -128,7 +155,6 @@ def starts_with(name: str, letter: str) -> bool:
 
 
 PARSED = "name string, kind string, surname string, given array<string>, initials array<string>"
-FORMS = "form string, token string"
 
 
 def parse(last: str, first: str) -> list[tuple[str, str, list[str], list[str]]]:
@@ -140,7 +166,7 @@ def parse(last: str, first: str) -> list[tuple[str, str, list[str], list[str]]]:
     last, first = last or "", first or ""
     if is_organisation(last, first):
         words = re.findall(r"[^\W\d_]+\.?", re.sub(r"\([A-Z]{2,}\)|[{}]", " ", f"{first} {last}"))
-        return [("organisation", "", [w for w in words if not w.endswith(".") and w.lower() not in STOP | ORGANISATION], [])]
+        return [("organisation", "", [w for w in words if not w.endswith(".") and w.lower() not in STOP and not is_body(w)], [])]
     p = person(last, first)
     if p is None:
         return []
@@ -168,26 +194,51 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.string()), pa.array(k, pa.string()), pa.array(s, pa.string()), pa.array(g, strings), pa.array(i, strings)], names=["name", "kind", "surname", "given", "initials"])
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(f, t) for t in b.column("token").to_pylist() for x in {fold(t), spelled_out(t)} if x for f in deletes(x)]
-        if rows:
-            f, t = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.string()), pa.array(t, pa.string())], names=["form", "token"])
+#: A token in at most FEW_FORMS different spellings, or in 1 / MANY of those of its neighbour, may be a misspelling of it...
+FEW_FORMS, MANY = 2, 10
+#: ...if it has LONG letters (two names of that length hardly come so close by chance), occurs at most FEW_USES times, or if the
+#: neighbour has RATIO times its uses or spellings.
+LONG, FEW_USES, RATIO = 8, 2, 2
+
+
+def misspelled(token: Column, n: Column, forms: Column, other_n: Column, other_forms: Column) -> Column:
+    """Whether a token may be a misspelling of a neighbour with more uses; n: uses, forms: different spellings that hold it."""
+    rare = (forms <= FEW_FORMS) | (other_forms >= MANY * forms)
+    return rare & ((F.length(token) >= LONG) | (n <= FEW_USES) | (other_n >= RATIO * n) | (other_forms >= RATIO * forms))
 
 
 def token_neighbours(tokens: DataFrame) -> DataFrame:
-    """(token, root): each distinct token and the most frequent token of its neighbourhood (itself, if it is the most frequent).
+    """(token, other): each folded token, and the tokens with more uses that it may be another writing of.
 
-    tokens: token, n (how often). Per form only its most frequent token is kept (a maximum, combined map-side), so no form
-    makes pairs: a token meets one partner per form, and the best of them that is truly within one edit becomes its root.
+    tokens: token (folded), alts (its spelled-out forms), n, forms. Writings that differ in accents or umlauts only are always
+    neighbours; others must be within one edit and misspelled. No form has more tokens than the alphabet allows.
     """
-    forms = tokens.select("token").mapInArrow(_forms, FORMS).join(tokens, "token")
-    best = forms.groupBy("form").agg(F.max(F.struct("n", "token")).alias("best"))
-    near = forms.join(best, "form").where(F.col("best.n") >= F.col("n")).select("token", F.col("best.token").alias("root"), F.col("best.n").alias("root_n")).distinct()
-    close = F.udf(same_token, "boolean", useArrow=True)
-    near = near.where(close(F.col("token"), F.col("root")))
-    return near.groupBy("token").agg(F.max(F.struct("root_n", "root")).alias("best")).select("token", F.col("best.root").alias("root"))
+    filed = tokens.select("token", F.explode(F.array_distinct(F.flatten(F.transform(F.array_union(F.array("token"), "alts"), _deletes)))).alias("form"))
+    pairs = filed.alias("a").join(filed.alias("b"), F.expr("a.form = b.form and a.token <> b.token")).select(F.col("a.token").alias("token"), F.col("b.token").alias("other")).distinct()
+    a = tokens.select("token", "alts", "n", "forms")
+    b = tokens.select(F.col("token").alias("other"), F.col("alts").alias("other_alts"), F.col("n").alias("other_n"), F.col("forms").alias("other_forms"))
+    met = pairs.join(a, "token").join(b, "other").where("other_n > n or (other_n = n and other > token)")
+    same = F.arrays_overlap(F.array_union("alts", F.array("token")), F.array_union("other_alts", F.array("other")))
+    near = F.udf(lambda x, y, p, q: any(within_one(s, t) for s in {x, *p} for t in {y, *q}), "boolean", useArrow=True)
+    met = met.where(same | (misspelled(F.col("token"), F.col("n"), F.col("forms"), F.col("other_n"), F.col("other_forms")) & near("token", "other", "alts", "other_alts")))
+    return met.select("token", "other", "n", "other_n")
+
+
+def _deletes(token: Column) -> Column:
+    """The forms of deletes() as an expression."""
+    one_less = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.concat(F.substring(token, F.lit(1), i - 1), F.substring(token, i + 1, F.length(token))))
+    return F.when(F.length(token) > 3, F.concat(F.array(token), one_less)).otherwise(F.array(token))
+
+
+def resolve(links: DataFrame) -> DataFrame:
+    """(child, root) of links (child, parent), one parent a child and no circle: pointers are doubled until none moves."""
+    links = cut_lineage(links.select("child", "parent"), "links")
+    while True:
+        up = links.select(F.col("child").alias("parent"), F.col("parent").alias("next"))
+        longer = cut_lineage(links.join(up, "parent", "left").select("child", F.coalesce("next", "parent").alias("parent"), F.col("next").isNotNull().alias("moved")), "links")
+        links = longer.select("child", "parent")
+        if longer.where("moved").isEmpty():
+            return links.withColumnRenamed("parent", "root")
 
 
 # ---------------------------------------------------------------- entities of one surname
@@ -253,9 +304,11 @@ def cheapest(table: list[list[int]]) -> int:
     return sum(table[row_of[k] - 1][k - 1] for k in range(1, m + 1) if row_of[k])
 
 
-def entities(rows: list[tuple[str, list[str], list[str], int]]) -> list[tuple[str, int]]:
+def entities(rows: list[tuple[str, list[str], list[str], int]], guests: list[tuple[str, list[str], list[str], int]] = ()) -> list[tuple[str, int]]:
     """Entity number of each spelling of one surname; rows: (name, given, initials, how often).
 
+    guests are spellings of surnames that may be misspellings of this one: each that fits gets the number it fits best, too.
+
     Spellings with a given name come first, the most frequent ones leading; each joins the leader that it aligns with best, which
     takes over its parts if they are more. Spellings with initials only then join the one leader with which most of their initials
     agree; if several do, none. Those that fit no leader are grouped among themselves in the same way, the longest ones leading.
@@ -264,13 +317,15 @@ def entities(rows: list[tuple[str, list[str], list[str], int]]) -> list[tuple[st
     leaders: list[tuple[list[str], list[str]]] = []
     near: dict[str, set[int]] = {}  # leaders by the forms of their given name: a spelling meets only those it may align with
     out: list[tuple[str, int]] = []
-    for name, given, initials, _ in full:
+
+    def fit(given: list[str], initials: list[str]) -> int | None:
         forms = {f for g in given for n in (*full_names(g), fold(g), spelled_out(g)) for f in deletes(n)} | {"." + i for i in initials}
         met = sorted({k for f in forms for k in near.get(f, ())})
-        costs = [(c, k) for k in met if (c := assign(given, initials, *leaders[k])) is not None]
-        if costs:
-            k = min(costs)[1]
-        else:
+        return min(((c, k) for k in met if (c := assign(given, initials, *leaders[k])) is not None), default=(0, None))[1]
+
+    for name, given, initials, _ in full:
+        k = fit(given, initials)
+        if k is None:
             k = len(leaders)
             leaders.append(([], []))
         if len(given) + len(initials) > sum(map(len, leaders[k])):
@@ -301,33 +356,45 @@ def entities(rows: list[tuple[str, list[str], list[str], int]]) -> list[tuple[st
     for name, given, initials, _ in rows:
         if not given and initials and len(told[tuple(initials)]) == 1:
             out.append((name, told[tuple(initials)][0]))
+    for name, given, initials, _ in guests:
+        fits = [fit(given, initials)] if given else (fitting([*initials], by_letter) or fitting([*initials], alone)) if initials else []
+        if len(fits) == 1 and fits[0] is not None:
+            out.append((name, fits[0]))
     return out
 
 
-ENTITY = "name string, entity string"
+#: Spellings of an entity that one task pairs with all others of it.
+PAIR_ROWS = 1_000
+ENTITY = "form string, home string, surname string, number int"
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entities of the surnames of a partition; rows come in order of surname root, so one surname is held at a time."""
-    held: list[tuple[str, list[str], list[str], int]] = []
+    """Entities of the surnames of a partition; rows come in order of surname, so one surname is held at a time."""
+    held: tuple[list, list] = ([], [])
+    homes: dict[str, str] = {}
     now: str | None = None
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, str, str, int]] = []
 
     def done() -> None:
-        out.extend((name, f"{now}#{k}") for name, k in entities(held))
+        out.extend((form, homes[form], now, k) for form, k in entities(*held))
+
+    def batch() -> pa.RecordBatch:
+        form, home, surname, number = zip(*out, strict=True)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(form, pa.string()), pa.array(home, pa.string()), pa.array(surname, pa.string()), pa.array(number, pa.int32())], names=["form", "home", "surname", "number"])
 
     for b in batches:
-        for root, name, given, initials, n in zip(*(b.column(c).to_pylist() for c in ("root", "name", "given", "initials", "n")), strict=True):
-            if root != now:
+        for surname, home, form, given, initials, n in zip(*(b.column(c).to_pylist() for c in ("surname", "home", "form", "given", "initials", "n")), strict=True):
+            if surname != now:
                 done()
-                now, held = root, []
-            held.append((name, given or [], initials or [], n))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["name", "entity"])
-            out.clear()
+                now, held, homes = surname, ([], []), {}
+            homes[form] = home
+            held[home != surname].append((form, given or [], initials or [], n))
+        if len(out) >= 10_000:
+            yield batch()
     done()
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["name", "entity"])
+        yield batch()
 
 
 def spellings(refs: DataFrame) -> DataFrame:
@@ -336,43 +403,69 @@ def spellings(refs: DataFrame) -> DataFrame:
 
 
 def linked(refs: DataFrame) -> DataFrame:
-    """(name, entity): every spelling that could be read, and the entity it belongs to."""
+    """(name, entity): every spelling that could be read and belongs to one entity only, and that entity."""
     names = cut_lineage(spellings(refs), "spellings")
     counted = names.select(F.concat_ws("|", "last", "first").alias("name"), "n")
     rows = cut_lineage(names.select("last", "first").mapInArrow(_parse, PARSED).join(counted, "name"), "parsed")
-    people = rows.where("kind <> 'organisation'")
+    found = people(rows.where("kind <> 'organisation'"))
+    return found.unionByName(organisations(rows.where("kind = 'organisation'")))
+
+
+def people(rows: DataFrame) -> DataFrame:
+    """(name, entity) of people."""
     # which field is the surname: not a known given name; else the token that mostly stands in the place of one
     fold_udf, known_given = F.udf(fold, "string", useArrow=True), F.udf(lambda t: fold(t) in FULL, "boolean", useArrow=True)
-    role = people.where("kind = 'person'").select(F.col("surname").alias("token"), F.col("n").alias("as_surname"), F.lit(0).cast("long").alias("as_given"))
-    given = people.where("kind = 'person'").select(F.explode("given").alias("token"), F.lit(0).cast("long").alias("as_surname"), F.col("n").alias("as_given"))
+    role = rows.where("kind = 'person'").select(F.col("surname").alias("token"), F.col("n").alias("as_surname"), F.lit(0).cast("long").alias("as_given"))
+    given = rows.where("kind = 'person'").select(F.explode("given").alias("token"), F.lit(0).cast("long").alias("as_surname"), F.col("n").alias("as_given"))
     roles = role.unionByName(given).withColumn("token", fold_udf("token")).groupBy("token").agg(F.sum("as_surname").alias("as_surname"), F.sum("as_given").alias("as_given"))
     weight = F.coalesce(F.col("as_surname"), F.lit(0)) - F.coalesce(F.col("as_given"), F.lit(0))
-    scored = people.withColumn("token", fold_udf("surname")).join(roles, "token", "left").withColumn("weight", weight).withColumn("given_name", known_given("surname"))
+    scored = rows.withColumn("token", fold_udf("surname")).join(roles, "token", "left").withColumn("weight", weight).withColumn("given_name", known_given("surname"))
     order = F.struct(~F.col("given_name"), F.col("weight"), F.col("kind") == "person")
-    chosen = scored.groupBy("name").agg(F.max_by(F.struct("surname", "given", "initials", "n"), order).alias("r")).select("name", "r.*")
-    tokens = chosen.groupBy(F.col("surname").alias("token")).agg(F.sum("n").alias("n"))
-    roots = token_neighbours(cut_lineage(tokens, "tokens"))
-    rooted = chosen.join(roots, chosen.surname == roots.token).select("root", "name", "given", "initials", "n")
-    found = rooted.repartition("root").sortWithinPartitions("root", "name").mapInArrow(_entities, ENTITY)
-    return found.unionByName(organisations(rows.where("kind = 'organisation'")))
+    chosen = scored.groupBy("name").agg(F.max_by(F.struct("token", "surname", "given", "initials", "n"), order).alias("r")).select("name", F.col("r.token").alias("home"), "r.surname", "r.given", "r.initials", "r.n")
+    # spellings that differ in case, marks or order only are one form
+    form = F.concat_ws(" ", "home", F.array_join("given", "+"), F.array_join("initials", "."))
+    chosen = cut_lineage(chosen.where("home <> ''").withColumn("form", form), "chosen")
+    forms = cut_lineage(chosen.groupBy("form", "home").agg(F.min("given").alias("given"), F.min("initials").alias("initials"), F.sum("n").alias("n")), "forms")
+    alts = chosen.select("home", F.udf(spelled_out, "string", useArrow=True)("surname").alias("alt")).groupBy("home").agg(F.collect_set("alt").alias("alts"))  # as many as writings with and without umlauts
+    tokens = forms.groupBy("home").agg(F.sum("n").alias("n"), F.count("*").alias("forms")).join(alts, "home").withColumnRenamed("home", "token")
+    others = token_neighbours(cut_lineage(tokens, "tokens")).select(F.col("token").alias("home"), F.col("other").alias("surname"), "other_n")
+    others = cut_lineage(others, "others")
+    placed = forms.withColumn("surname", F.col("home")).unionByName(forms.join(others.drop("other_n"), "home"))
+    met = cut_lineage(placed.repartition("surname").sortWithinPartitions("surname", "form").mapInArrow(_entities, ENTITY), "entities")
+    entity = F.concat("surname", F.lit("#"), "number")
+    own = met.where("surname = home").select("form", entity.alias("entity"))
+    guests = met.where("surname <> home").join(others, ["home", "surname"]).select("form", entity.alias("parent"), "other_n")
+    # a person follows the person of another surname that most of its forms fit, the more frequent surname first
+    votes = guests.join(own, "form").groupBy("entity", "parent").agg(F.count("*").alias("votes"), F.max("other_n").alias("other_n"))
+    links = votes.groupBy(F.col("entity").alias("child")).agg(F.max_by("parent", F.struct("votes", "other_n", "parent")).alias("parent"))
+    roots = resolve(links)
+    # forms that are no person at home (initials that fit several) still are one if they fit exactly one elsewhere
+    homeless = guests.join(own, "form", "left_anti").groupBy("form").agg(F.max_by("parent", F.struct("other_n", "parent")).alias("entity"))
+    persons = own.unionByName(homeless).join(roots.withColumnRenamed("child", "entity"), "entity", "left").select("form", F.coalesce("root", "entity").alias("entity"))
+    return chosen.select("name", "form").join(persons, "form").select("name", "entity")
 
 
 def organisations(rows: DataFrame) -> DataFrame:
     """(name, entity) of organisations by their proper name: of the words that are no kind of body, the one that stands in the
     fewest spellings, counted with its misspellings."""
-    words = rows.select("name", F.explode("given").alias("token"), "n")
-    counts = cut_lineage(words.groupBy("token").agg(F.count_distinct("name").alias("n")), "org-words")
-    roots = token_neighbours(counts)
-    sizes = roots.join(counts, "token").groupBy("root").agg(F.sum("n").alias("spellings"))
-    proper = words.join(roots, "token").join(sizes, "root").groupBy("name").agg(F.min_by("root", F.struct("spellings", F.lower("root"))).alias("proper"))
-    return proper.select("name", F.concat(F.lit("organisation "), F.udf(fold, "string", useArrow=True)("proper")).alias("entity"))
+    words = rows.select("name", F.explode("given").alias("word"), "n").withColumn("token", F.udf(fold, "string", useArrow=True)("word")).where("token <> ''")
+    alts = F.collect_set(F.udf(spelled_out, "string", useArrow=True)("word")).alias("alts")
+    counts = cut_lineage(words.groupBy("token").agg(F.count_distinct("name").alias("forms"), F.sum("n").alias("n"), alts), "org-words")
+    near = token_neighbours(counts).groupBy(F.col("token").alias("child")).agg(F.max_by("other", F.struct("other_n", "other")).alias("parent"))
+    roots = counts.join(resolve(near), F.col("child") == F.col("token"), "left").select("token", F.coalesce("root", "token").alias("root"), "forms")
+    sizes = roots.groupBy("root").agg(F.sum("forms").alias("spellings"))
+    proper = words.join(roots, "token").join(sizes, "root").groupBy("name").agg(F.min_by("root", F.struct("spellings", "root")).alias("proper"))
+    return proper.select("name", F.concat(F.lit("organisation "), "proper").alias("entity"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different spellings of one entity, the smaller one first."""
     links = cut_lineage(linked(load(spark, sf_dir, "refs").select("authors")).distinct(), "links")
-    a, b = links.select(F.col("name").alias("name_a"), "entity"), links.select(F.col("name").alias("name_b"), "entity")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b").distinct()
+    sizes = links.groupBy("entity").agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts")).where("parts > 1")
+    links = links.join(sizes, "entity", "left").select("name", "entity", F.coalesce("parts", F.lit(1)).alias("parts"))
+    a = links.select(F.col("name").alias("name_a"), "entity", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"))
+    b = links.select(F.col("name").alias("name_b"), "entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["entity", "part"]).where("name_a < name_b").select("name_a", "name_b").distinct()
 
 
 def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

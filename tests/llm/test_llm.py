@@ -175,6 +175,56 @@ def test_names_link_variants_only(spark, tables):
     assert got == want
 
 
+def _entities_of(spark, *spellings):
+    """Groups of (last, first, uses)."""
+    authors = [([{"last": last, "first": first}],) for last, first, n in spellings for _ in range(n)]
+    found = {}
+    for name, entity in names.linked(spark.createDataFrame(authors, "authors array<struct<last:string,first:string>>")).distinct().collect():
+        found.setdefault(entity, set()).add(name)
+    return sorted(map(sorted, found.values()))
+
+
+def test_surnames_in_use_stay_apart_and_chains_of_misspellings_meet(spark):
+    close = [(s, "Peter", 9) for s in ("Hansen", "Hanson", "Jansen")] + [("Hansn", "Peter", 1)]
+    assert _entities_of(spark, *close) in ([["Hansen|Peter", "Hansn|Peter"], ["Hanson|Peter"], ["Jansen|Peter"]], [["Hansen|Peter"], ["Hansn|Peter", "Hanson|Peter"], ["Jansen|Peter"]])
+    chain = [("Abcdefgh", "Otto", 9), ("Abcdefghx", "Otto", 3), ("Abcdefghxy", "Otto", 1), ("Abcdefghxy", "Anna", 1)]
+    assert _entities_of(spark, *chain) == [["Abcdefghxy|Anna"], ["Abcdefghxy|Otto", "Abcdefghx|Otto", "Abcdefgh|Otto"]]
+    # a misspelling next to two surnames belongs to the one whose person it fits
+    two = [("Karlsen", "Ida", 9), ("Karlser", "Otto", 4), ("Karlse", "Otto", 1), ("Karlse", "I.", 1)]
+    assert _entities_of(spark, *two) == [["Karlsen|Ida", "Karlse|I."], ["Karlser|Otto", "Karlse|Otto"]]
+
+
+def test_close_surnames_recall_and_precision(spark):
+    """A made table: surnames a letter apart that are all in use, each with misspellings; links against the truth."""
+    rng = random.Random(11)
+    given = ["Peter", "Anna", "Otto", "Ida", "Karl", "Rosa", "Hugo", "Vera"]
+    stems = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+    truth, rows = {}, []
+    for stem in stems:
+        for surname in (stem + "sen", stem + "son", stem + "ser"):
+            for g in rng.sample(given, 4):
+                who = (surname, g)
+                forms = {(surname.title(), g): 9, (surname.upper(), g[0] + "."): 4, (g, surname.title() + ","): 3}
+                wrong = list(surname)
+                k = rng.randrange(1, len(wrong) - 4)
+                wrong[k], wrong[k + 1] = wrong[k + 1], wrong[k]
+                forms["".join(wrong).title(), g] = 1
+                for (last, first), n in forms.items():
+                    truth.setdefault(f"{last}|{first}", set()).add(who)
+                    rows.append((last, first, n))
+    groups = _entities_of(spark, *rows)
+    clear = {name: next(iter(w)) for name, w in truth.items() if len(w) == 1}
+    found = {frozenset(p) for g in groups for p in itertools.combinations([n for n in g if n in clear], 2)}
+    want = {frozenset(p) for p in itertools.combinations(clear, 2) if clear[p[0]] == clear[p[1]]}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.97 * len(found)
+
+
+def test_pointers_are_resolved_to_the_root(spark):
+    links = spark.createDataFrame([(str(i), str(i + 1)) for i in range(20)] + [("a", "b")], "child string, parent string")
+    assert {r["root"] for r in names.resolve(links).where("child <> 'a'").collect()} == {"20"}
+    assert names.resolve(links.limit(0)).count() == 0
+
+
 def test_middle_names_and_further_initials_decide():
     def groups(*spellings):
         found = {}
