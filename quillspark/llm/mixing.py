@@ -14,6 +14,8 @@ share of 0, and the other shares are taken relative to what remains.
 from __future__ import annotations
 
 import math
+import os
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +26,8 @@ from pyspark.sql.types import LongType
 from quillspark.session import cut_lineage, load, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How the public tokenizer cuts a text into pieces (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents that are rounded together.
 GROUP_ROWS = 10_000
 STEPS, CLOSE = 60, 1e-9
@@ -31,19 +35,19 @@ STEPS, CLOSE = 60, 1e-9
 OFFSETS = [(k + 0.5) / 16 for k in range(16)]
 
 
-def token_counter(path: str):
-    """A scalar iterator UDF that counts the tokens of a text; the vocabulary is read once per Python worker."""
+def token_counter(name: str, pattern: str = PATTERN):
+    """A scalar iterator UDF that counts the tokens of a text; the shipped vocabulary is read once per Python worker."""
 
     @F.pandas_udf(LongType())
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import base64
 
-        import public_tokenizers
         import tiktoken
+        from pyspark import SparkFiles
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("counter", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for texts in parts:
             yield texts.map(lambda t: len(encoding.encode_ordinary(t)) if t else 0)
 
@@ -53,7 +57,15 @@ def token_counter(path: str):
 def token_sizes(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source, tokens), written once; documents without source or tokens are left out, repeated ids count once."""
     df = spread(documents.where(F.col("source").isNotNull() & F.col("text").isNotNull()))
-    return df.select("doc_id", "source", token_counter(tokenizer)(F.col("text")).alias("tokens")).where("tokens > 0")
+    sizes = df.select("doc_id", "source", token_counter(shipped(documents.sparkSession, tokenizer))(F.col("text")).alias("tokens")).where("tokens > 0")
+    once = sizes.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("r"))  # of an id's rows the longest text counts
+    return once.select("doc_id", "r.source", "r.tokens")
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """The name of a vocabulary file that was sent to every worker: it need not be on their machines."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
 
 
 def balance(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -> list[dict]:
@@ -98,6 +110,8 @@ def balance(sizes: DataFrame, targets: DataFrame, budget: float | None = None) -
                 r["tilt"] = 50 * r["mean"]
         if worst <= 1e-6:
             break
+    else:
+        warnings.warn(f"a source is still {worst:.2%} of its tokens away from its target after {STEPS} steps", stacklevel=2)
     return [r | next((x for x in live if x["source"] == r["source"]), {"tilt": None, "mean": 1.0, "tokens": have[r["source"]]["tokens"] if r["source"] in have else 0}) for r in rows]
 
 

@@ -21,20 +21,27 @@ from pyspark.sql.types import StringType
 
 from quillspark.session import cut_lineage, load
 
-#: Most distinct keys of a bucket.
-BUCKET_KEYS = 100_000
-#: Classes of more copies than this meet their members without a shuffle.
-HOT_COPIES = 1_000_000
+#: Most keys of a bucket, and bytes by which an oversized one is split at once.
+BUCKET_KEYS, SPLIT_BYTES = 10_000, 2
+#: Classes that hold more than this part of all rows meet their members without a shuffle; there are fewer than that many.
+HOT_PART = 1_000
 #: Distinct keys a map task holds before it sends them.
 FLUSH_KEYS = 500_000
 
 _ALNUM = re.compile(r"[\W_]+")
+#: Marks that choose the look of a letter only.
+_VARIATION = re.compile("[\u180b-\u180f\ufe00-\ufe0f\U000e0100-\U000e01ef]")
 
 
 def canonical_title(title: str) -> str:
-    """Letters, marks and digits in order, after compatibility composition and case folding."""
+    """Letters, marks and digits in order, after compatibility composition and case folding.
+
+    Marks that belong to no composed letter stay (vowel signs tell words apart); those that choose a glyph don't count.
+    """
+    if title.isascii():
+        return _ALNUM.sub("", title.lower())
     t = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", title).casefold())
-    return "".join(c for c in _ALNUM.sub("", t) if unicodedata.category(c) != "Cf") if t.isascii() is False else _ALNUM.sub("", t)
+    return "".join(c for c in _VARIATION.sub("", t) if c.isalnum() or unicodedata.category(c)[0] == "M")
 
 
 @F.pandas_udf(StringType())
@@ -166,27 +173,24 @@ def _common_prefix(a: bytes, b: bytes) -> int:
 def radix_buckets(keys: DataFrame, most: int = BUCKET_KEYS) -> DataFrame:
     """keys with a column bucket: their leading bytes, as many as it takes until no bucket holds more than most rows.
 
-    Each round counts the open buckets by one byte more than their common prefix. Only the list of oversized buckets comes to
-    the driver: there are at most rows / most of them at any time. A bucket of equal keys can't be split and is not oversized in
-    distinct keys, for copies are collapsed per task before.
+    Each round splits the oversized buckets by the SPLIT_BYTES bytes after the common prefix of their keys, and writes the rows of
+    these buckets only. The list of oversized buckets comes to the driver: there are at most rows / most of them. A bucket of equal
+    keys can't be split and needs not be, for copies are collapsed per task before.
     """
     spark = keys.sparkSession
-    stats = keys.agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).first()
-    bucket: Column = F.lit(b"")
-    if stats["n"] <= most:
-        return keys.withColumn("bucket", bucket)
-    keys = keys.withColumn("bucket", bucket)
-    open_ = [(b"", bytes(stats["low"]), bytes(stats["high"]))]
-    while open_:
-        plan = spark.createDataFrame([(p, _common_prefix(low, high) + 1) for p, low, high in open_], "bucket binary, size int")
-        keys = keys.join(F.broadcast(plan), "bucket", "left")  # bounded: see above
-        longer = F.when(F.col("size").isNotNull(), F.substring(F.col("key"), F.lit(1), F.col("size"))).otherwise(F.col("bucket"))
-        keys = cut_lineage(keys.withColumn("bucket", longer).select("bucket", "key", "copies", "first"), "radix")
-        parents = [p for p, _, _ in open_]
-        counts = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
-        rows = counts.where((F.col("n") > most) & (F.col("low") != F.col("high"))).collect()  # at most rows / most
-        open_ = [(bytes(r["bucket"]), bytes(r["low"]), bytes(r["high"])) for r in rows if not (bytes(r["bucket"]) in parents and bytes(r["low"]) == bytes(r["high"]))]
-    return keys
+    stats = [F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")]
+    open_ = keys.withColumn("bucket", F.lit(b""))
+    done, found = None, [r for r in open_.groupBy("bucket").agg(*stats).collect() if r["n"] > most and r["low"] != r["high"]]
+    while found:
+        plan = spark.createDataFrame([(r["bucket"], _common_prefix(bytes(r["low"]), bytes(r["high"])) + SPLIT_BYTES) for r in found], "bucket binary, size int")
+        plan = F.broadcast(plan)  # bounded: see above
+        closed = open_.join(plan, "bucket", "left_anti")
+        done = closed if done is None else done.unionByName(closed)
+        split = open_.join(plan, "bucket").withColumn("bucket", F.substring(F.col("key"), F.lit(1), F.col("size")))
+        open_ = cut_lineage(split.select("bucket", "key", "copies", "first"), "radix")
+        found = open_.groupBy("bucket").agg(*stats).where((F.col("n") > most) & (F.col("low") != F.col("high"))).collect()
+    columns = ["bucket", "key", "copies", "first"]
+    return open_.select(columns) if done is None else done.select(columns).unionByName(open_.select(columns))
 
 
 def classes(records: DataFrame, most: int = BUCKET_KEYS) -> DataFrame:
@@ -204,12 +208,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(first_ref_id, ref_id) for each entry that isn't the first of its group of copies.
 
     Null and blank fields are missing, and agree with missing only. A repeated row is a copy of itself and has no row here.
-    Classes of one entry leave before the join. Classes of more than HOT_COPIES entries, of which there are at most
-    rows / HOT_COPIES, are sent to their members where these stand, so that the shuffled join has no hot key.
+    Classes of one entry leave before the join. Classes of more than 1 / HOT_PART of all entries (fewer than HOT_PART of them) are
+    sent to their members where these stand, so that the shuffled join has no hot key.
     """
     entries = cut_lineage(keyed(load(spark, sf_dir, "refs")), "keys")
     many = cut_lineage(classes(entries).where("copies > 1").select("key", F.col("first").alias("first_ref_id"), "copies"), "classes")
-    hot, rest = F.broadcast(many.where(F.col("copies") > HOT_COPIES)), many.where(F.col("copies") <= HOT_COPIES)
+    limit = entries.count() / HOT_PART
+    hot, rest = F.broadcast(many.where(F.col("copies") > limit)), many.where(F.col("copies") <= limit)
     found = entries.join(hot, "key").unionByName(entries.join(hot.select("key"), "key", "left_anti").join(rest, "key"))
     return found.where(F.col("id") != F.col("first_ref_id")).select("first_ref_id", F.col("id").alias("ref_id")).distinct()
 

@@ -83,21 +83,33 @@ class Settler:
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the result in a partition that holds all unsettled rows of its keys."""
-    parts: list[tuple[np.ndarray, ...]] = []
+    """Rows of the result in a partition that holds all unsettled rows of its keys, in order of key.
+
+    Held are the rows of a batch and those of the last key before it: a key has rows of one record and two witnesses a flush.
+    """
+    held: list[np.ndarray] | None = None
+
+    def count(key: np.ndarray, rec: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order, group, both = _in_two_records(key, rec)
+        pick = order[both[group] & (size[order] > 0)]
+        if len(pick):
+            yield _out(rec[pick], at[pick], size[pick])
+
     for b in batches:
         settled = b.column("settled").to_numpy(zero_copy_only=False)
         columns = [b.column(c).to_numpy() for c in ("key", "rec", "at", "size")]
         if settled.any():
             yield _out(*(x[settled] for x in columns[1:]))
         if not settled.all():
-            parts.append(tuple(x[~settled] for x in columns))
-    if parts:
-        key, rec, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order, group, both = _in_two_records(key, rec)
-        pick = order[both[group] & (size[order] > 0)]
-        if len(pick):
-            yield _out(rec[pick], at[pick], size[pick])
+            fresh = [x[~settled] for x in columns]
+            if held is not None:
+                fresh = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            last = np.searchsorted(fresh[0], fresh[0][-1])
+            if last:
+                yield from count(*(x[:last] for x in fresh))
+            held = [x[last:] for x in fresh]
+    if held is not None:
+        yield from count(*held)
 
 
 def _out(rec: np.ndarray, at: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
@@ -109,4 +121,4 @@ def shared_rows(settled: DataFrame) -> DataFrame:
 
     A row may come twice; an empty input gives an empty result.
     """
-    return settled.repartition(F.col("route")).mapInArrow(_reduce, OUT)
+    return settled.repartition(F.col("route")).sortWithinPartitions("settled", "key").mapInArrow(_reduce, OUT)

@@ -1,13 +1,17 @@
 """Problem 2: long exact spans shared between records.
 
-Content-defined chunking over words. A gear rolling hash over GEAR_WORDS words runs through every record; a chunk begins where
-that hash is the least of some window of WINDOW positions. Cuts depend on the nearby words only, so chunks resist insertions
-and deletions, and two cuts are never more than WINDOW positions apart. A chunk's words (from the first word of the gram
-that makes its cut to the last word of the next one) are digested, and the digests counted over all records.
-
-Why no shared run is missed: a run of 12 words holds 10 grams of 3 words, that is two disjoint windows of 5. The least gram of
-either is a cut in every record that has the run, and no window reaching beyond the run can add a cut between these two, since
-it would have to contain one of them, which is less. So the chunk between them is the same in every such record, and shared.
+Content-defined chunking over words. A gear rolling hash over GEAR_WORDS words runs through every record; a cut is a place where
+that hash is the least of some window of WINDOW places (a windowed minimum in place of the usual condition on the hash's bits,
+for it bounds the distance of cuts). Cuts depend on the nearby words only, so chunks resist insertions and deletions. A chunk
+runs from a cut to the first cut at least LEAST_GRAMS places on, as chunks of a least size do, and begins at every cut; its words
+(to the last word of the gram that makes its end) are digested, and the digests counted over all records. Chunks have 8 to 10
+words, few enough of which repeat by chance.
+
+Why no shared run is missed: let a run of 12 words hold the grams 0 to 9. The least gram c of the window 0..2 is a cut in every
+record that has the run. Its chunk ends at the first cut from c + 5 on. The window c+5..c+7 lies within the run; its least gram q
+is a cut in all these records, so the end is at most q. Other cuts between c + 5 and q come from windows within the run, and are
+the same everywhere, or from windows that reach beyond gram 9: these could only add gram 8 with q = 9, but they contain q, which
+is no greater than gram 8, and of equal grams the last one counts. So the chunk is the same in every such record, and shared.
 Chunks being shorter than a span, a second count verifies: of the windows of MIN_WORDS words around shared chunks only,
 digests are counted in the same way. Their union per record is the result.
 """
@@ -27,8 +31,9 @@ from quillspark.session import cut_lineage, load
 
 MIN_WORDS = 12
 GEAR_WORDS = 3
-#: Two disjoint windows must fit into the grams of a span.
-WINDOW = (MIN_WORDS - GEAR_WORDS + 1) // 2
+#: Places of a window, and least grams of a chunk: two windows with that distance must fit into the grams of a span.
+WINDOW = 3
+LEAST_GRAMS = MIN_WORDS - GEAR_WORDS + 1 - 2 * WINDOW + 1
 TABLES = ("passages", "draft_sentences", "source_sentences")
 IDS = {"passages": "passage_id", "draft_sentences": "sent_id", "source_sentences": "src_id"}
 
@@ -60,11 +65,13 @@ def cuts(hashes: np.ndarray, offsets: np.ndarray, width: int, window: int) -> np
 
 
 def chunk_bounds(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Record number, first word and end of each chunk between two cuts of one record."""
+    """Record number, first word and end of each chunk: from every cut to the first one LEAST_GRAMS on, of the same record."""
     at = cuts(hashes, offsets, GEAR_WORDS, WINDOW)
     record = np.searchsorted(offsets, at, side="right") - 1
-    same = record[1:] == record[:-1]
-    return record[:-1][same], at[:-1][same], at[1:][same] + GEAR_WORDS
+    end = np.searchsorted(at, at + LEAST_GRAMS)
+    ok = end < len(at)
+    ok[ok] = record[end[ok]] == record[ok]
+    return record[ok], at[ok], at[end[ok]] + GEAR_WORDS
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,11 +48,21 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def union(parts: list[bytes]) -> bytes:
-    return parts[0] if len(parts) == 1 else pack(np.unique(np.concatenate([unpack(p) for p in parts])))
+    """Of bitmaps a bitwise or; arrays are merged, or set in the bitmap if there is one."""
+    if len(parts) == 1:
+        return parts[0]
+    maps = [p for p in parts if len(p) == 8192]
+    arrays = [np.frombuffer(p, "<u2") for p in parts if len(p) != 8192]
+    low = np.unique(np.concatenate(arrays)) if arrays else np.empty(0, np.uint16)
+    if not maps:
+        return pack(low)
+    bits = np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in maps])
+    np.bitwise_or.at(bits, low >> 3, np.left_shift(1, low & 7).astype(np.uint8))
+    return bits.tobytes()
 
 
 def cardinality(data: bytes) -> int:
-    return len(unpack(data))
+    return int(np.bitwise_count(np.frombuffer(data, np.uint64)).sum()) if len(data) == 8192 else len(data) // 2
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,14 +86,18 @@ def _containers(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     high = number >> 16
     order = np.lexsort((number, high, code))
     code, number, high = code[order], number[order], high[order]
-    starts = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (high[1:] != high[:-1])])) if len(code) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(code))
-    low = (number & 0xFFFF).astype(np.int64)
-    packed = [pack(np.unique(low[s:e])) for s, e in zip(starts, ends, strict=True)]
-    yield pa.RecordBatch.from_arrays(
-        [coded.dictionary.take(pa.array(code[starts])), pa.array(high[starts]), pa.array(packed, pa.binary()), pa.array(ends - starts)],
-        names=["term", "high", "container", "postings"],
-    )
+    fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (high[1:] != high[:-1])]) if len(code) else np.empty(0, bool)
+    starts = np.flatnonzero(fresh)
+    postings = np.diff(np.append(starts, len(code)))
+    once = fresh | np.concatenate([[True], number[1:] != number[:-1]]) if len(code) else fresh  # repeated numbers of a container
+    low = (number[once] & 0xFFFF).astype("<u2")
+    bounds = np.append(np.flatnonzero(fresh[once]), len(low))
+    sizes = np.diff(bounds)
+    if (sizes > ARRAY_MOST).any():
+        packed = pa.array([pack(low[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())
+    else:  # arrays only: the numbers are the containers' bytes as they stand
+        packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(low)])
+    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[starts])), pa.array(high[starts]), packed, pa.array(postings)], names=["term", "high", "container", "postings"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,12 +70,32 @@ def test_classes_against_brute_force(spark, most):
     assert radix_copies.classes(spark.createDataFrame([], "id long, key binary"), most).count() == 0
 
 
+def test_only_open_buckets_are_written_again(spark, monkeypatch):
+    written = []
+    keep = radix_copies.cut_lineage
+    monkeypatch.setattr(radix_copies, "cut_lineage", lambda df, name: written.append((name, df.count())) or keep(df, name))
+    keys = [b"a%03d" % i for i in range(40)] + [b"b"] * 30 + [b"common prefix %02d" % i for i in range(20)]
+    df = spark.createDataFrame([(k, 1, i) for i, k in enumerate(keys)], "key binary, copies long, first long")
+    got = radix_copies.radix_buckets(df, 15).collect()
+    assert sorted(bytes(r["key"]) for r in got) == sorted(keys)
+    sizes = {}
+    for r in got:
+        sizes.setdefault(bytes(r["bucket"]), set()).add(bytes(r["key"]))
+    assert all(len(v) <= 15 for v in sizes.values()) and all(k.startswith(b) for b, v in sizes.items() for k in v)
+    assert written[0][1] == 90 and all(n < 90 for _, n in written[1:])
+
+
+def test_titles_keep_vowel_signs():
+    same = radix_copies.canonical_title
+    assert same("कमल") != same("कमला") and same("A\ufe0f-b\u200d") == "ab" and same("Cafe\u0301") == same("CAFÉ")
+
+
 def test_found_copies_with_nulls_repeats_and_extra_columns(spark, tables, monkeypatch):
     rows = [(1, "T a", None, ""), (2, "t-A", " ", None), (3, "t a", "10.1/x", None), (4, None, None, None), (5, "", None, None), (2, "t-A", " ", None)]
     df = spark.createDataFrame(rows, "ref_id long, title string, doi string, url string").withColumn("key", F.lit("clash")).withColumn("first", F.lit(0))
     d = tables(refs=df)
     assert sorted(map(tuple, radix_copies.p1_found(spark, d).collect())) == [(1, 2), (4, 5)]
-    monkeypatch.setattr(radix_copies, "HOT_COPIES", 2)  # the class of three copies (one repeated row) is hot
+    monkeypatch.setattr(radix_copies, "HOT_PART", 3)  # the class of three copies (one repeated row) is hot
     assert sorted(map(tuple, radix_copies.p1_found(spark, d).collect())) == [(1, 2), (4, 5)]
 
 
@@ -143,6 +163,15 @@ def test_containers():
     assert term_bitmaps.cardinality(term_bitmaps.union([term_bitmaps.pack(a), term_bitmaps.pack(b)])) == 9000
 
 
+def test_union_of_containers():
+    rng = np.random.default_rng(4)
+    for sizes in ((10, 20), (5000, 30), (5000, 6000, 7, 9), (1,), (3000, 3000)):
+        sets = [np.unique(rng.integers(0, 65536, n)) for n in sizes]
+        want = np.unique(np.concatenate(sets))
+        got = term_bitmaps.union([term_bitmaps.pack(x) for x in sets])
+        assert (term_bitmaps.unpack(got) == want).all() and term_bitmaps.cardinality(got) == len(want)
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_term_counts_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(term_bitmaps, "BROADCAST_VALUES", most)
@@ -437,6 +466,12 @@ def test_shares_and_caps(spark):
         assert max(r["copies"] for r in picked if r["source"] == s) <= most
 
 
+def test_repeated_ids_count_once(spark, tables):
+    docs = [(1, "a", "one two three"), (1, "a", "one two three"), (2, "a", "four"), (2, "b", "four five six seven"), (3, None, "x"), (4, "a", None)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    assert sorted((r["doc_id"], r["source"]) for r in mixing.token_sizes(df).collect()) == [(1, "a"), (2, "b")]
+
+
 def test_mixing_without_documents(spark):
     sizes = spark.createDataFrame([], "doc_id long, source string, tokens long")
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
