@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quillspark.llm import bits, leaks, mixing, mojibake, names, radix_copies, scans, sentences, shared_keys, spans, term_bitmaps, words
+from quillspark.llm import bits, leaks, mixing, mojibake, names, radix_copies, scans, sentences, shared_keys, spans, term_bitmaps, unmarked, words
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 
@@ -542,3 +542,38 @@ def test_unreadable_ends_are_not_called_restored():
     garbled = "数字孪生模型".encode().decode("cp932", "replace")
     new, affected, whole = mojibake.repair(garbled)
     assert affected and not whole and new.startswith("数字孪生")
+
+
+# ---------------------------------------------------------------- 5 text that has lost its marks
+
+
+def _grammar(seed, n, dense):
+    """Sentences with an order of words, as a language has: opener, subject, verb, object."""
+    rng = random.Random(seed)
+    if dense:
+        parts = [["这个", "每个", "那个"], ["系统", "模型", "平台"], ["支持", "控制", "描述"], ["数据", "网络", "窗口"], ["。"]]
+        return ["".join(rng.choice(p) for p in parts) for _ in range(n)]
+    if dense is None:
+        parts = [["ทุก", "นี้"], ["ระบบ", "โมเดล"], ["ควบคุม", "รองรับ"], ["ข้อมูล", "เครือข่าย"]]
+        return ["".join(rng.choice(p) for p in parts) for _ in range(n)]
+    things = ["pump", "sensor", "twin", "valve", "grid", "line", "record"]
+    parts = [["The", "Each", "This"], things, ["drives", "holds", "reads"], ["every", "no", "some"], things]
+    return [" ".join(rng.choice(p) for p in parts) + "." for _ in range(n)]
+
+
+@pytest.mark.parametrize("dense", [False, True, None])
+def test_text_without_marks_is_split(dense):
+    cells = [("" if dense else " ").join(_grammar(k, 3, dense)) for k in range(200)]
+    model = sentences.Model()
+    model.fit([sentences.places(c) for c in cells], [sentences.first_word(c) for c in cells], cells)
+    told = [s.rstrip(".。").lower() for s in _grammar(999, 40, dense)]
+    text = ("" if dense in (True, None) else " ").join(told)
+    got = [text[a:z] for a, z in sentences.split(text, model)]
+    assert len(set(enumerate(got)) & set(enumerate(told))) >= 0.9 * len(told)
+    assert len(sentences.split(cells[0], model)) == 3
+
+
+def test_a_long_sentence_with_marks_elsewhere_stays():
+    words_ = unmarked.NGrams(["one two three four"] * 50)
+    assert not words_.lost("one two three four five six") and words_.lost("word " * 400)
+    assert unmarked.NGrams([]).split("a b c", 0, 5)[-1][1] == 5
