@@ -1,17 +1,22 @@
 """Problem 6: noise in text from scanned pages.
 
 Three steps a record. Furniture (running headers, page numbers) is found line by line, by features of the line and of its place
-on the page. Words cut in two at a line end are joined, across furniture where it stands between the halves. A character editor
-then repairs the words of the running text: for every character it predicts keep, replace, delete or insert (a replacement by
-two characters), a line-end hyphen being the place of the line-join operation.
+on the page. At every hyphen that ends a line, a perceptron predicts join or keep; words cut in two are joined, across furniture
+where it stands between the halves. A character editor then repairs the words of the running text: for every character it
+predicts keep, replace, delete or insert (a replacement by two characters).
 
-The editor is an averaged perceptron over hashed character n-grams around each character. It is trained on clean text of the
-same tables: its words, and copies of them with errors drawn from the usual confusions of character recognition.
+Both are averaged perceptrons over hashed n-grams of characters, trained on clean text of the same tables: the editor on its words
+and on copies of them with errors drawn from the usual confusions of character recognition, the joiner on words cut in two and
+on pairs of neighbouring words with a hyphen between them.
+
+Records are looked at by their origin: those from scanned pages and those of unknown origin. Text of known other origin is taken
+for clean.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,15 +165,22 @@ def train(texts: list[str], seed: int = 7) -> tuple[np.ndarray, frozenset[str]]:
     return (weights / max(1e-6, float(np.mean(np.abs(margin[np.isfinite(margin)]))))).astype(np.float32), frozenset(clean)
 
 
+#: Words whose repair a worker remembers.
+MOST_KNOWN = 500_000
+
+
 class Editor:
     """Applies the weights to words, each distinct word once per worker."""
 
-    def __init__(self, weights: np.ndarray, clean: frozenset[str]) -> None:
+    def __init__(self, weights: np.ndarray, clean: frozenset[str], joiner: np.ndarray | None = None) -> None:
         self.weights, self.clean = weights, clean
+        self.joiner = np.zeros(1 << JOIN_BITS, np.float32) if joiner is None else joiner
         self.known: dict[str, str] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Decide words not met before."""
+        """Decide words not met before. Words are forgotten when there are many, so a task's memory doesn't grow with its rows."""
+        if len(self.known) > MOST_KNOWN:
+            self.known = {}
         new = []
         for w in words:
             if w not in self.known:
@@ -188,8 +200,7 @@ class Editor:
                 gain = total - total[:, :1]
                 gain[:, 0] = -np.inf
                 best = gain.argmax(1)
-                sign = ~np.isin(code, LETTERS)  # a digit or sign within a word is never right
-                edit = (gain[np.arange(len(best)), best] > MARGIN) | sign
+                edit = gain[np.arange(len(best)), best] > MARGIN
                 for k in np.flatnonzero(edit):
                     edits.setdefault(int(owner[k]), {})[int(place[k])] = int(best[k])
             for k, w in enumerate(part):
@@ -245,7 +256,6 @@ def header_score(line: str, first: bool, last: bool) -> int:
 #: From this score on a line is a running header.
 HEADER_FROM = 4
 CUT = re.compile(r"[^\W\d_][-‐‑¬­][ \t]*$")
-SUSPENDED = frozenset("and or to und oder bis et ou y o e".split())
 
 
 def clean_lines(text: str) -> tuple[list[str], set[str]]:
@@ -266,7 +276,59 @@ def clean_lines(text: str) -> tuple[list[str], set[str]]:
     return kept, kinds
 
 
-def join_lines(lines: list[str]) -> tuple[str, bool]:
+def join_features(left: str, right: str, clean: frozenset[str], known: bool = True) -> list[int]:
+    """Hashed features of the two sides of a hyphen at a line end.
+
+    known: whether clean texts are asked for the left side and for both together, too; for names and rare words they don't tell.
+    """
+    low, r = left.lower(), right.lower()
+    flags = "".join(str(int(asked and w in clean)) for w, asked in ((low + r, known), (low, known), (r, True)))
+    names = (
+        "bias", f"whole {r}" if len(r) < 5 else "long", f"first {r[:3]}", f"last {low[-3:]}", f"cross {low[-2:]}|{r[:2]}", f"touch {low[-1:]}|{r[:1]}", f"more {low[-3:]}|{r[:1]}", f"less {low[-1:]}|{r[:3]}",
+        f"case {right[:1].isupper()} {left.isupper()}", f"sizes {min(len(low), 4)} {min(len(r), 4)}", f"flags {flags}", f"right {flags[2]} {min(len(r), 5)}",
+    )
+    return [_place(n) for n in names]
+
+
+def _place(name: str) -> int:
+    return zlib.crc32(name.encode()) & ((1 << JOIN_BITS) - 1)
+
+
+def train_joiner(texts: list[str], clean: frozenset[str], seed: int = 7) -> np.ndarray:
+    """Weights of the joiner: an averaged perceptron on cut words (join) and on neighbouring words (keep) of clean texts."""
+    rng = np.random.default_rng(seed)
+    examples: list[tuple[list[int], int]] = []
+    for t in texts:
+        words = re.findall(CLEAN_WORD, t)
+        for k in rng.permutation(len(words) - 1)[:6] if len(words) > 1 else ():
+            known = bool(rng.random() < 0.5)  # words of scans are often none of the clean ones
+            examples.append((join_features(words[k], words[k + 1], clean, known), -1))
+            w = words[k]
+            if rng.random() < 0.2 and (c := corrupt(w, rng)):
+                w = c[0]
+            if len(w) >= 5:
+                at = int(rng.integers(2, len(w) - 1))
+                examples.append((join_features(w[:at], w[at:], clean, known), 1))
+    weights, later, step = np.zeros(1 << JOIN_BITS), np.zeros(1 << JOIN_BITS), 1
+    weights[_place("bias")] = 1.0  # without clean texts to learn from, all but capitals are joined
+    weights[[_place(f"case True {x}") for x in (True, False)]] = -2.0
+    for _ in range(JOIN_EPOCHS):
+        for k in rng.permutation(len(examples)):
+            f, y = examples[k]
+            if y * weights[f].sum() <= 0:
+                weights[f] += y
+                later[f] += y * step
+            step += 1
+    return (weights - later / step).astype(np.float32)
+
+
+#: Size of the joiner, and rounds of its training.
+JOIN_BITS, JOIN_EPOCHS = 16, 4
+RIGHT_SIDE = re.compile(r"[|!\d]?[^\W\d_]+")
+LEFT_SIDE = re.compile(r"[^\W_]+$")
+
+
+def join_lines(lines: list[str], joiner: np.ndarray, clean: frozenset[str] = frozenset()) -> tuple[str, bool]:
     """One paragraph of the lines, and whether a word had been cut in two at a line end."""
     parts: list[str] = []
     cut = False
@@ -275,9 +337,9 @@ def join_lines(lines: list[str]) -> tuple[str, bool]:
         if not s:
             continue
         if parts and CUT.search(parts[-1]):
-            word = re.match(r"[|!\d]?[^\W\d_]+", s)
-            if word and not s[0].isupper() and word.group() not in SUSPENDED:
-                parts[-1], cut = parts[-1][:-1], True
+            right, left = RIGHT_SIDE.match(s), LEFT_SIDE.search(parts[-1].rstrip()[:-1])
+            if right and left and joiner[join_features(left.group(), right.group(), clean)].sum() > 0:
+                parts[-1], cut = parts[-1].rstrip()[:-1], True
                 parts.append(s)
                 continue
         parts.append(" " + s if parts else s)
@@ -289,7 +351,7 @@ def repair_batch(texts: list[str], editor: Editor) -> Iterator[tuple[str, list[s
     joined = []
     for t in texts:
         lines, kinds = clean_lines(t)
-        paragraph, cut = join_lines(lines)
+        paragraph, cut = join_lines(lines, editor.joiner, editor.clean)
         if cut:
             kinds.add("hyphen")
         joined.append((paragraph, kinds))
@@ -329,7 +391,7 @@ def _doubted(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         editor = Editor(*broadcast.value)
         for b in batches:
-            words = {w for t in b.column("text").to_pylist() for w in WORD.findall(join_lines(clean_lines(t)[0])[0])} - editor.known.keys()
+            words = {w for t in b.column("text").to_pylist() for w in WORD.findall(join_lines(clean_lines(t)[0], editor.joiner, editor.clean)[0])} - editor.known.keys()
             editor.learn(words)
             asked = {w.translate(SHORT) if CODE.fullmatch(w) else w.lower() for w in words if CODE.fullmatch(w) or editor.known[w] != w}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(asked - editor.clean), pa.string())], names=["word"])
@@ -347,15 +409,17 @@ def fitted(spark: SparkSession, sf_dir: str):
     for table in ("passages", "source_sentences"):
         part = load(spark, sf_dir, table).where("origin = 'text'").select("text")
         df = part if df is None else df.unionByName(part)
-    weights, clean = train(bounded_texts(df, TRAIN_ROWS))
-    model = spark.sparkContext.broadcast((weights, clean))
+    sample = bounded_texts(df, TRAIN_ROWS)
+    weights, clean = train(sample)
+    joiner = train_joiner(sample, clean)
+    model = spark.sparkContext.broadcast((weights, clean, joiner))
     if df.count() <= TRAIN_ROWS:
         return model
     doubted = spread(scan_records(spark, sf_dir).select("text")).mapInArrow(_doubted(model), "word string").distinct()
     every = df.select(F.explode(F.regexp_extract_all("text", F.lit(CLEAN_WORD), 0)).alias("word")).select(F.lower("word").alias("word")).distinct()
     met = frozenset(r["word"] for r in doubted.join(every, "word", "left_semi").collect())
     model.unpersist()
-    return spark.sparkContext.broadcast((weights, clean | met))
+    return spark.sparkContext.broadcast((weights, clean | met, joiner))
 
 
 def repaired(records: DataFrame, model) -> DataFrame:

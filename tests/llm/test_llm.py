@@ -374,13 +374,16 @@ def test_lines_and_furniture():
     text = "The calibra-\n12\nDoe et al. / Journal of Plant Shadows 7\ntion of short-\nand long-term H2O – twins\nPage 3\nends here."
     lines, kinds = scans.clean_lines(text)
     assert kinds == {"page", "header"}
-    assert scans.join_lines(lines) == ("The calibration of short- and long-term H2O – twins ends here.", True)
+    texts = [re.sub("e ", " and the ", clean_text(random.Random(k))) for k in range(300)]
+    clean = frozenset(" ".join(texts).split())
+    joiner = scans.train_joiner(texts, clean)
+    assert scans.join_lines(lines, joiner, clean) == ("The calibration of short- and long-term H2O – twins ends here.", True)
     assert scans.clean_lines("42") == (["42"], set())
-    assert scans.join_lines([""]) == ("", False)
+    assert scans.join_lines([""], joiner) == ("", False)
 
 
 def test_genuine_codes_stay():
-    editor = scans.Editor(*scans.train(["calibration of the turbine"] * 3))
+    editor = scans.Editor(*scans.train(["calibration of the turbine, register"] * 3))
     editor.learn({"H2O", "x86", "A1b", "ISO9001", "l0", "turb1ne", "re9ister"})
     assert [editor.known[w] for w in ("H2O", "x86", "A1b", "ISO9001", "l0")] == ["H2O", "x86", "A1b", "ISO9001", "l0"]
     assert editor.known["turb1ne"] == "turbine" and editor.known["re9ister"] == "register"
