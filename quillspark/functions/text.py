@@ -16,8 +16,8 @@ no nor not only own same so than too very s t can will just don should now is am
 do does did doing would could might must shall this that these those it its it's he she they we you i him her them us our your
 their his ours yours theirs myself yourself himself herself itself ourselves yourselves themselves what which who whom
 """.split())
-#: Bibliography fields that are kept (fixed values of the ledger's whitelist that occur in practice).
-KEPT_FIELDS = ("booktitle", "journal", "number", "pages", "publisher", "volume")
+# The bibliography fields that the ledger keeps.
+KEPT_FIELDS = tuple("author editor journal journaltitle booktitle series volume number pages publisher institution school address location edition howpublished organization eprint eprinttype archiveprefix primaryclass".split())
 CITE_MARKER = r"\[@[^\]]+\]|\\cite[tp]?\{[^}]*\}"
 
 
@@ -45,6 +45,14 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(count > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(tokens: Column, n: int) -> Column:
+    """As ngrams, by 64-bit hashes of the runs: an eighth of the bytes, and no strings are built."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    count = F.size(tokens) - (n - 1)
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: word_digest(F.slice(tokens, i, n)))).otherwise(F.array().cast("array<bigint>"))
+
+
 def normal_title(title: Column) -> Column:
     """Without braces, lower case, runs of anything but a-z and 0-9 as one space."""
     return F.trim(F.regexp_replace(F.lower(F.translate(title, "{}", "")), "[^a-z0-9]+", " "))
@@ -96,10 +104,25 @@ def cited_keys(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("@([A-Za-z][A-Za-z0-9_-]*)"), 1)
 
 
+# The heading from which on a text is back matter, and lines that are no content. The same in Java's and RE2's syntax.
+BACK_MATTER = r"(?is)^(.*\n|)[ \t]*#{1,6}[ \t]*\**[ \t]*(?:references|bibliography|works cited)\b.*$"
+NOISE_LINE = r"(?i)^[ \t\f]*(?:\S+@\S+\.\S+|(?:https?://|www\.|doi:|10\.[0-9]{4}/)\S*|(?:downloaded from|licensed under|all rights reserved|copyright|\(c\)[ \t]*[0-9]{4}|©).*|[0-9]{1,4})[ \t\f]*$"
+
+
+def before_references(text: Column) -> Column:
+    """The text before the last line that is a heading of back matter; all of it without one."""
+    return F.regexp_replace(text, BACK_MATTER, "$1")
+
+
 def content_text(text: Column) -> Column:
-    """Lines without e-mail addresses, web addresses, licence notes and bare page numbers."""
-    noise = r"(?i)^\s*(\S+@\S+\.\S+|https?://\S+|.*(copyright|licensed under|all rights reserved).*|\d{1,4})\s*$"
-    return F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(noise)), "\n")
+    """Without the back matter from the last heading of references on, and without lines that are an address, a notice or a page
+    number."""
+    return F.array_join(F.filter(F.split(before_references(text), "\n"), lambda line: ~line.rlike(NOISE_LINE)), "\n")
+
+
+def word_digest(tokens: Column) -> Column:
+    """A 64-bit hash of a run of words."""
+    return F.xxhash64(tokens)
 
 
 def chunks(tokens: Column, size: int = 200, step: int = 160) -> Column:

@@ -41,7 +41,15 @@ def _short_end(stem: str) -> bool:
 # Suffixes of the classic algorithm of 1980 and their replacements.
 STEP2 = (("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"))
 STEP3 = (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""))
-STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+
+def _first_rule(word: str, rules, least: int) -> str:
+    """The first rule whose suffix fits and leaves a stem of more than that measure; a rule that fits but leaves less is passed over."""
+    for suffix, put in rules:
+        if word.endswith(suffix) and measure(word[: len(word) - len(suffix)]) > least:
+            return word[: len(word) - len(suffix)] + put
+    return word
 
 
 def stem(word: str) -> str:
@@ -68,15 +76,11 @@ def stem(word: str) -> str:
                 w += "e"
     if w.endswith("y") and _has_vowel(w[:-1]):
         w = w[:-1] + "i"
-    for table in (STEP2, STEP3):
-        hit = max((p for p in table if w.endswith(p[0])), key=lambda p: len(p[0]), default=None)
-        if hit and measure(w[: -len(hit[0])]) > 0:
-            w = w[: -len(hit[0])] + hit[1]
-    hit4 = max((s for s in STEP4 if w.endswith(s)), key=len, default=None)
-    if hit4:
-        base = w[: -len(hit4)]
-        if measure(base) > 1 and (hit4 != "ion" or base.endswith(("s", "t"))):
-            w = base
+    w = _first_rule(_first_rule(w, STEP2, 0), STEP3, 0)
+    if w.endswith(("sion", "tion")) and measure(w[:-3]) > 1:
+        w = w[:-3]
+    else:
+        w = _first_rule(w, ((s, "") for s in STEP4), 1)
     if w.endswith("e"):
         base = w[:-1]
         m = measure(base)

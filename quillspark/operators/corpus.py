@@ -11,12 +11,14 @@ from quillspark.functions import text as T
 def set_digest(rows: DataFrame, group: list[str], column: str) -> DataFrame:
     """(group, members, digest, first): size, order-free digest and least element of each group's set of values.
 
-    The digest is a sum over distinct values of part of their hash. It combines map-side, so a group of any size is never held
-    in one place, as sorting and joining its values would require.
+    The digest is the first twelve hexadecimal digits of the hash of two sums over the distinct values, each of 60 bits of their
+    hashes. Sums combine map-side, so a group of any size is never held in one place, as sorting and joining its values would
+    require; equal digests of different sets are as unlikely as the digits allow.
     """
-    part = F.conv(F.substring(F.sha2(F.col(column).cast("string"), 256), 1, 7), 16, 10).cast("long")
-    distinct = rows.where(F.col(column).isNotNull()).select(*group, column).distinct()
-    return distinct.groupBy(*group).agg(F.count("*").alias("members"), F.sum(part).alias("digest"), F.min(column).alias("first"))
+    part = lambda at: F.sum(F.conv(F.substring("hash", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    distinct = rows.where(F.col(column).isNotNull()).select(*group, column).distinct().withColumn("hash", F.sha2(F.col(column).cast("string"), 256))
+    sums = distinct.groupBy(*group).agg(F.count("*").alias("members"), F.concat_ws("-", part(1), part(16)).alias("sums"), F.min(column).alias("first"))
+    return sums.select(*group, "members", F.substring(F.sha2("sums", 256), 1, 12).alias("digest"), "first")
 
 
 def duplicates(refs: DataFrame) -> DataFrame:
@@ -29,9 +31,10 @@ def duplicates(refs: DataFrame) -> DataFrame:
 
 
 def keyed_values(refs: DataFrame) -> DataFrame:
-    """(kind, value, citekey): normalised doi and title of each entry, blank ones left out."""
+    """(kind, value, citekey): normalised doi and title of each entry. Blank dois are left out; titles of which nothing is left are a
+    group of their own."""
     pairs = F.array(F.struct(F.lit("doi").alias("kind"), T.normal_doi(F.col("doi")).alias("value")), F.struct(F.lit("title").alias("kind"), T.normal_title(F.col("title")).alias("value")))
-    return refs.select("citekey", F.explode(pairs).alias("p")).select("p.kind", "p.value", "citekey").where("value is not null and value <> ''")
+    return refs.select("citekey", F.explode(pairs).alias("p")).select("p.kind", "p.value", "citekey").where("value is not null and (value <> '' or kind = 'title')")
 
 
 def duplicate_members(refs: DataFrame) -> DataFrame:
@@ -40,17 +43,43 @@ def duplicate_members(refs: DataFrame) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(citekey, status, action) of a reconciled ledger: a full join of ledger (citekey, pdf_hash, status) and delivery (citekey, pdf_hash).
+    """(citekey, status, failure_kind, action, parse) of a reconciled ledger: a full join of ledger (citekey, pdf_hash, status,
+    failure_kind) and delivery (citekey, pdf_hash).
 
-    New keys and changed files are discovered (no_pdf without a file); unchanged rows keep their status; rows that are no longer
-    delivered are stale.
+    New keys and changed files are discovered (no_pdf without a file). Unchanged rows keep their status, except that a failed
+    parse is tried again unless its kind is deterministic. Rows that are no longer delivered are stale.
     """
-    o = old.select("citekey", F.col("pdf_hash").alias("old_hash"), "status", F.lit(True).alias("in_old"))
+    old = migrate(old, {"failure_kind": "string"})
+    o = old.select("citekey", F.col("pdf_hash").alias("old_hash"), "status", "failure_kind", F.lit(True).alias("in_old"))
     n = new.select("citekey", F.col("pdf_hash").alias("new_hash"), F.lit(True).alias("in_new"))
     fresh = F.when(F.col("new_hash").isNull(), "no_pdf").otherwise("discovered")
-    action = F.when(F.col("in_old").isNull(), "insert").when(F.col("in_new").isNull(), "stale").when(F.col("old_hash").eqNullSafe(F.col("new_hash")), "keep").otherwise("update")
+    same = F.col("old_hash").eqNullSafe(F.col("new_hash"))
+    again = same & (F.col("status") == "parse_failed") & ~F.col("failure_kind").eqNullSafe("deterministic")
+    action = F.when(F.col("in_old").isNull(), "insert").when(F.col("in_new").isNull(), "stale").when(again, "retry").when(same, "keep").otherwise("update")
     joined = o.join(n, "citekey", "full_outer").withColumn("action", action)
-    return joined.select("citekey", F.when(F.col("action").isin("keep", "stale"), F.col("status")).otherwise(fresh).alias("status"), "action")
+    stays = F.col("action").isin("keep", "stale")
+    parse = F.col("action").isin("insert", "update", "retry") & F.col("new_hash").isNotNull()
+    return joined.select("citekey", F.when(stays, F.col("status")).otherwise(fresh).alias("status"), F.when(stays, F.col("failure_kind")).alias("failure_kind"), "action", parse.alias("parse"))
+
+
+def apply_results(ledger: DataFrame, results: DataFrame) -> DataFrame:
+    """The ledger (citekey, status, failure_kind) after the results (citekey, error, transient) of parses: parsed without an error, else
+    parse_failed with the kind of the failure. Keys without a result stay; results without a key change nothing."""
+    r = results.groupBy("citekey").agg(F.max(F.struct(F.col("error").isNotNull().alias("failed"), "transient")).alias("r"))
+    done, failed = F.col("r").isNotNull(), F.col("r.failed")
+    status = F.when(done & failed, "parse_failed").when(done, "parsed").otherwise(F.col("status"))
+    kind = F.when(done & failed, F.when(F.col("r.transient"), "transient").otherwise("deterministic")).when(~done, F.col("failure_kind"))
+    return ledger.join(r, "citekey", "left").select("citekey", status.alias("status"), kind.alias("failure_kind"))
+
+
+def point_lookup(ledger: DataFrame, citekey: str) -> DataFrame:
+    """The rows of one key: the filter reaches the scan."""
+    return ledger.where(F.col("citekey") == citekey)
+
+
+def migrate(ledger: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """The ledger with every column of a later version that it lacks, null; columns that it has stay as they are."""
+    return ledger.withColumns({c: F.lit(None).cast(t) for c, t in columns.items() if c not in ledger.columns})
 
 
 def prune(ledger: DataFrame, seen: DataFrame) -> DataFrame:

@@ -12,12 +12,13 @@ N = 8
 
 
 def positions(rows: DataFrame, key: str, text: str, n: int = N) -> DataFrame:
-    """(key, pos, gram) of every run of n words; texts with fewer words and null texts have none.
+    """(key, pos, gram) of every run of n words, the gram as a 64-bit hash; texts with fewer words and null texts have none.
 
-    Words are a column of their own first: as part of the expression of the grams they would be found anew for each gram.
+    Words are a column of their own first: as part of the expression of the grams they would be found anew for each gram. m
+    different grams give m^2 / 2^65 false matches on average.
     """
     tokens = spread(rows.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", T.words(F.col("text")).alias("tokens"))
-    return tokens.select("key", F.posexplode(T.ngrams(F.col("tokens"), n)).alias("pos", "gram"))
+    return tokens.select("key", F.posexplode(T.ngram_hashes(F.col("tokens"), n)).alias("pos", "gram"))
 
 
 def matches(drafts: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -36,9 +36,12 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def term_stats(corpus: DataFrame) -> DataFrame:
-    """(term, df, cf, idf) over the whole corpus."""
+    """(term, df, cf, idf) over the whole corpus. A document is a row, so its distinct terms are counted there; one shuffle of sums."""
     n = corpus.agg(F.count("*").alias("n"))  # one row
-    stats = term_frequencies(corpus).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    tokens = corpus.select(T.bm25_tokens(F.col("text")).alias("tokens"))
+    of = lambda words, df: F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(df).alias("df")))
+    marks = F.concat(of(F.array_distinct("tokens"), 1), of(F.col("tokens"), 0))
+    stats = tokens.select(F.explode(marks).alias("m")).groupBy("m.term").agg(F.sum("m.df").alias("df"), F.count_if(F.col("m.df") == 0).alias("cf"))
     return stats.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(idf(F.col("n"), F.col("df")), 4).alias("idf"))
 
 

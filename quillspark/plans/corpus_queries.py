@@ -19,21 +19,30 @@ def duplicate_members(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _delivery(spark: SparkSession, d: str) -> DataFrame:
+    """What the bibliography delivers now; the entries' last sync decides which file they name."""
     return load(spark, d, "refs").select("citekey", F.sha2("pdf_path", 256).alias("pdf_hash"))
 
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
-    """A ledger as it was before: the keys with passages, with the hash of their file as far as the bibliography tells it."""
-    keys = load(spark, d, "passages").where("citekey is not null").select("citekey").distinct()
-    return keys.join(_delivery(spark, d), "citekey", "left").withColumn("status", F.when(F.col("pdf_hash").isNull(), "no_pdf").otherwise("parsed"))
+    """A ledger as it was before: of every entry synced in an odd hour the file it named then (its folder was another one) or, of
+    those in an hour that three divides, the same; and a key that has since been renamed for each of the others."""
+    hour = F.hour("last_synced")
+    old = load(spark, d, "refs").select("citekey", "pdf_path", hour.alias("h"))
+    known = F.when(F.col("h") % 3 == 0, F.col("pdf_path")).otherwise(F.concat(F.lit("old/"), F.col("pdf_path")))
+    key = F.when((F.col("h") % 2 == 1) | (F.col("h") % 3 == 0), F.col("citekey")).otherwise(F.concat(F.col("citekey"), F.lit("-was")))
+    rows = old.select(key.alias("citekey"), F.sha2(known, 256).alias("pdf_hash"), (F.col("h") % 5).alias("k"))
+    status = F.when(F.col("pdf_hash").isNull(), "no_pdf").when(F.col("k") == 4, "parse_failed").otherwise("parsed")
+    kind = F.when((F.col("k") == 4) & F.col("pdf_hash").isNotNull(), F.when(F.length("citekey") % 2 == 0, "deterministic"))
+    return rows.select("citekey", "pdf_hash", status.alias("status"), kind.alias("failure_kind"))
 
 
 def ledger_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The reconciled ledger: what happens to each key, and whether its file must be parsed."""
     return corpus.upsert(_ledger(spark, d), _delivery(spark, d))
 
 
 def stale_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Keys with passages that the bibliography no longer delivers."""
+    """Keys of the ledger that the bibliography no longer delivers."""
     return corpus.stale(_ledger(spark, d), _delivery(spark, d)).select("citekey")
 
 
@@ -41,6 +50,13 @@ def ledger_pruned(spark: SparkSession, d: str) -> DataFrame:
     return corpus.prune(_ledger(spark, d), _delivery(spark, d)).select("citekey", "status")
 
 
+def parse_results(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger after a run over all that must be parsed: files in a folder of papers fail for good, all others are parsed."""
+    work = ledger_upsert(spark, d).where("parse").join(_delivery(spark, d).groupBy("citekey").agg(F.max("pdf_hash").alias("pdf_hash")), "citekey")
+    results = work.select("citekey", F.when(F.substring("pdf_hash", 1, 1) < "4", "unreadable").alias("error"), (F.substring("pdf_hash", 1, 1) < "2").alias("transient"))
+    return corpus.apply_results(ledger_upsert(spark, d).select("citekey", "status", "failure_kind"), results)
+
+
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     """Entries by state of their attachment, and their total (null state)."""
     return load(spark, d, "refs").rollup("pdf_resolution").agg(F.count("*").alias("n"))
@@ -66,6 +82,12 @@ def passages_latest(spark: SparkSession, d: str) -> DataFrame:
     return corpus.latest(p, "passage_id", "loaded_at").drop("loaded_at").fillna(0, ["page", "chars"])
 
 
+def ledger_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The entry with the first key, if its file is known, looked up by that key."""
+    refs = load(spark, d, "refs")
+    return corpus.point_lookup(refs.where("pdf_path is not null"), refs.where("pdf_path is not null").agg(F.min("citekey")).first()[0]).select("citekey", "title", "pdf_path")
+
+
 def collection_names(spark: SparkSession, d: str) -> DataFrame:
     return corpus.collection_names(load(spark, d, "refs"))
 
@@ -92,10 +114,10 @@ def citekey_problems(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kept_fields(spark: SparkSession, d: str) -> DataFrame:
-    """Kept, non-blank fields of each entry in order of their names."""
+    """Kept, non-blank fields of each entry as a JSON object, in order of their names; null without any."""
     kept = F.map_filter("fields", lambda k, v: k.isin(*T.KEPT_FIELDS) & (F.trim(v) != ""))
-    packed = F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
-    return load(spark, d, "refs").select("ref_id", F.nullif(F.coalesce(packed, F.lit("")), F.lit("")).alias("kept"))
+    packed = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
+    return load(spark, d, "refs").select("ref_id", F.nullif(packed, F.lit("{}")).alias("kept"))
 
 
 def author_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -132,9 +154,10 @@ def page_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose words run together: at least 200 tokens, more than one in a hundred of over 20 letters."""
+    """Tokens of each document, the share of them over 20 letters, and whether its words run together: of at least 200 tokens more
+    than one in a hundred."""
     rows = load(spark, d, "documents").where("text is not null").select("doc_id", F.size(T.alphabetic(F.col("text"))).cast("long").alias("tokens"), F.round(T.run_together_ratio(F.col("text")), 6).alias("ratio"))
-    return rows.where("tokens >= 200 and ratio > 0.01")
+    return rows.withColumn("poor", F.coalesce((F.col("tokens") >= 200) & (F.col("ratio") > 0.01), F.lit(False)))
 
 
 def content_chars(spark: SparkSession, d: str) -> DataFrame:
@@ -164,8 +187,8 @@ def paragraph_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_digests(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with the same text, by digest."""
-    return load(spark, d, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    """Texts that several passages have, by digest."""
+    return load(spark, d, "passages").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("n"), F.min("passage_id").alias("first_id")).where("n > 1")
 
 
 def passage_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -198,30 +221,39 @@ def length_fence(spark: SparkSession, d: str) -> DataFrame:
 
 
 _F = (duplicate_groups, duplicate_members, ledger_upsert, stale_rows, ledger_pruned, status_counts, failure_counts, fingerprint_changes, passages_latest, collection_names, collection_members, key_digests, digest_states, citekey_problems, kept_fields, author_tokens, author_lists, ieee_entries, page_counts, page_words, parse_quality, content_chars, chunk_counts, chunk_texts, headings, paragraph_counts, text_digests, passage_labels, box_overlaps, fit_by_source, length_fence)
+_F += (parse_results, ledger_lookup)
 QUERIES = {f.__name__: f for f in _F}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_DELIVERY = "dl AS (SELECT citekey, sha256(pdf_path) AS pdf_hash FROM refs), lg AS (SELECT k.citekey, pdf_hash, CASE WHEN pdf_hash IS NULL THEN 'no_pdf' ELSE 'parsed' END AS status FROM (SELECT DISTINCT citekey FROM passages WHERE citekey IS NOT NULL) k LEFT JOIN dl USING (citekey))"
+_DELIVERY = """dl AS (SELECT citekey, sha256(pdf_path) AS pdf_hash FROM refs), h AS (SELECT citekey, pdf_path, hour(last_synced) AS h FROM refs),
+    lg0 AS (SELECT CASE WHEN h % 2 = 1 OR h % 3 = 0 THEN citekey ELSE citekey || '-was' END AS citekey, sha256(CASE WHEN h % 3 = 0 THEN pdf_path ELSE 'old/' || pdf_path END) AS pdf_hash, h % 5 AS k FROM h),
+    lg AS (SELECT citekey, pdf_hash, CASE WHEN pdf_hash IS NULL THEN 'no_pdf' WHEN k = 4 THEN 'parse_failed' ELSE 'parsed' END AS status, CASE WHEN k = 4 AND pdf_hash IS NOT NULL AND length(citekey) % 2 = 0 THEN 'deterministic' END AS failure_kind FROM lg0)"""
+_UPSERT = f"""{_DELIVERY}, j AS (SELECT coalesce(lg.citekey, dl.citekey) AS citekey, lg.citekey IS NOT NULL AS o, dl.citekey IS NOT NULL AS n, lg.pdf_hash AS oh, dl.pdf_hash AS nh, status, failure_kind FROM lg FULL JOIN dl ON lg.citekey = dl.citekey),
+    a AS (SELECT *, CASE WHEN NOT o THEN 'insert' WHEN NOT n THEN 'stale' WHEN oh IS NOT DISTINCT FROM nh AND status = 'parse_failed' AND failure_kind IS DISTINCT FROM 'deterministic' THEN 'retry' WHEN oh IS NOT DISTINCT FROM nh THEN 'keep' ELSE 'update' END AS action FROM j),
+    up AS (SELECT citekey, CASE WHEN action IN ('keep', 'stale') THEN status WHEN nh IS NULL THEN 'no_pdf' ELSE 'discovered' END AS status, CASE WHEN action IN ('keep', 'stale') THEN failure_kind END AS failure_kind, action, action IN ('insert', 'update', 'retry') AND nh IS NOT NULL AS parse FROM a)"""
 _DOI = "trim(regexp_replace(regexp_replace(lower(trim(doi)), '^https?://(dx\\.)?doi\\.(org|example)/', ''), '^doi:', ''))"
 _TITLE = "trim(regexp_replace(lower(translate(title, '{}', '')), '[^a-z0-9]+', ' ', 'g'))"
 _CHUNKS = f"list_transform(range(0, len({_WORDS}), 160), lambda i: array_to_string(list_slice({_WORDS}, i + 1, i + 200), ' '))"
 
 _DUPLICATES = f"""r AS (SELECT 'doi' AS kind, {_DOI} AS value, citekey FROM refs WHERE doi IS NOT NULL UNION ALL SELECT 'title', {_TITLE}, citekey FROM refs WHERE title IS NOT NULL),
-    g AS (SELECT kind, value, array_to_string(list_sort(list_distinct(list(citekey))), ',') AS keys, count(DISTINCT citekey) AS members, min(citekey) AS first FROM r WHERE value <> '' GROUP BY kind, value HAVING count(DISTINCT citekey) >= 2),
+    g AS (SELECT kind, value, array_to_string(list_sort(list_distinct(list(citekey))), ',') AS keys, count(DISTINCT citekey) AS members, min(citekey) AS first FROM r WHERE value <> '' OR kind = 'title' GROUP BY kind, value HAVING count(DISTINCT citekey) >= 2),
     d AS (SELECT kind, value, members, first FROM g QUALIFY row_number() OVER (PARTITION BY keys ORDER BY kind, value) = 1)"""
 
 
 def _digest(group: str, value: str, table: str) -> str:
-    return f"SELECT {group}, count(*) AS members, CAST(sum(CAST('0x' || substr(sha256({value}), 1, 7) AS BIGINT)) AS BIGINT) AS digest FROM (SELECT DISTINCT {group}, {value} FROM {table} WHERE {value} IS NOT NULL) GROUP BY 1"
+    part = lambda at: f"CAST(sum(CAST(CAST('0x' || substr(sha256({value}), {at}, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+    return f"SELECT {group}, count(*) AS members, substr(sha256({part(1)} || '-' || {part(16)}), 1, 12) AS digest FROM (SELECT DISTINCT {group}, {value} FROM {table} WHERE {value} IS NOT NULL) GROUP BY 1"
 
 
 SQL = {
     "duplicate_groups": f"WITH {_DUPLICATES} SELECT kind, value, members, first FROM d",
     "duplicate_members": f"WITH {_DUPLICATES} SELECT DISTINCT citekey, kind, value FROM r JOIN d USING (kind, value)",
-    "ledger_upsert": f"""WITH {_DELIVERY}, j AS (SELECT coalesce(lg.citekey, dl.citekey) AS citekey, lg.citekey IS NOT NULL AS o, dl.citekey IS NOT NULL AS n, lg.pdf_hash AS oh, dl.pdf_hash AS nh, status FROM lg FULL JOIN dl ON lg.citekey = dl.citekey),
-        a AS (SELECT *, CASE WHEN NOT o THEN 'insert' WHEN NOT n THEN 'stale' WHEN oh IS NOT DISTINCT FROM nh THEN 'keep' ELSE 'update' END AS action FROM j)
-        SELECT citekey, CASE WHEN action IN ('keep', 'stale') THEN status WHEN nh IS NULL THEN 'no_pdf' ELSE 'discovered' END AS status, action FROM a""",
-    "stale_rows": "SELECT DISTINCT citekey FROM passages WHERE citekey IS NOT NULL AND citekey NOT IN (SELECT citekey FROM refs)",
+    "ledger_upsert": f"WITH {_UPSERT} SELECT citekey, status, failure_kind, action, parse FROM up",
+    "stale_rows": f"WITH {_DELIVERY} SELECT citekey FROM lg WHERE citekey NOT IN (SELECT citekey FROM refs)",
+    "parse_results": f"""WITH {_UPSERT}, w AS (SELECT up.citekey, max(dl.pdf_hash) AS h FROM up JOIN dl USING (citekey) WHERE parse GROUP BY 1)
+        SELECT up.citekey, CASE WHEN w.citekey IS NULL THEN status WHEN substr(w.h, 1, 1) < '4' THEN 'parse_failed' ELSE 'parsed' END AS status,
+               CASE WHEN w.citekey IS NULL THEN failure_kind WHEN substr(w.h, 1, 1) < '2' THEN 'transient' WHEN substr(w.h, 1, 1) < '4' THEN 'deterministic' END AS failure_kind FROM up LEFT JOIN w ON w.citekey = up.citekey""",
+    "ledger_lookup": "SELECT citekey, title, pdf_path FROM refs WHERE pdf_path IS NOT NULL AND citekey = (SELECT min(citekey) FROM refs WHERE pdf_path IS NOT NULL)",
     "ledger_pruned": f"WITH {_DELIVERY} SELECT citekey, status FROM lg WHERE citekey IN (SELECT citekey FROM refs)",
     "status_counts": "SELECT pdf_resolution, count(*) AS n FROM refs GROUP BY ROLLUP (pdf_resolution)",
     "failure_counts": "SELECT CASE WHEN pdf_resolution IN ('malformed file field', 'non-PDF attachment only') THEN 'deterministic' ELSE 'transient' END AS failure_kind, count(*) AS n FROM refs WHERE pdf_resolution <> 'resolved' GROUP BY 1",
@@ -236,7 +268,8 @@ SQL = {
         SELECT c.draft AS key, CASE WHEN r.digest IS NULL THEN 'unsigned' WHEN r.digest <> c.digest THEN 'changed' ELSE 'signed' END AS state FROM c LEFT JOIN r ON r.draft = c.draft""",
     "citekey_problems": """SELECT CASE WHEN citekey IS NULL OR trim(citekey) = '' THEN 'empty' WHEN citekey IN ('.', '..') THEN 'reserved' WHEN regexp_matches(citekey, '[<>:"/\\\\|?*\\x00-\\x1f]') THEN 'illegal character' WHEN regexp_matches(citekey, '[. ]$') THEN 'trailing dot or space'
         WHEN regexp_matches(upper(split_part(citekey, '.', 1)), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN 'device name' END AS problem, count(*) AS n FROM refs GROUP BY 1""",
-    "kept_fields": f"""SELECT ref_id, nullif(coalesce(array_to_string(list_sort(list_transform(list_filter(map_entries(fields), lambda e: list_contains({list(T.KEPT_FIELDS)}, e.key) AND trim(e.value) <> ''), lambda e: e.key || '=' || e.value)), ';'), ''), '') AS kept FROM refs""",
+    "kept_fields": f"""SELECT ref_id, CASE WHEN len(e) > 0 THEN '{{' || array_to_string(list_transform(list_sort(e), lambda x: to_json(x.key) || ':' || to_json(x.value)), ',') || '}}' END AS kept
+        FROM (SELECT ref_id, list_filter(map_entries(fields), lambda e: list_contains({list(T.KEPT_FIELDS)}, e.key) AND trim(e.value) <> '') AS e FROM refs)""",
     "author_tokens": "SELECT token, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(lower(concat_ws(' ', a.first, a.last)), '[a-z]{3,}')) AS token FROM (SELECT unnest(authors) AS a FROM refs)) GROUP BY 1",
     "author_lists": """WITH o AS (SELECT ref_id, authors AS a, list_transform(authors, lambda x: CASE WHEN coalesce(x.first, '') = '' THEN '' ELSE substr(x.first, 1, 1) || '. ' END || x.last) AS one FROM refs)
         SELECT ref_id, CASE WHEN len(a) = 0 THEN NULL WHEN len(a) > 6 THEN one[1] || ' et al.' ELSE array_to_string(one, ', ') END AS authors FROM o""",
@@ -246,15 +279,15 @@ SQL = {
         w AS (SELECT doc_id, page, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS BIGINT) AS words FROM q)
         SELECT *, CAST(coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS words_before FROM w""",
     "parse_quality": """WITH t AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS t FROM documents WHERE text IS NOT NULL), r AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS tokens, round(len(list_filter(t, lambda x: length(x) > 20)) / nullif(len(t), 0)::DOUBLE, 6) AS ratio FROM t)
-        SELECT * FROM r WHERE tokens >= 200 AND ratio > 0.01""",
-    "content_chars": """SELECT doc_id, CAST(length(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_full_match(l, '(?i)\\s*(\\S+@\\S+\\.\\S+|https?://\\S+|.*(copyright|licensed under|all rights reserved).*|\\d{1,4})\\s*')), chr(10))) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL""",
+        SELECT *, coalesce(tokens >= 200 AND ratio > 0.01, false) AS poor FROM r""",
+    "content_chars": f"""SELECT doc_id, CAST(length(array_to_string(list_filter(string_split(regexp_replace(text, '{T.BACK_MATTER}', '\\1'), chr(10)), lambda l: NOT regexp_matches(l, '{T.NOISE_LINE}')), chr(10))) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL""",
     "chunk_counts": f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS words, CAST(len(range(0, len({_WORDS}), 160)) AS BIGINT) AS chunks FROM documents WHERE text IS NOT NULL",
     "chunk_texts": f"WITH c AS (SELECT doc_id, {_CHUNKS} AS c FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(unnest(range(0, len(c))) AS BIGINT) AS chunk, md5(unnest(c)) AS digest FROM c",
     "headings": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, len(l) AS n, unnest(range(1, len(l) + 1)) AS line, unnest(l) AS t FROM l),
         h AS (SELECT doc_id, line, length(regexp_extract(t, '^(#+)', 1)) AS level, trim(regexp_replace(t, '^#+', '')) AS title, n FROM e WHERE regexp_matches(t, '^#{1,6} '))
         SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(level AS BIGINT) AS level, title, CAST(coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, n) AS BIGINT) AS end_line FROM h""",
     "paragraph_counts": "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10) || chr(10)), lambda b: trim(translate(b, chr(10) || chr(12), '  ')) <> '')) AS BIGINT) AS paragraphs FROM documents WHERE text IS NOT NULL",
-    "text_digests": "SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "text_digests": "SELECT sha256(text) AS digest, count(*) AS n, min(passage_id) AS first_id FROM passages WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "passage_labels": f"SELECT label, coalesce(page >= 1, false) AS paged, count(*) AS passages, CAST(sum(coalesce(len({_WORDS}), 0)) AS BIGINT) AS words FROM passages GROUP BY ALL",
     "box_overlaps": """WITH p AS (SELECT passage_id, any_value(citekey) AS citekey, any_value(page) AS page, any_value(bbox) AS b FROM passages WHERE bbox IS NOT NULL AND page IS NOT NULL AND citekey IS NOT NULL GROUP BY 1)
         SELECT a.passage_id AS a_id, b.passage_id AS b_id FROM p a JOIN p b ON a.citekey = b.citekey AND a.page = b.page AND a.passage_id < b.passage_id

@@ -11,7 +11,7 @@ from quillspark.plans.corpus_queries import _digest
 from quillspark.plans.overlap_queries import _HITS, _RUNS, findings_latest
 from quillspark.plans.review_queries import SQL as REVIEW_SQL
 from quillspark.plans.review_queries import topic_membership
-from quillspark.session import load
+from quillspark.session import cut_lineage, load
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -42,9 +42,10 @@ def anchor_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def run_citations(spark: SparkSession, d: str) -> DataFrame:
     """Runs, and whether the sentence cites the source of any match in them."""
-    runs = overlap.islands(_hits(spark, d), ["draft_key", "key", "diag"]).select("draft_key", "start", "end").distinct()
+    hits = cut_lineage(_hits(spark, d), "hits")
+    runs = overlap.islands(hits, ["draft_key", "key", "diag"]).select("draft_key", "start", "end").distinct()
     src = load(spark, d, "source_sentences").select(F.col("src_id").alias("key"), "citekey")
-    named = _hits(spark, d).join(src, "key").select("draft_key", F.col("citekey").alias("key"), "pos")
+    named = hits.join(src, "key").select("draft_key", F.col("citekey").alias("key"), "pos")
     cited = load(spark, d, "draft_sentences").select(F.col("sent_id").alias("draft_key"), F.col("citekeys").alias("cited"))
     return drafts.cites_source(runs, drafts.position_keys(named, every_word=True), cited)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -42,12 +44,22 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a temporary one in local mode; on a cluster an error.
+
+    A machine-local folder would hold only the part of a table that executors of that machine wrote.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = os.environ.get("QUILLSPARK_SHARED_DIR") or tempfile.mkdtemp(prefix="quillspark-shared-")
-        os.environ["QUILLSPARK_SHARED_DIR"] = path
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="quillspark-shared-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
+_LOCAL: list[str] = []
 
 
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
