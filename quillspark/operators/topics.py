@@ -235,3 +235,26 @@ def align(cosines, threshold: float = 0.62, gap: float = 0.25, most: int = 3) ->
         if path and not clash:
             out.append((float(best), path[::-1]))
     return out
+
+
+def fit_clusters(vectors: DataFrame, key: str, vector: str, clusters: int = 10, seed: int = 42) -> DataFrame:
+    """(key, cluster): k-means over all vectors, distributed; fewer clusters where there are fewer vectors, none for an empty table."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = vectors.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    n = rows.count()
+    if n < 2:
+        return rows.select(key, F.lit(0).alias("cluster"))
+    model = KMeans(k=min(clusters, n), seed=seed, predictionCol="cluster").fit(rows)
+    return model.transform(rows).select(key, "cluster")
+
+
+def hashed_vectors(texts: DataFrame, key: str, text: str, dims: int = 256) -> DataFrame:
+    """(key, vector): hashed counts of the words of each text, of unit length; a text without words has zeros."""
+    from pyspark.ml.feature import HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    rows = texts.select(key, T.bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("words"))
+    hashed = HashingTF(numFeatures=dims, inputCol="words", outputCol="counts").transform(rows)
+    return Normalizer(inputCol="counts", outputCol="unit").transform(hashed).select(key, vector_to_array("unit").alias("vector"))

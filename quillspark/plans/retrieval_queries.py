@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import overlap, retrieval
+from quillspark.plans.corpus_queries import _DELIVERY, _ledger
 from quillspark.session import load
 
 TOPICS = (
@@ -73,8 +74,8 @@ def drift_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drift_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Cited keys that the bibliography doesn't hold."""
-    return cited(spark, d).join(load(spark, d, "refs").select(F.col("citekey").alias("key")), "key", "left_anti")
+    """Cited keys that the ledger as it was before doesn't hold."""
+    return cited(spark, d).join(_ledger(spark, d).select(F.col("citekey").alias("key")), "key", "left_anti")
 
 
 def drift_reconsider(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +142,7 @@ SQL = {
     "coverage_pct": f"""{_COVERAGE} SELECT count_if(status = 'covered')::BIGINT AS covered, count_if(status = 'missed')::BIGINT AS missed, count_if(status = 'outside')::BIGINT AS outside,
         round(100.0e0 * count_if(status = 'covered') / nullif(count_if(status <> 'outside'), 0), 4) AS percent FROM report""",
     "drift_candidates": f"{_CANDIDATES} SELECT key FROM cand WHERE key NOT IN (SELECT key FROM cited)",
-    "drift_missing": "SELECT DISTINCT key FROM (SELECT unnest(citekeys) AS key FROM draft_sentences) WHERE key NOT IN (SELECT citekey FROM refs)",
+    "drift_missing": f"WITH {_DELIVERY} SELECT DISTINCT key FROM (SELECT unnest(citekeys) AS key FROM draft_sentences) WHERE key NOT IN (SELECT citekey FROM lg)",
     "drift_reconsider": f"{_CANDIDATES} SELECT key FROM cand WHERE key NOT IN (SELECT key FROM cited) AND key IN (SELECT citekey FROM overlap_df WHERE NOT cites_source)",
     "retrieval_quality": f"""WITH {bm25_sql('(SELECT item_id AS query_id, text AS query FROM eval_items)', 5)},
         ig AS (SELECT DISTINCT item_id AS query_id, unnest({grams_sql('text')}) AS gram FROM eval_items),

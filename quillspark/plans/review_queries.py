@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import review, topics
+from quillspark.plans.corpus_queries import _DELIVERY, _ledger
 from quillspark.session import load
 
 
@@ -20,7 +21,8 @@ def used_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_gate(spark: SparkSession, d: str) -> DataFrame:
-    return review.gate(_citations(spark, d), load(spark, d, "refs"))
+    """Citations of keys that the ledger as it was before doesn't hold."""
+    return review.gate(_citations(spark, d), _ledger(spark, d))
 
 
 def citation_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +174,7 @@ def _dot(a: str, b: str) -> str:
 
 SQL = {
     "used_keys": f"WITH {_CITED} SELECT key, CAST(pos AS BIGINT) AS pos, citekey FROM c",
-    "citation_gate": f"WITH {_CITED} SELECT citekey, count(*) AS uses, min(key) AS first_key FROM c WHERE citekey NOT IN (SELECT citekey FROM refs) GROUP BY 1",
+    "citation_gate": f"WITH {_DELIVERY}, {_CITED} SELECT citekey, count(*) AS uses, min(key) AS first_key FROM c WHERE citekey NOT IN (SELECT citekey FROM lg) GROUP BY 1",
     "citation_numbers": """WITH e AS (SELECT draft, sent_id, unnest(range(0, len(citekeys))) AS pos, unnest(citekeys) AS citekey FROM draft_sentences), f AS (SELECT draft, citekey, min((sent_id, pos)) AS first_at FROM e GROUP BY 1, 2)
         SELECT draft AS "group", CAST(row_number() OVER (PARTITION BY draft ORDER BY first_at, citekey) AS BIGINT) AS number, citekey FROM f""",
     "section_keys": "SELECT draft, coalesce(section, 'Unassigned') AS section, array_to_string(list_sort(list_distinct(list(k))), ',') AS keys FROM (SELECT draft, section, unnest(citekeys) AS k FROM draft_sentences) GROUP BY 1, 2",

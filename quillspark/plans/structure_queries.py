@@ -339,7 +339,7 @@ SQL = {
     "quoted_spans": "WITH q AS (SELECT doc_id, regexp_extract_all(text, '“[^”\\n]{2,}”') AS q FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(q) AS BIGINT) AS quotes, CAST(length(array_to_string(q, '')) AS BIGINT) AS chars FROM q WHERE len(q) > 0",
     "body_acronyms": "SELECT acronym, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(concat_ws(' ', a.first, a.last), '\\(([A-Z]{2,})\\)', 1)) AS acronym FROM (SELECT unnest(authors) AS a FROM refs)) GROUP BY 1",
     "posting_pages": "SELECT gram, citekey, count(DISTINCT page) AS pages, min(page) AS first_page FROM gram_postings WHERE gram IS NOT NULL AND citekey IS NOT NULL GROUP BY 1, 2",
-    "gram_lookup": f"""WITH f AS (SELECT DISTINCT ({grams_sql('fragment')})[1] AS gram FROM overlap_df) SELECT DISTINCT trim(regexp_replace(lower(gram), '[^a-z0-9]+', ' ', 'g')) AS gram, citekey, page, position FROM gram_postings
+    "gram_lookup": f"""WITH f AS (SELECT DISTINCT unnest({grams_sql('fragment')}) AS gram FROM overlap_df) SELECT DISTINCT trim(regexp_replace(lower(gram), '[^a-z0-9]+', ' ', 'g')) AS gram, citekey, page, position FROM gram_postings
         WHERE citekey IS NOT NULL AND trim(regexp_replace(lower(gram), '[^a-z0-9]+', ' ', 'g')) IN (SELECT gram FROM f)""",
     "pairwise_overlap": f"""WITH d AS (SELECT DISTINCT sent_id, citekey, unnest({grams_sql('text')}) AS gram FROM (SELECT sent_id, text, unnest(list_distinct(citekeys)) AS citekey FROM draft_sentences WHERE text IS NOT NULL)),
         s AS (SELECT DISTINCT citekey, unnest({grams_sql('text')}) AS gram FROM source_sentences WHERE text IS NOT NULL) SELECT sent_id, citekey, count(*) AS grams FROM d JOIN s USING (citekey, gram) GROUP BY 1, 2""",
