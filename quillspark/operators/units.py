@@ -74,7 +74,7 @@ def block_text(raw: Column) -> Column:
     """A block's lines as one string: markers of items and headings off, the cells of a row joined by ' -- '."""
     joined = F.array_join(F.transform(raw, lambda v: F.trim(F.regexp_replace(v, r"[\s]+", " "))), " ")
     plain = F.regexp_replace(joined, r"^(?:[-*+]|[0-9]+[.)]|#{1,6})\s+", "")
-    cells = F.filter(F.transform(F.split(joined, r"\|"), F.trim), lambda c: (c != "") & ~c.rlike("^:?-+:?$"))
+    cells = F.filter(F.transform(F.split(joined, r"\|"), lambda c: F.trim(c)), lambda c: (c != "") & ~c.rlike("^:?-+:?$"))
     return F.when(joined.startswith("|"), F.array_join(cells, " -- ")).otherwise(plain)
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import corpus_queries, draft_queries, overlap_queries, registry_queries, retrieval_queries, review_queries, structure_queries, unit_queries
+from quillspark.plans import corpus_queries, draft_queries, index_queries, overlap_queries, registry_queries, retrieval_queries, review_queries, structure_queries, unit_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (retrieval_queries, overlap_queries, corpus_queries, review_queries, structure_queries, unit_queries, draft_queries, registry_queries, unit_queries)
+MODULES = (retrieval_queries, overlap_queries, corpus_queries, review_queries, structure_queries, draft_queries, registry_queries, unit_queries, index_queries)
 
 
 def queries() -> dict[str, Query]:
