@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType
@@ -55,16 +56,67 @@ def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
         yield queries if blocks <= 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
 
 
+#: Queries that are compared with a batch of vectors at once.
+QUERIES_AT_ONCE = 1_000
+
+
+def _compared(part: DataFrame, pick):
+    """A function over Arrow batches of (vec_id, source, embedding): the rows that pick(distances, sources) chooses a query, with
+    their exact squared distances, summed in the order of the dimensions. part: a block of queries, collected."""
+    rows = part.collect()
+    ids = np.array([r["query_id"] for r in rows], dtype=object)
+    q = np.array([r["query"] for r in rows], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(q):
+                continue
+            x = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
+            source = np.array(b.column("source").to_pylist(), dtype=object)
+            for s in range(0, len(q), QUERIES_AT_ONCE):
+                y = q[s : s + QUERIES_AT_ONCE]
+                near = (y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)
+                at, of = pick(near, source)
+                exact = np.zeros(len(at))
+                for k in range(x.shape[1]):
+                    exact += (y[at, k] - x[of, k]) ** 2
+                names = ["query_id", "vec_id", "source", "distance"]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s + at].tolist(), pa.int64()), b.column("vec_id").take(pa.array(of)), b.column("source").take(pa.array(of)), pa.array(exact)], names=names)
+
+    return run
+
+
+#: Distances are compared rounded to four places; the product that finds candidates is not as exact as their sum.
+SLACK = 1.1e-4
+
+
+def _least(near: np.ndarray, k: int) -> np.ndarray:
+    """Which entries of each row are among its k least, or may be after rounding."""
+    if near.shape[1] <= k:
+        return np.ones(near.shape, bool)
+    return near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k] + SLACK
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, per_source: int | None = None) -> DataFrame:
     """(query_id, vec_id, source, distance, rank): exact nearest vectors of a stated set of queries by squared distance.
 
-    queries: (query_id, query), sent to the vectors in blocks of about QUERY_BLOCK; vectors: (vec_id, source, embedding). The rank
-    limit runs in each partition before the shuffle. For many queries see indexed_nearest.
+    queries: (query_id, query), sent to the vectors in blocks of about QUERY_BLOCK; vectors: (vec_id, source, embedding). Each batch
+    is one matrix product, of which the candidates' distances are computed exactly; only the best of a batch are shuffled. For many
+    queries see indexed_nearest.
     """
-    d = F.round(T.squared_distance(F.col("query"), F.col("embedding")), 4).alias("distance")
+
+    def pick(near: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not per_source:
+            return np.nonzero(_least(near, k))
+        found = [(at, cols[of]) for s in set(source) for cols in [np.flatnonzero(source == s)] for at, of in [np.nonzero(_least(near[:, cols], per_source))]]
+        return np.concatenate([a for a, _ in found]), np.concatenate([o for _, o in found])
+
+    rows = vectors.where("embedding is not null").select("vec_id", "source", "embedding")
+    source_type = dict(rows.dtypes)["source"]
     out = None
-    for part in query_blocks(queries):
-        found = _ranked(vectors.crossJoin(F.broadcast(part)).select("query_id", "vec_id", "source", d), k, per_source)
+    for part in query_blocks(queries.where("query is not null")):
+        found = rows.mapInArrow(_compared(part, pick), f"query_id long, vec_id {dict(rows.dtypes)['vec_id']}, source {source_type}, distance double")
+        found = _ranked(found.withColumn("distance", F.round("distance", 4)), k, per_source)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -152,10 +204,16 @@ def indexed_nearest(queries: DataFrame, vectors: DataFrame, k: int, probes: int
 
 def best_distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(source, distance): least distance of any query to a vector of the source."""
-    d = T.squared_distance(F.col("query"), F.col("embedding"))
+
+    def pick(near: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(near[:, cols], cols) for s in set(source) for cols in [np.flatnonzero(source == s)]]
+        best = [(*np.unravel_index(part.argmin(), part.shape), cols) for part, cols in found]
+        return np.array([a for a, _, _ in best]), np.array([cols[o] for _, o, cols in best])
+
+    rows = vectors.where("embedding is not null").select("vec_id", "source", "embedding")
     out = None
-    for part in query_blocks(queries):
-        found = vectors.crossJoin(F.broadcast(part)).groupBy("source").agg(F.min(d).alias("distance"))
+    for part in query_blocks(queries.where("query is not null")):
+        found = rows.mapInArrow(_compared(part, pick), f"query_id long, vec_id {dict(rows.dtypes)['vec_id']}, source {dict(rows.dtypes)['source']}, distance double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("source").agg(F.round(F.min("distance"), 4).alias("distance"))
 
@@ -165,15 +223,53 @@ def unit(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
+#: Most numbers of a matrix of centroids that is sent to the vectors (64 MB).
+MATRIX_NUMBERS = 8_000_000
+
+
 def memberships(vectors: DataFrame, vector: str, label: str, key: str, ratio: float = 0.5, most: int = 8) -> DataFrame:
     """(key, topic, weight): cosine of centred vectors and centroids; kept if positive, at least ratio of the best, and among the
-    first by weight (ties by the topic as text); the assigned topic always."""
-    cents = centroids(vectors.where(F.col(label) >= 0), label, vector).withColumnRenamed(label, "topic")
+    first by weight (ties by the topic as text); the assigned topic always.
+
+    The centroids are sent to the vectors, which stay where they are: a matrix product a batch, no shuffle. Their size is checked;
+    beyond MATRIX_NUMBERS the pairs are made by a join.
+    """
+    vectors = vectors.where(F.col(vector).isNotNull())
+    cents = cut_lineage(centroids(vectors.where(F.col(label) >= 0), label, vector).withColumnRenamed(label, "topic"), "centroids")
     every = exploded(vectors, key, vector).groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("m"))
     mean = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda p: p["m"]).alias("mean"))
+    size = cents.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if size > MATRIX_NUMBERS:
+        return _joined_memberships(vectors, vector, label, key, cents, mean, ratio, most)
+    rows = sorted(cents.select(F.col("topic").cast("string").alias("topic"), "centroid").collect(), key=lambda r: r["topic"])
+    topics, c, m = np.array([r["topic"] for r in rows], dtype=object), np.array([r["centroid"] for r in rows], np.float64), mean.first()["mean"]
+    place = {t: i for i, t in enumerate(topics)}
+    m, lengths = np.array(m or [], np.float64), np.sqrt((c * c).sum(-1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(topics):
+                continue
+            x = np.stack(b.column("v").to_numpy(zero_copy_only=False)).astype(np.float64) - m
+            norm = np.sqrt((x * x).sum(1))[:, None] * lengths
+            weight = np.round(np.divide(x @ c.T, norm, out=np.zeros(norm.shape), where=norm > 0), 6)
+            rank = np.empty(weight.shape, np.int64)  # topics are in order of their text, so a stable sort breaks ties by it
+            np.put_along_axis(rank, np.argsort(-weight, axis=1, kind="stable"), np.arange(weight.shape[1])[None, :], axis=1)
+            kept = (weight > 0) & (weight >= ratio * weight.max(1, keepdims=True)) & (rank < most)
+            for i, t in enumerate(b.column("assigned").to_pylist()):
+                if t in place:
+                    kept[i, place[t]] = True
+            at, of = np.nonzero(kept)
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at)), pa.array(topics[of].tolist(), pa.string()), pa.array(weight[at, of])], names=[key, "topic", "weight"])
+
+    asked = vectors.select(F.col(key).alias("k"), F.col(label).cast("string").alias("assigned"), F.col(vector).alias("v"))
+    return asked.mapInArrow(run, f"`{key}` {dict(asked.dtypes)['k']}, topic string, weight double")
+
+
+def _joined_memberships(vectors: DataFrame, vector: str, label: str, key: str, cents: DataFrame, mean: DataFrame, ratio: float, most: int) -> DataFrame:
     centred = vectors.crossJoin(F.broadcast(mean)).select(key, F.col(label).alias("assigned"), F.zip_with(vector, "mean", lambda x, m: x.cast("double") - m).alias("v"))
     weight = F.round(T.cosine(F.col("v"), F.col("centroid")), 6)
-    rows = centred.crossJoin(F.broadcast(cents)).select(key, "assigned", F.col("topic").cast("string").alias("topic"), weight.alias("weight"))
+    rows = centred.crossJoin(cents).select(key, "assigned", F.col("topic").cast("string").alias("topic"), weight.alias("weight"))
     w = Window.partitionBy(key)
     rows = rows.withColumn("best", F.max("weight").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("weight"), "topic")))
     kept = (F.col("weight") > 0) & (F.col("weight") >= ratio * F.col("best")) & (F.col("rank") <= most)
@@ -181,12 +277,15 @@ def memberships(vectors: DataFrame, vector: str, label: str, key: str, ratio: fl
 
 
 def seed_matches(seeds: DataFrame, vectors: DataFrame, least: float = 0.15, most: int = 25) -> DataFrame:
-    """(seed, key, score, considered, rank): documents at or above the least cosine with a seed; considered counts before the cap."""
+    """(seed, key, score, considered, rank): documents at or above the least cosine with a seed; considered counts before the cap.
+
+    Counts combine map-side and the cap is taken before the shuffle, so no seed's matches meet in one task. seeds are written by hand.
+    """
     score = F.round(T.cosine(F.col("seed_vector"), F.col("embedding")), 6)
     rows = vectors.crossJoin(F.broadcast(seeds)).select("seed", F.col("vec_id").alias("key"), score.alias("score")).where(F.col("score") >= least)
-    w = Window.partitionBy("seed")
-    rows = rows.withColumn("considered", F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "key")).cast("long"))
-    return rows.where(F.col("rank") <= most)
+    counts = rows.groupBy("seed").agg(F.count("*").alias("considered"))
+    w = Window.partitionBy("seed").orderBy(F.desc("score"), "key")
+    return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).join(F.broadcast(counts), "seed").select("seed", "key", "score", "considered", "rank")
 
 
 def greedy_pairs(candidates: list[tuple[float, str, str]], floor: float = 0.45) -> list[tuple[str, str, float]]:
@@ -209,18 +308,22 @@ def align(cosines, threshold: float = 0.62, gap: float = 0.25, most: int = 3) ->
     if c.size == 0:
         return []
     n, m = c.shape
-    score, move = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), int)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = ((score[i - 1, j - 1] + c[i - 1, j - 1] - threshold, 3), (score[i - 1, j] - gap, 2), (score[i, j - 1] - gap, 1), (0.0, 0))
-            score[i, j], move[i, j] = max(options)
+    score, move = np.zeros((n + 1, m + 1)), np.zeros((n + 1, m + 1), np.int8)
+    for d in range(2, n + m + 1):  # cells of an anti-diagonal depend on the two before it only
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        options = np.stack([np.zeros(len(i)), score[i, j - 1] - gap, score[i - 1, j] - gap, score[i - 1, j - 1] + c[i - 1, j - 1] - threshold])
+        best = 3 - options[::-1].argmax(0)  # of equals the diagonal, then up, then left
+        score[i, j], move[i, j] = options[best, np.arange(len(i))], best
     used, out = set(), []
     for _ in range(most):
-        cells = [(score[i, j], -i, -j) for i in range(1, n + 1) for j in range(1, m + 1) if i not in used and score[i, j] > 0]
-        if not cells:
+        free = score.copy()
+        free[[0, *used], :] = 0.0
+        at = int(free.argmax())  # the first of equals: the least i, then the least j
+        best, (i, j) = free.flat[at], divmod(at, m + 1)
+        if best <= 0:
             break
-        best, i, j = max(cells)
-        i, j, path, clash = -i, -j, [], False
+        path, clash = [], False
         while i > 0 and j > 0 and move[i, j]:
             clash |= i in used
             if move[i, j] == 3:
