@@ -213,7 +213,7 @@ def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
 def fit_by_source(spark: SparkSession, d: str) -> DataFrame:
     """Least-squares line of characters by words for each source; a slope of 0 without variance."""
     rows = load(spark, d, "documents").where("text is not null and source is not null").select("source", F.size(T.words(F.col("text"))).alias("w"), "n_chars")
-    return rows.groupBy("source").agg(F.round(F.coalesce(F.regr_slope("n_chars", "w"), F.lit(0.0)), 3).alias("slope"), F.count("*").alias("n"))
+    return rows.groupBy("source").agg(F.round(F.coalesce(F.regr_slope("n_chars", "w"), F.lit(0.0)), 3).alias("slope"), F.round(F.coalesce(F.regr_intercept("n_chars", "w"), F.avg("n_chars")), 2).alias("intercept"), F.count("*").alias("n"))
 
 
 def length_fence(spark: SparkSession, d: str) -> DataFrame:
@@ -293,7 +293,7 @@ SQL = {
         SELECT a.passage_id AS a_id, b.passage_id AS b_id FROM p a JOIN p b ON a.citekey = b.citekey AND a.page = b.page AND a.passage_id < b.passage_id
         WHERE least(a.b[3], b.b[3]) - greatest(a.b[1], b.b[1]) > 1 AND least(a.b[4], b.b[4]) - greatest(a.b[2], b.b[2]) > 1
           AND NOT ((a.b[1] <= b.b[1] AND a.b[2] <= b.b[2] AND b.b[3] <= a.b[3] AND b.b[4] <= a.b[4]) OR (b.b[1] <= a.b[1] AND b.b[2] <= a.b[2] AND a.b[3] <= b.b[3] AND a.b[4] <= b.b[4]))""",
-    "fit_by_source": f"SELECT source, round(coalesce(regr_slope(n_chars, len({_WORDS})), 0.0), 3) AS slope, count(*) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1",
+    "fit_by_source": f"SELECT source, round(coalesce(regr_slope(n_chars, len({_WORDS})), 0.0), 3) AS slope, round(coalesce(regr_intercept(n_chars, len({_WORDS})), avg(n_chars)), 2) AS intercept, count(*) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY 1",
     "length_fence": """WITH r AS (SELECT source, n_chars::DOUBLE AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL AND n_chars IS NOT NULL),
         q AS (SELECT source, n, sum(CASE WHEN i = floor((n + 1) * 0.25e0) THEN v * (1 - ((n + 1) * 0.25e0 - floor((n + 1) * 0.25e0))) WHEN i = floor((n + 1) * 0.25e0) + 1 THEN v * ((n + 1) * 0.25e0 - floor((n + 1) * 0.25e0)) ELSE 0 END) AS q1,
                      sum(CASE WHEN i = floor((n + 1) * 0.75e0) THEN v * (1 - ((n + 1) * 0.75e0 - floor((n + 1) * 0.75e0))) WHEN i = floor((n + 1) * 0.75e0) + 1 THEN v * ((n + 1) * 0.75e0 - floor((n + 1) * 0.75e0)) ELSE 0 END) AS q3 FROM r GROUP BY source, n)

@@ -97,10 +97,14 @@ def first_appearance_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interpolated_cost(spark: SparkSession, d: str) -> DataFrame:
-    """Per user the gaps between events, and the sum of the values on both sides of each: twice the sum of interpolated middles."""
+    """The value at each marker, interpolated in time between the events before and after it; null where one side is missing."""
+    marker = F.col("event_type") == "signup"
+    e = load(spark, d, "events").select("user_id", "event_id", "ts", marker.alias("marker"), F.when(~marker, F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")).alias("p"))
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = load(spark, d, "events").select("user_id", "event_id", "value", F.lead("value").over(w).alias("next"))
-    return e.where("next is not null").groupBy("user_id").agg(F.count("*").alias("gaps"), F.round(F.sum(F.col("value") + F.col("next")), 2).alias("both_sides"))
+    before, after = F.last("p", ignorenulls=True).over(w), F.first("p", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    rows = e.select("user_id", "event_id", "marker", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), before.alias("b"), after.alias("a")).where("marker")
+    share = (F.col("t") - F.col("b.t")) / F.nullif(F.col("a.t") - F.col("b.t"), F.lit(0))
+    return rows.select("user_id", "event_id", F.round(F.col("b.value") + (F.col("a.value") - F.col("b.value")) * share, 4).alias("value"))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +158,15 @@ def topic_converged(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(p, t, round(x, 4)) for p, t, x in pairs], "phrase string, topic string, score double")
 
 
-_F = (used_keys, citation_gate, citation_numbers, section_keys, synthesis_report, longest_single_run, uncited_claims, uncited_order, claim_words, provenance_best_passage, provenance_bands, registry_repeats, log_cost_by_segment, longest_event_run, first_appearance_order, interpolated_cost, vector_topk, vector_topk_indexed, shortlist_distances, doc_mean_pool, topic_membership, topic_seeds, topic_converged)
+def converged_set(spark: SparkSession, d: str) -> DataFrame:
+    """All topics with the phrase that names them, if one does, and the phrases that name none (rows only)."""
+    named = topic_converged(spark, d)
+    labels = load(spark, d, "embeddings").select(F.col("label").cast("string").alias("topic")).distinct()
+    phrases = labels.withColumnRenamed("topic", "phrase")
+    return labels.join(named, "topic", "left").select("topic", "phrase", "score").unionByName(phrases.join(named, "phrase", "left_anti").select(F.lit(None).cast("string").alias("topic"), "phrase", F.lit(None).cast("double").alias("score")))
+
+
+_F = (used_keys, citation_gate, citation_numbers, section_keys, synthesis_report, longest_single_run, uncited_claims, uncited_order, claim_words, provenance_best_passage, provenance_bands, registry_repeats, log_cost_by_segment, longest_event_run, first_appearance_order, interpolated_cost, vector_topk, vector_topk_indexed, shortlist_distances, doc_mean_pool, topic_membership, topic_seeds, topic_converged, converged_set)
 QUERIES = {f.__name__: f for f in _F}
 
 _KEYS = "regexp_extract_all(text, '@([A-Za-z][A-Za-z0-9_-]*)', 1)"
@@ -196,7 +208,10 @@ SQL = {
     "longest_event_run": """WITH o AS (SELECT user_id, ts, event_id, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS opened FROM events),
         r AS (SELECT user_id, sum(opened) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM o), g AS (SELECT user_id, run, count(*) AS n FROM r GROUP BY 1, 2) SELECT user_id, max(n) AS longest FROM g GROUP BY 1""",
     "first_appearance_order": "WITH f AS (SELECT user_id, event_type, min((ts, event_id)) AS first_at FROM events GROUP BY 1, 2) SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY first_at, event_type) AS BIGINT) AS number, event_type FROM f",
-    "interpolated_cost": "WITH e AS (SELECT user_id, value, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) SELECT user_id, count(*) AS gaps, round(sum(value + next), 2) AS both_sides FROM e WHERE next IS NOT NULL GROUP BY 1",
+    "interpolated_cost": """WITH e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, event_type = 'signup' AS marker, CASE WHEN event_type <> 'signup' THEN epoch_us(ts) END AS pt, CASE WHEN event_type <> 'signup' THEN value END AS pv FROM events),
+        n AS (SELECT *, last_value(pt IGNORE NULLS) OVER b AS bt, last_value(pv IGNORE NULLS) OVER b AS bv, first_value(pt IGNORE NULLS) OVER a AS at_, first_value(pv IGNORE NULLS) OVER a AS av FROM e
+              WINDOW b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT user_id, event_id, round(bv + (av - bv) * ((t - bt) / nullif(at_ - bt, 0)::DOUBLE), 4) AS value FROM n WHERE marker""",
     "vector_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label AS source, round({_D2}, 4) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0),
         c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY distance, vec_id) <= 3)
         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank FROM c QUALIFY rank <= 10""",

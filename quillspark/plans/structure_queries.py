@@ -238,13 +238,13 @@ def page_locate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def number_passages(spark: SparkSession, d: str) -> DataFrame:
-    """Passages of a cited source that share a number with the claim, at most three a claim."""
+    """For each claim and source it cites the five passages that share most numbers with it, ties by id."""
     numbers = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(r"[0-9]+(?:[.,][0-9]+)?"), 0))
     c = load(spark, d, "draft_sentences").select("sent_id", F.explode(F.array_distinct("citekeys")).alias("citekey"), F.explode(numbers(F.col("text"))).alias("number"))
     p = load(spark, d, "passages").where("text is not null").select("passage_id", "citekey", F.explode(numbers(F.col("text"))).alias("number")).distinct()
-    hits = c.join(p, ["citekey", "number"]).select("sent_id", "citekey", "passage_id").distinct()
-    w = Window.partitionBy("sent_id", "citekey").orderBy("passage_id")
-    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3")
+    hits = c.join(p, ["citekey", "number"]).groupBy("sent_id", "citekey", "passage_id").agg(F.count_distinct("number").alias("shared"))
+    w = Window.partitionBy("sent_id", "citekey").orderBy(F.desc("shared"), "passage_id")
+    return hits.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 5")
 
 
 def keys_in_use(spark: SparkSession, d: str) -> DataFrame:
@@ -275,13 +275,17 @@ def version_series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drift_by_draft(spark: SparkSession, d: str) -> DataFrame:
-    """Documents among the first five for a draft's first sentence whose key the draft doesn't cite: one corpus scan for all drafts."""
+    """Documents among the first five for a sentence whose key its draft doesn't cite: one corpus scan for all sentences asked.
+
+    The queries are the stated set of a search: every draft sentence whose id is divisible by 50.
+    """
     ds = load(spark, d, "draft_sentences")
-    q = ds.groupBy("draft").agg(F.min_by("text", "sent_id").alias("query")).withColumnRenamed("draft", "query_id")
+    q = ds.where("sent_id % 50 = 0").select(F.col("sent_id").alias("query_id"), F.col("text").alias("query"))
     hits = retrieval.topk(retrieval.corpus_of(load(spark, d, "documents")), q, 5)
     keys = load(spark, d, "documents").where("citekey is not null").select(F.col("doc_id").alias("key"), "citekey")
-    cited = ds.select(F.col("draft").alias("query_id"), F.explode("citekeys").alias("citekey")).distinct()
-    return hits.join(keys, "key").join(cited, ["query_id", "citekey"], "left_anti").select("query_id", "citekey", "rank")
+    named = hits.join(keys, "key").join(ds.select(F.col("sent_id").alias("query_id"), "draft"), "query_id")
+    cited = ds.select("draft", F.explode("citekeys").alias("citekey")).distinct()
+    return named.join(cited, ["draft", "citekey"], "left_anti").select("query_id", "draft", "citekey", "rank")
 
 
 def embedding_refresh(spark: SparkSession, d: str) -> DataFrame:
@@ -373,13 +377,13 @@ SQL = {
     "page_locate": f"""WITH f AS (SELECT id, citekey, min(fragment) AS text FROM overlap_df GROUP BY 1, 2), p AS (SELECT id, citekey, {_LONG} AS w FROM f), e AS (SELECT DISTINCT citekey, page, unnest({_LONG}) AS word FROM passages WHERE page IS NOT NULL AND text IS NOT NULL), q AS (SELECT citekey, page, list(word) AS pw FROM e WHERE citekey IS NOT NULL GROUP BY 1, 2),
         s AS (SELECT id, page, round(len(list_intersect(w, pw)) / nullif(len(w), 0)::DOUBLE, 4) AS score FROM p JOIN q USING (citekey)) SELECT id, page, score, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, page DESC) AS BIGINT) AS rank FROM s WHERE score > 0 QUALIFY rank <= 4""",
     "number_passages": f"""WITH c AS (SELECT sent_id, citekey, unnest({_NUM}) AS number FROM (SELECT sent_id, text, unnest(list_distinct(citekeys)) AS citekey FROM draft_sentences)), p AS (SELECT DISTINCT passage_id, citekey, unnest({_NUM}) AS number FROM passages WHERE text IS NOT NULL),
-        h AS (SELECT DISTINCT sent_id, citekey, passage_id FROM c JOIN p USING (citekey, number)) SELECT *, CAST(row_number() OVER (PARTITION BY sent_id, citekey ORDER BY passage_id) AS BIGINT) AS rank FROM h QUALIFY rank <= 3""",
+        h AS (SELECT sent_id, citekey, passage_id, count(DISTINCT number) AS shared FROM c JOIN p USING (citekey, number) GROUP BY 1, 2, 3) SELECT *, CAST(row_number() OVER (PARTITION BY sent_id, citekey ORDER BY shared DESC, passage_id) AS BIGINT) AS rank FROM h QUALIFY rank <= 5""",
     "keys_in_use": f"SELECT DISTINCT citekey FROM (SELECT unnest(citekeys) AS citekey FROM draft_sentences UNION ALL SELECT unnest({_KEYS}) FROM documents WHERE text IS NOT NULL UNION ALL SELECT citekey FROM overlap_df) WHERE citekey IS NOT NULL",
     "sentence_windows": f"WITH w AS (SELECT claim_id, {_WIN} AS w FROM claim_sentences WHERE text IS NOT NULL) SELECT claim_id, CAST(unnest(range(0, len(w))) AS BIGINT) AS \"window\", md5(unnest(w)) AS digest FROM w",
     "swapped_claims": f"""WITH s AS (SELECT claim_id, {_SWAP} AS s, {grams_sql('text')} AS g FROM claim_sentences WHERE text IS NOT NULL)
         SELECT claim_id, md5(array_to_string(s, ' ')) AS digest, CAST(len(list_intersect(g, list_transform(range(1, len(s) - 6), lambda i: array_to_string(list_slice(s, i, i + 7), ' ')))) AS BIGINT) AS shared FROM s""",
     "version_series": "SELECT series, count(*) AS uses FROM (SELECT unnest(regexp_extract_all(text, 'v([0-9]+\\.[0-9]+)', 1)) AS series FROM claim_sentences WHERE text IS NOT NULL) GROUP BY 1",
-    "drift_by_draft": f"""WITH {bm25_sql('(SELECT draft AS query_id, arg_min(text, sent_id) AS query FROM draft_sentences GROUP BY 1)', 5)}, ct AS (SELECT DISTINCT draft AS query_id, unnest(citekeys) AS citekey FROM draft_sentences)
-        SELECT query_id, citekey, rank FROM hits JOIN documents ON doc_id = hits.key WHERE citekey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.query_id = hits.query_id AND ct.citekey = documents.citekey)""",
+    "drift_by_draft": f"""WITH {bm25_sql('(SELECT sent_id AS query_id, text AS query FROM draft_sentences WHERE sent_id % 50 = 0)', 5)}, ct AS (SELECT DISTINCT draft, unnest(citekeys) AS citekey FROM draft_sentences)
+        SELECT query_id, draft, documents.citekey, rank FROM hits JOIN documents ON doc_id = hits.key JOIN draft_sentences ds ON ds.sent_id = query_id WHERE documents.citekey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ct WHERE ct.draft = ds.draft AND ct.citekey = documents.citekey)""",
     "embedding_refresh": """WITH p AS (SELECT DISTINCT citekey, sha256(text) AS h FROM passages WHERE text IS NOT NULL) SELECT CASE WHEN p.h IS NOT NULL THEN 'unchanged' ELSE 'to embed' END AS state, count(*) AS n FROM source_sentences s LEFT JOIN p ON s.citekey = p.citekey AND sha256(s.text) = p.h WHERE s.text IS NOT NULL GROUP BY 1""",
 }
