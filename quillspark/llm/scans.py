@@ -300,7 +300,7 @@ def train_joiner(texts: list[str], clean: frozenset[str], seed: int = 7) -> np.n
     examples: list[tuple[list[int], int]] = []
     for t in texts:
         words = re.findall(CLEAN_WORD, t)
-        for k in rng.permutation(len(words) - 1)[:6] if len(words) > 1 else ():
+        for k in rng.permutation(len(words) - 1)[:PAIRS_A_TEXT] if len(words) > 1 else ():
             known = bool(rng.random() < 0.5)  # words of scans are often none of the clean ones
             examples.append((join_features(words[k], words[k + 1], clean, known), -1))
             w = words[k]
@@ -322,8 +322,8 @@ def train_joiner(texts: list[str], clean: frozenset[str], seed: int = 7) -> np.n
     return (weights - later / step).astype(np.float32)
 
 
-#: Size of the joiner, and rounds of its training.
-JOIN_BITS, JOIN_EPOCHS = 16, 4
+#: Size of the joiner, rounds of its training, and pairs of words it takes of a text.
+JOIN_BITS, JOIN_EPOCHS, PAIRS_A_TEXT = 16, 3, 2
 RIGHT_SIDE = re.compile(r"[|!\d]?[^\W\d_]+")
 LEFT_SIDE = re.compile(r"[^\W_]+$")
 
