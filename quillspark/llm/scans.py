@@ -21,12 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.llm import bits
 from quillspark.llm.sample import bounded_texts
 from quillspark.llm.spans import IDS
-from quillspark.session import load, spread
+from quillspark.session import cut_lineage, load, spread
 
 #: Clean rows the editor is trained on: the first of them by a hash of their text.
 TRAIN_ROWS = 8_000
@@ -172,11 +174,17 @@ MOST_KNOWN = 500_000
 class Editor:
     """Applies the weights to words, each distinct word once per worker."""
 
-    def __init__(self, weights: np.ndarray, clean: frozenset[str], joiner: np.ndarray | None = None) -> None:
-        self.weights, self.clean = weights, clean
+    def __init__(self, weights: np.ndarray, clean: frozenset[str], joiner: np.ndarray | None = None, held: np.ndarray | None = None) -> None:
+        self.weights, self.clean, self.held = weights, clean, held
         self.joiner = np.zeros(1 << JOIN_BITS, np.float32) if joiner is None else joiner
         self.known: dict[str, str] = {}
 
+    def is_clean(self, word: str) -> bool:
+        """Whether a clean text holds a word in small letters."""
+        if word in self.clean:
+            return True
+        return self.held is not None and bool(bits.may_hold(self.held, np.array([xxhash.xxh64_intdigest(word.encode(), 42)], np.uint64))[0])
+
     def learn(self, words: set[str]) -> None:
         """Decide words not met before. Words are forgotten when there are many, so a task's memory doesn't grow with its rows."""
         if len(self.known) > MOST_KNOWN:
@@ -184,11 +192,11 @@ class Editor:
         new = []
         for w in words:
             if w not in self.known:
-                if w.lower() in self.clean or len(w) < 2:
+                if self.is_clean(w.lower()) or len(w) < 2:
                     self.known[w] = w
                 elif CODE.fullmatch(w):
                     plain = w.translate(SHORT) if w.islower() and len(w) <= 3 else w
-                    self.known[w] = plain if plain in self.clean else w
+                    self.known[w] = plain if self.is_clean(plain) else w
                 else:
                     new.append(w)
         for s in range(0, len(new), 20_000):
@@ -403,7 +411,8 @@ def fitted(spark: SparkSession, sf_dir: str):
     """The editor's weights, as a broadcast of fixed size (2^BITS rows), and the words that clean texts hold.
 
     Weights are fitted on TRAIN_ROWS texts. Words of all other clean texts count as well, as far as they matter: those that the
-    editor would change in a scan are joined with the vocabulary of all clean texts.
+    editor would change in a scan are joined with the vocabulary of all clean texts, and those met are told by a bit filter of
+    bounded size.
     """
     df = None
     for table in ("passages", "source_sentences"):
@@ -412,14 +421,15 @@ def fitted(spark: SparkSession, sf_dir: str):
     sample = bounded_texts(df, TRAIN_ROWS)
     weights, clean = train(sample)
     joiner = train_joiner(sample, clean)
-    model = spark.sparkContext.broadcast((weights, clean, joiner))
+    model = spark.sparkContext.broadcast((weights, clean, joiner, None))
     if df.count() <= TRAIN_ROWS:
         return model
     doubted = spread(scan_records(spark, sf_dir).select("text")).mapInArrow(_doubted(model), "word string").distinct()
     every = df.select(F.explode(F.regexp_extract_all("text", F.lit(CLEAN_WORD), 0)).alias("word")).select(F.lower("word").alias("word")).distinct()
-    met = frozenset(r["word"] for r in doubted.join(every, "word", "left_semi").collect())
+    met = cut_lineage(doubted.join(every, "word", "left_semi").select(F.xxhash64("word").alias("h")), "clean-words")
+    held = bits.build(met, "h", 64 * max(met.count(), 1_000))  # sparse: a word that no clean text holds passes for one as good as never
     model.unpersist()
-    return spark.sparkContext.broadcast((weights, clean | met, joiner))
+    return spark.sparkContext.broadcast((weights, clean, joiner, held))
 
 
 def repaired(records: DataFrame, model) -> DataFrame:

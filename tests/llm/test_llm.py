@@ -354,8 +354,9 @@ def test_words_of_clean_texts_beyond_the_sample_are_no_misreadings(spark, tables
     d = tables(passages=spark.createDataFrame(clean + asked, schema), source_sentences=spark.createDataFrame([], schema).withColumnRenamed("passage_id", "src_id"))
     monkeypatch.setattr(scans, "TRAIN_ROWS", 300)
     assert len(rare) > 20 and scans.p6_found(spark, d).count() == 0
-    model = scans.fitted(spark, d).value
-    assert model[1] < {w for _, t, _ in clean for w in re.findall(scans.CLEAN_WORD, t.lower())}
+    editor = scans.Editor(*scans.fitted(spark, d).value)
+    editor.learn(set(rare))
+    assert all(editor.known[w] == w for w in rare) and any(editor.is_clean(w) for w in rare) and not any(editor.is_clean(w + "qx") for w in rare)
 
 
 def test_editor_held_out_accuracy():
