@@ -5,6 +5,7 @@ All are pandas functions over Arrow batches; stemming runs over distinct words o
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 
@@ -179,10 +180,12 @@ def draft_tokens(text: str) -> list[tuple[str, int, int, int, int]]:
     masked = mask_for_scan(text or "")
     quotes = [(m.start(), m.end()) for m in QUOTE.finditer(masked)]
     breaks = [m.end() for m in re.finditer(r"\n\s*\n", masked)]
-    out = []
+    out, k = [], 0
     for m in re.finditer(r"[a-z0-9]+", masked.lower() if len(masked.lower()) == len(masked) else "".join(c.lower() if len(c.lower()) == 1 else c for c in masked)):
-        paragraph = sum(b <= m.start() for b in breaks)
-        out.append((m.group(), paragraph, int(any(s <= m.start() < e for s, e in quotes)), m.start(), m.end()))
+        while k < len(quotes) and quotes[k][1] <= m.start():
+            k += 1
+        quoted = k < len(quotes) and quotes[k][0] <= m.start()
+        out.append((m.group(), bisect.bisect_right(breaks, m.start()), int(quoted), m.start(), m.end()))
     return out
 
 

@@ -56,9 +56,13 @@ def run_contexts(spark: SparkSession, d: str) -> DataFrame:
     return drafts.contexts(runs, load(spark, d, "draft_sentences").select(F.col("sent_id").alias("key"), "text"))
 
 
+#: Phrases that are nobody's (an example of a configuration).
+STOCK_PHRASES = ("neither the", "nor the", "of the", "describes both the")
+
+
 def allowlisted_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Findings outside some stock phrases (rows only)."""
-    phrases = [["neither", "the"], ["nor", "the"], ["of", "the"], ["describes", "both", "the"]]
+    """Findings that keep eight words outside some stock phrases."""
+    phrases = [p.split() for p in STOCK_PHRASES]
     return drafts.allowlisted(load(spark, d, "overlap_df").select("id", "fragment"), "fragment", phrases).select("id").distinct()
 
 
@@ -89,9 +93,9 @@ def unit_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def draft_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words of each draft chapter with paragraph, quotation flag and offsets, summed up (rows only)."""
-    docs = load(spark, d, "documents").where("source = 'draft_chapter' and text is not null").select("doc_id", F.explode(udf.draft_tokens_udf()("text")).alias("t"))
-    return docs.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum("t.quoted").alias("quoted"), (F.max("t.paragraph") + 1).alias("paragraphs"))
+    """Words of each document with paragraph and quotation flag, summed up; code and references are masked."""
+    docs = load(spark, d, "documents").where("text is not null").select("doc_id", F.explode(udf.draft_tokens_udf()("text")).alias("t"))
+    return docs.groupBy("doc_id").agg(F.count("*").alias("words"), F.sum("t.quoted").alias("quoted"), (F.max("t.paragraph") + 1).cast("long").alias("paragraphs"))
 
 
 def vector_alignments(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +121,14 @@ QUERIES = {f.__name__: f for f in _F}
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _SPAN = f"WITH {_RUNS}, u AS (SELECT DISTINCT draft_key, start, \"end\" FROM r)"
 
+_PLAIN = "regexp_replace(text, '`[^`\\n]+`', ' ', 'g')"
+_OPEN = f"len({_WORDS.replace('text', 'fragment')})" + "".join(f" - {len(p.split())} * len(list_filter(range(1, len(w) + 1), lambda i: array_to_string(list_slice(w, i, i + {len(p.split()) - 1}), ' ') = '{p}'))" for p in STOCK_PHRASES)
+
 SQL = {
+    "draft_words": f"""WITH t AS (SELECT doc_id, {_PLAIN} AS text FROM documents WHERE text IS NOT NULL),
+        n AS (SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS words, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '(?m)"[^"]{{2,}}"|“[^”]{{2,}}”|^>.*$'), lambda q: len(regexp_extract_all(lower(q), '[a-z0-9]+')))), 0) AS BIGINT) AS quoted,
+            CAST(len(regexp_extract_all(regexp_extract(lower(text), '(?s)^(.*[a-z0-9])', 1), '\\n\\s*\\n')) + 1 AS BIGINT) AS paragraphs FROM t) SELECT * FROM n WHERE words > 0""",
+    "allowlisted_findings": f"SELECT DISTINCT id FROM (SELECT id, fragment, {_WORDS.replace('text', 'fragment')} AS w FROM overlap_df) WHERE {_OPEN} >= 8",
     "position_keys": f"WITH {_HITS}, e AS (SELECT draft_key, key, unnest(range(pos, pos + 8)) AS pos FROM h) SELECT draft_key, CAST(pos AS BIGINT) AS pos, array_to_string(list_sort(list_distinct(list(key))), ',') AS keys FROM e GROUP BY 1, 2",
     "anchor_keys": f"WITH {_HITS} SELECT draft_key, CAST(pos AS BIGINT) AS pos, array_to_string(list_sort(list_distinct(list(key))), ',') AS keys FROM h GROUP BY 1, 2",
     "run_citations": f"""{_SPAN}, m AS (SELECT h.draft_key, ss.citekey, unnest(range(h.pos, h.pos + 8)) AS pos FROM h JOIN source_sentences ss ON ss.src_id = h.key),

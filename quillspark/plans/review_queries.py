@@ -121,7 +121,7 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """As vector_topk without the cap, by an inverted index (rows only; tested to be those of exact search)."""
+    """As vector_topk without the cap, by an inverted index: the rows are those of exact search."""
     return topics.indexed_nearest(_query_vectors(spark, d), _vectors(spark, d), 10)
 
 
@@ -215,6 +215,8 @@ SQL = {
     "vector_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label AS source, round({_D2}, 4) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0),
         c AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY distance, vec_id) <= 3)
         SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank FROM c QUALIFY rank <= 10""",
+    "vector_topk_indexed": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, b.label AS source, round({_D2}, 4) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0)
+        SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS BIGINT) AS rank FROM s QUALIFY rank <= 10""",
     "shortlist_distances": f"SELECT b.label AS source, round(min({_D2}), 4) AS distance FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 50 = 0 GROUP BY 1",
     "doc_mean_pool": "WITH e AS (SELECT label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, CAST(dim AS BIGINT) AS dim, round(avg(x), 4) AS mean FROM e GROUP BY 1, 2",
     "topic_membership": f"""WITH e AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT dim, avg(x) AS m FROM e GROUP BY 1),
