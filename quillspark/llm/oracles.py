@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillspark.llm import leaks
+
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 _TITLE = f"regexp_replace(replace(lower(nfc_normalize(translate(coalesce(title, ''), '{_WIDE}', '{_PLAIN.replace(chr(39), chr(39) * 2)}'))), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
@@ -26,7 +28,27 @@ _SPANS = f"""{_RECORDS}, g AS (SELECT rec_table, rec_id, len(w) AS n, unnest(ran
     k AS (SELECT *, sum(opened) OVER (PARTITION BY rec_table, rec_id ORDER BY p) AS span FROM o),
     spans AS (SELECT rec_table, rec_id, any_value(n) AS n, CAST(min(p) AS INTEGER) AS word_start, CAST(max(p) + 12 AS INTEGER) AS word_end FROM k GROUP BY rec_table, rec_id, span)"""
 
+def _seed_hits() -> str:
+    """Common table expressions: diagonals (doc_id, item_id, g) on which a spaced seed of an item stands in a document."""
+    parts = []
+    for mask in leaks.MASKS:
+        at = [k for k, bit in enumerate(mask) if bit == "1"]
+        key = f"list_transform(range(1, len(w) - {len(mask) - 2}), lambda p: array_to_string(list_transform({at}, lambda o: w[p + o]), ' '))"
+        rows = lambda t, i, where: f"(SELECT {i}, unnest(range(1, len(w) - {len(mask) - 2})) AS p, unnest({key}) AS k FROM {t} WHERE len(w) >= {where})"  # noqa: E731, B023
+        parts.append(f"SELECT doc_id, item_id, a.p - b.p AS g FROM {rows('d', 'doc_id', len(mask))} a JOIN {rows('i', 'item_id', leaks.RUN_WORDS)} b USING (k)")
+    short = f"SELECT doc_id, item_id, p - 1 AS g FROM (SELECT doc_id, d.w AS dw, item_id, i.w AS iw, unnest(range(1, len(d.w) - len(i.w) + 2)) AS p FROM d JOIN i ON len(i.w) BETWEEN 1 AND {leaks.RUN_WORDS - 1} AND len(d.w) >= len(i.w)) WHERE list_slice(dw, p, p + len(iw) - 1) = iw"
+    return f"""i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        hit AS ({' UNION '.join(parts)} UNION {short})"""
+
+
 SQL = {
+    "p7_leaks": f"""WITH {_seed_hits()},
+        c0 AS (SELECT doc_id, item_id, g, d.w AS dw, i.w AS iw, unnest(range(greatest(1, 1 - g), least(len(i.w), len(d.w) - g) + 1)) AS k FROM hit JOIN d USING (doc_id) JOIN i USING (item_id)),
+        c AS (SELECT doc_id, item_id, g, k, len(iw) AS n, iw[k] = dw[k + g] AS eq FROM c0),
+        s AS (SELECT *, sum(CASE WHEN eq THEN 1 ELSE -4 END) OVER w AS upto, sum(CASE WHEN eq THEN 0 ELSE 1 END) OVER w AS breaks FROM c WINDOW w AS (PARTITION BY doc_id, item_id, g ORDER BY k)),
+        e AS (SELECT doc_id, item_id, max(len) AS exact_words FROM (SELECT doc_id, item_id, count(*) AS len FROM s WHERE eq GROUP BY doc_id, item_id, g, breaks) GROUP BY 1, 2),
+        t AS (SELECT a.doc_id, a.item_id, any_value(a.n) AS n, max(b.k - a.k + 1) AS tolerant_words FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND a.g = b.g AND a.k <= b.k AND a.eq AND b.eq AND b.upto - a.upto + 1 >= 0 GROUP BY 1, 2)
+        SELECT doc_id, item_id, CAST(n AS INTEGER) AS item_words, CAST(exact_words AS INTEGER) AS exact_words, CAST(tolerant_words AS INTEGER) AS tolerant_words, round(tolerant_words / n::DOUBLE, 6) AS leaked_share FROM t JOIN e USING (doc_id, item_id) WHERE tolerant_words >= least({leaks.RUN_WORDS}, n)""",
     "p1_found": f"WITH {_ENTRIES}, f AS (SELECT min(ref_id) OVER (PARTITION BY t, d, u) AS first_ref_id, ref_id FROM e) SELECT DISTINCT first_ref_id, ref_id FROM f WHERE ref_id <> first_ref_id",
     "p1_records": f"""WITH {_ENTRIES}, c AS (SELECT min(ref_id) AS ref_id, count(*) AS copies FROM e GROUP BY t, d, u) SELECT ref_id, copies, citekey, title, doi, url FROM c JOIN refs USING (ref_id)""",
     "p2_found": f"""WITH {_RECORDS}, g AS (SELECT DISTINCT rec_table, rec_id, unnest({_grams('w', 12)}) AS g FROM w WHERE len(w) >= 12),
