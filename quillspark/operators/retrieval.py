@@ -5,6 +5,12 @@ A corpus is (key, text). Scores are taken over all documents before any filter;
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +18,10 @@ from quillspark.functions import text as T
 from quillspark.session import cut_lineage, spread
 
 K1, B = 1.5, 0.75
-#: Query terms that are held in the plan and broadcast; beyond, joins are shuffled.
-MOST_TERMS = 20_000
+#: Query terms that are held in the plan, and numbers of their matrix (terms by queries, 64 MB); beyond, joins are shuffled.
+MOST_TERMS, MATRIX_NUMBERS = 20_000, 8_000_000
+#: Products of a batch held at once, and by how much scores may differ that are equal when rounded.
+CELLS_AT_ONCE, TIED = 4_000_000, 1.1e-4
 
 
 def corpus_of(documents: DataFrame, *extra: str) -> DataFrame:
@@ -45,12 +53,13 @@ def term_stats(corpus: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.round(idf(F.col("n"), F.col("df")), 4).alias("idf"))
 
 
-def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, key, score) of documents that hold a term of the query.
+def scores(corpus: DataFrame, queries: DataFrame, most: int | None = None) -> DataFrame:
+    """(query_id, key, score) of documents that hold a term of the query; with most, of each query at least the most best ones.
 
     queries: (query_id, query), a stated set; a term counts once per query. The corpus is read and tokenised once: of each document
-    its length and its tokens that are query terms are kept, and everything else works on this small table. Up to MOST_TERMS
-    terms the tokens are filtered as they are read; beyond, all tokens are kept and met with the terms by a shuffled join.
+    its length and its tokens that are query terms are kept, and everything else works on this small table. Where the queries' terms
+    are at most MOST_TERMS and their matrix at most MATRIX_NUMBERS, the matrix is sent to the documents and a batch is one product;
+    beyond, tokens are met with the terms by shuffled joins. Both give the same rows.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(T.bm25_tokens(F.col("query")))).alias("term")).distinct()
     known = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
@@ -59,16 +68,60 @@ def scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     hits = F.filter("tokens", lambda w: w.isin(known)) if few else F.col("tokens")
     kept = cut_lineage(tokens.select("key", F.size("tokens").cast("long").alias("length"), hits.alias("hits")), "bm25")
     total = kept.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))  # one row
-    occurrences = kept.select("key", "length", F.explode("hits").alias("term"))
-    if not few:
-        occurrences = occurrences.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = occurrences.groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
     df = kept.select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = terms.select("query_id").distinct().limit(MATRIX_NUMBERS + 1).count()
+    if few and asked * max(len(known), 1) <= MATRIX_NUMBERS:
+        return _products(kept.where(F.size("hits") > 0), terms, {r["term"]: r["df"] for r in df.collect()}, total.first(), most)
+    occurrences = kept.select("key", "length", F.explode("hits").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    postings = occurrences.groupBy("key", "length", "term").agg(F.count("*").alias("tf"))
     weights = terms.join(df, "term")
     norm = F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("avgdl")
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * norm)
-    met = postings.join(F.broadcast(weights) if few else weights, "term")  # bounded by the queries' terms
-    return met.crossJoin(F.broadcast(total)).groupBy("query_id", "key").agg(F.sum(weight).alias("score")).where("score > 0")
+    return postings.join(weights, "term").crossJoin(F.broadcast(total)).groupBy("query_id", "key").agg(F.sum(weight).alias("score")).where("score > 0")
+
+
+def _products(kept: DataFrame, terms: DataFrame, df: dict[str, int], total, most: int | None) -> DataFrame:
+    """Scores by a matrix of the terms' weights by query: documents stay where they are. At most MOST_TERMS terms, MATRIX_NUMBERS numbers."""
+    rows = [r for r in terms.collect() if r["term"] in df]
+    names, asked = sorted({r["term"] for r in rows}), sorted({r["query_id"] for r in rows})
+    place, column = {t: i for i, t in enumerate(names)}, {q: i for i, q in enumerate(asked)}
+    weights = np.zeros((len(names), len(asked)))
+    for r in rows:
+        n = df[r["term"]]
+        weights[place[r["term"]], column[r["query_id"]]] = math.log((total["n"] - n + 0.5) / (n + 0.5) + 1)
+    avgdl, vocabulary = total["avgdl"] or 1.0, pa.array(names, pa.string())
+    kinds = dict(terms.dtypes)["query_id"], dict(kept.dtypes)["key"]
+    id_type = pa.int32() if kinds[0] == "int" else pa.int64() if kinds[0] == "bigint" else pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("hits")
+            code = pc.index_in(lists.flatten(), vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = np.diff(lists.offsets.to_numpy())
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            pair, tf = np.unique(doc * len(names) + code, return_counts=True)
+            doc, code = np.divmod(pair, len(names))
+            norm = 1 - B + B * b.column("length").to_numpy() / avgdl
+            gain = tf * (K1 + 1) / (tf + K1 * norm[doc])
+            best = []
+            step = max(1, CELLS_AT_ONCE // max(1, len(asked) * max(1, len(pair) // max(1, len(sizes)))))
+            for s in range(0, len(sizes), step):
+                low, high = np.searchsorted(doc, [s, s + step])
+                if low == high:
+                    continue
+                held, starts = np.unique(doc[low:high], return_index=True)
+                score = np.add.reduceat(gain[low:high, None] * weights[code[low:high]], starts, axis=0)
+                if most and len(held) > most:
+                    floor = np.partition(score, len(held) - most, axis=0)[len(held) - most] - TIED
+                    at, of = np.nonzero((score > 0) & (score >= floor))
+                else:
+                    at, of = np.nonzero(score > 0)
+                best.append((of, held[at], score[at, of]))
+            if best:
+                of, at, score = (np.concatenate(x) for x in zip(*best, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([asked[i] for i in of], id_type), b.column("key").take(pa.array(at)), pa.array(score)], names=["query_id", "key", "score"])
+
+    return kept.mapInArrow(run, f"query_id {kinds[0]}, key {kinds[1]}, score double")
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -79,7 +132,7 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 
 def topk(corpus: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return ranked(scores(corpus, queries), k)
+    return ranked(scores(corpus, queries, k), k)
 
 
 def coverage(hits: DataFrame, cited: DataFrame) -> DataFrame:

@@ -180,3 +180,40 @@ def test_no_shared_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_products_and_joins_give_the_same_scores(spark, monkeypatch):
+    import random
+
+    from quillspark.operators import retrieval
+
+    rng = random.Random(5)
+    words = [f"w{i:02d}x" for i in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randint(0, 30)))) for k in range(120)] + [(500, None), (501, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, " ".join(rng.choices(words, k=6))) for k in range(9)] + [(90, "zzz"), (91, None)], "query_id int, query string")
+    corpus_ = retrieval.corpus_of(docs)
+    one = sorted(map(tuple, retrieval.topk(corpus_, asked, 4).collect()))
+    every = {(r["query_id"], r["key"]): r["score"] for r in retrieval.scores(corpus_, asked).collect()}
+    monkeypatch.setattr(retrieval, "CELLS_AT_ONCE", 50)
+    assert sorted(map(tuple, retrieval.topk(corpus_, asked, 4).collect())) == one
+    monkeypatch.setattr(retrieval, "MATRIX_NUMBERS", 0)
+    assert sorted(map(tuple, retrieval.topk(corpus_, asked, 4).collect())) == one
+    joined = {(r["query_id"], r["key"]): r["score"] for r in retrieval.scores(corpus_, asked).collect()}
+    assert joined.keys() == every.keys() and all(abs(joined[k] - every[k]) < 1e-9 for k in every)
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 3)
+    assert sorted(map(tuple, retrieval.topk(corpus_, asked, 4).collect())) == one
+    assert retrieval.topk(corpus_, asked.limit(0), 4).count() == 0 and retrieval.topk(corpus_.limit(0), asked, 4).count() == 0
+
+
+def test_memberships_by_product_and_by_join(spark, monkeypatch):
+    import random
+
+    from quillspark.operators import topics
+
+    rng = random.Random(6)
+    rows = [(k, k % 4 - 1, [rng.gauss(0, 1) for _ in range(5)]) for k in range(60)] + [(99, 1, None)]
+    v = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    one = sorted(map(tuple, topics.memberships(v, "embedding", "label", "vec_id").collect()))
+    monkeypatch.setattr(topics, "MATRIX_NUMBERS", 0)
+    assert sorted(map(tuple, topics.memberships(v, "embedding", "label", "vec_id").collect())) == one
+    assert topics.memberships(v.limit(0), "embedding", "label", "vec_id").count() == 0
