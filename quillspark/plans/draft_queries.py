@@ -34,6 +34,12 @@ def position_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("draft_key", F.col("pos").cast("long").alias("pos"), F.array_join("keys", ",").alias("keys"))
 
 
+def skipgram_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Sources whose skip-grams match at each word of a draft sentence (stems: rows only)."""
+    spans = skipgram_findings(spark, d).withColumn("pos", F.explode(F.sequence("start", F.col("end") - 1)))
+    return spans.groupBy("draft_key", "pos").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+
+
 def anchor_keys(spark: SparkSession, d: str) -> DataFrame:
     """Sources that match at the first word of a gram."""
     rows = drafts.position_keys(_hits(spark, d), every_word=False)
@@ -115,7 +121,7 @@ def findings_by_severity(spark: SparkSession, d: str) -> DataFrame:
     return f.select("id", "severity", F.row_number().over(w).cast("long").alias("place"))
 
 
-_F = (skipgram_keys, skipgram_findings, position_keys, anchor_keys, run_citations, run_contexts, allowlisted_findings, renumbered_documents, block_kinds, membership_score, unit_states, draft_words, vector_alignments, findings_by_severity)
+_F = (skipgram_keys, skipgram_findings, skipgram_positions, position_keys, anchor_keys, run_citations, run_contexts, allowlisted_findings, renumbered_documents, block_kinds, membership_score, unit_states, draft_words, vector_alignments, findings_by_severity)
 QUERIES = {f.__name__: f for f in _F}
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"

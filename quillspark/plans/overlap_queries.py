@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -76,9 +76,18 @@ def df_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recheck_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Findings that a stricter run would resolve or keep, and skip-gram findings as the new ones."""
-    f = findings_latest(spark, d)
-    return overlap.baseline_diff(f.where("tier = 'exact'"), f.where("span_words >= 20"))
+    """Findings of the scans up to the middle of the recorded time against those of the later ones."""
+    f = load(spark, d, "overlap_df").where("scanned_at is not null").select("id", F.unix_micros(F.col("scanned_at").cast("timestamp")).alias("t"))
+    cut = f.agg(((F.min("t") + F.max("t")) / 2).alias("cut"))  # one row
+    f = f.crossJoin(F.broadcast(cut))
+    return overlap.baseline_diff(f.where("t <= cut"), f.where("t > cut"))
+
+
+def pairwise_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of a draft in one source, pair by pair: the 25 longest of each."""
+    f = exact_findings(spark, d).select("draft", "citekey", "draft_key", F.coalesce("page", F.lit(0)).alias("page"), "start", "span_words")
+    w = Window.partitionBy("draft", "citekey").orderBy(F.desc("span_words"), "draft_key", "start", "page")
+    return f.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 25")
 
 
 def jaccard_shared_ngrams(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +117,7 @@ def finding_order(spark: SparkSession, d: str) -> DataFrame:
     return findings_latest(spark, d).select("id", "citekey", "span_words", "line").orderBy(F.desc("span_words"), "citekey", "line", "id").limit(25)
 
 
-QUERIES = {f.__name__: f for f in (exact_postings_join, exact_runs, exact_findings, finding_ids, findings_latest, severity_counts, gram_df_profile, finding_profiles, gate_threshold_sweep, df_threshold_sweep, recheck_diff, jaccard_shared_ngrams, draft_spans, containment_suppression, intersection_suppression, finding_order)}
+QUERIES = {f.__name__: f for f in (exact_postings_join, exact_runs, exact_findings, finding_ids, findings_latest, severity_counts, gram_df_profile, finding_profiles, gate_threshold_sweep, df_threshold_sweep, recheck_diff, pairwise_runs, jaccard_shared_ngrams, draft_spans, containment_suppression, intersection_suppression, finding_order)}
 
 
 def _positions(table: str, key: str) -> str:
@@ -144,8 +153,10 @@ SQL = {
         SELECT threshold, count_if(span_words >= threshold)::BIGINT AS blocked, count_if(span_words >= threshold AND cites_source)::BIGINT AS citing, count(DISTINCT CASE WHEN span_words >= threshold THEN draft END) AS drafts,
                round(count_if(span_words >= threshold AND cites_source) / nullif(count_if(span_words >= threshold), 0)::DOUBLE, 4) AS precision FROM e CROSS JOIN t GROUP BY threshold""",
     "df_threshold_sweep": f"WITH {_PROFILE}, t AS (SELECT unnest([1, 2, 4, 8, 16, 32]) AS most) SELECT most, count_if(median_df > most)::BIGINT AS suppressed, count_if(median_df <= most)::BIGINT AS remaining FROM prof CROSS JOIN t GROUP BY most",
-    "recheck_diff": f"""WITH {_LATEST}, b AS (SELECT id FROM f WHERE tier = 'exact'), a AS (SELECT id FROM f WHERE span_words >= 20)
+    "recheck_diff": """WITH f AS (SELECT id, epoch_us(scanned_at) AS t FROM overlap_df WHERE scanned_at IS NOT NULL), c AS (SELECT (min(t) + max(t)) / 2.0 AS cut FROM f), b AS (SELECT DISTINCT id FROM f, c WHERE t <= cut), a AS (SELECT DISTINCT id FROM f, c WHERE t > cut)
         SELECT coalesce(b.id, a.id) AS id, CASE WHEN a.id IS NULL THEN 'resolved' WHEN b.id IS NULL THEN 'new' ELSE 'persisting' END AS state FROM b FULL JOIN a ON a.id = b.id""",
+    "pairwise_runs": f"""WITH {_RUNS}, x AS (SELECT ds.draft, ss.citekey, draft_key, coalesce(page, 0) AS page, start, span_words FROM r JOIN source_sentences ss ON ss.src_id = r.key JOIN draft_sentences ds ON ds.sent_id = r.draft_key)
+        SELECT *, CAST(row_number() OVER (PARTITION BY draft, citekey ORDER BY span_words DESC, draft_key, start, page) AS BIGINT) AS place FROM x QUALIFY place <= 25""",
     "jaccard_shared_ngrams": f"""WITH a AS (SELECT DISTINCT sent_id AS left_key, unnest({grams_sql('text')}) AS gram FROM draft_sentences WHERE text IS NOT NULL),
         b AS (SELECT DISTINCT claim_id AS right_key, unnest({grams_sql('text')}) AS gram FROM claim_sentences WHERE text IS NOT NULL),
         na AS (SELECT left_key, count(*) AS na FROM a GROUP BY 1), nb AS (SELECT right_key, count(*) AS nb FROM b GROUP BY 1)

@@ -116,12 +116,14 @@ def gram_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Grams that draft sentences share with the sources they cite themselves."""
+    """Different grams that a draft shares with a source, pair by pair, and whether the draft cites it."""
     ds = load(spark, d, "draft_sentences")
-    own = overlap.positions(ds, "sent_id", "text").join(ds.select(F.col("sent_id").alias("key"), F.explode(F.array_distinct("citekeys")).alias("citekey")), "key").select(F.col("key").alias("sent_id"), "citekey", "gram").distinct()
+    own = overlap.positions(ds, "sent_id", "text").join(ds.select(F.col("sent_id").alias("key"), "draft"), "key").select("draft", "gram").distinct()
     src = load(spark, d, "source_sentences")
     grams = overlap.positions(src, "src_id", "text").join(src.select(F.col("src_id").alias("key"), "citekey"), "key").select("citekey", "gram").distinct()
-    return own.join(grams, ["citekey", "gram"]).groupBy("sent_id", "citekey").agg(F.count("*").alias("grams"))
+    cited = ds.select("draft", F.explode("citekeys").alias("citekey")).distinct().withColumn("cites", F.lit(True))
+    shared = own.join(grams, "gram").groupBy("draft", "citekey").agg(F.count("*").alias("grams"))
+    return shared.join(cited, ["draft", "citekey"], "left").fillna(False, ["cites"])
 
 
 def marker_mentions(spark: SparkSession, d: str) -> DataFrame:
@@ -345,8 +347,8 @@ SQL = {
     "posting_pages": "SELECT gram, citekey, count(DISTINCT page) AS pages, min(page) AS first_page FROM gram_postings WHERE gram IS NOT NULL AND citekey IS NOT NULL GROUP BY 1, 2",
     "gram_lookup": f"""WITH f AS (SELECT DISTINCT unnest({grams_sql('fragment')}) AS gram FROM overlap_df) SELECT DISTINCT trim(regexp_replace(lower(gram), '[^a-z0-9]+', ' ', 'g')) AS gram, citekey, page, position FROM gram_postings
         WHERE citekey IS NOT NULL AND trim(regexp_replace(lower(gram), '[^a-z0-9]+', ' ', 'g')) IN (SELECT gram FROM f)""",
-    "pairwise_overlap": f"""WITH d AS (SELECT DISTINCT sent_id, citekey, unnest({grams_sql('text')}) AS gram FROM (SELECT sent_id, text, unnest(list_distinct(citekeys)) AS citekey FROM draft_sentences WHERE text IS NOT NULL)),
-        s AS (SELECT DISTINCT citekey, unnest({grams_sql('text')}) AS gram FROM source_sentences WHERE text IS NOT NULL) SELECT sent_id, citekey, count(*) AS grams FROM d JOIN s USING (citekey, gram) GROUP BY 1, 2""",
+    "pairwise_overlap": f"""WITH d AS (SELECT DISTINCT draft, unnest({grams_sql('text')}) AS gram FROM draft_sentences WHERE text IS NOT NULL), s AS (SELECT DISTINCT citekey, unnest({grams_sql('text')}) AS gram FROM source_sentences WHERE text IS NOT NULL),
+        c AS (SELECT DISTINCT draft, unnest(citekeys) AS citekey FROM draft_sentences) SELECT draft, citekey, count(*) AS grams, EXISTS (SELECT 1 FROM c WHERE c.draft = d.draft AND c.citekey = s.citekey) AS cites FROM d JOIN s USING (gram) GROUP BY draft, citekey""",
     "marker_mentions": f"SELECT citekey, count(*) AS claims FROM (SELECT DISTINCT claim_id, unnest({_KEYS}) AS citekey FROM claim_sentences) WHERE citekey IN (SELECT citekey FROM refs) GROUP BY 1",
     "page_asof": """WITH p AS (SELECT DISTINCT citekey, page, position FROM gram_postings WHERE citekey IS NOT NULL AND page IS NOT NULL AND position IS NOT NULL), m0 AS (SELECT citekey, page, min(position) AS position FROM p GROUP BY 1, 2), m AS (SELECT citekey, position, max(page) AS asof_page FROM m0 GROUP BY 1, 2)
         SELECT p.citekey, p.position, p.page, m.asof_page FROM p ASOF JOIN m ON p.citekey = m.citekey AND p.position >= m.position WHERE m.asof_page <> p.page""",
