@@ -1,13 +1,14 @@
 """Problem 6: noise in text from scanned pages.
 
-Three steps a record. Furniture (running headers, page numbers) is found line by line, by features of the line and of its place
-on the page. At every hyphen that ends a line, a perceptron predicts join or keep; words cut in two are joined, across furniture
-where it stands between the halves. A character editor then repairs the words of the running text: for every character it
-predicts keep, replace, delete or insert (a replacement by two characters).
+Three steps a record. Furniture is found line by line: page numbers by their form, running headers by a perceptron on the shape of
+the line, its place on the page, its width and its words. At every hyphen that ends a line, a perceptron predicts join or keep;
+words cut in two are joined, across furniture where it stands between the halves. A character editor then repairs the words of the
+running text: for every character it predicts keep, replace, delete or insert (a replacement by two characters).
 
-Both are averaged perceptrons over hashed n-grams of characters, trained on clean text of the same tables: the editor on its words
-and on copies of them with errors drawn from the usual confusions of character recognition, the joiner on words cut in two and
-on pairs of neighbouring words with a hyphen between them.
+All are averaged perceptrons over hashed features, trained on clean text of the same tables: the editor on its words and on
+copies of them with errors drawn from the usual confusions of character recognition, the joiner on words cut in two and on pairs of
+neighbouring words with a hyphen between them, the furniture model on wrapped lines and made headers, and then on those lines
+of scanned pages that it is sure about.
 
 Records are looked at by their origin: those from scanned pages and those of unknown origin. Text of known other origin is taken
 for clean.
@@ -32,6 +33,8 @@ from quillspark.session import cut_lineage, load, spread
 
 #: Clean rows the editor is trained on: the first of them by a hash of their text.
 TRAIN_ROWS = 8_000
+#: Scanned rows from which the words of headers are learned, in the same way.
+TRAIN_SCANS = 8_000
 EPOCHS, COPIES, BITS, PAD = 6, 10, 18, 4
 #: By how much the score of an edit must exceed that of keeping the character, in units of the mean score of training words.
 MARGIN = 0.0
@@ -174,8 +177,9 @@ MOST_KNOWN = 500_000
 class Editor:
     """Applies the weights to words, each distinct word once per worker."""
 
-    def __init__(self, weights: np.ndarray, clean: frozenset[str], joiner: np.ndarray | None = None, held: np.ndarray | None = None) -> None:
+    def __init__(self, weights: np.ndarray, clean: frozenset[str], joiner: np.ndarray | None = None, furniture: tuple[np.ndarray, frozenset[str]] | None = None, held: np.ndarray | None = None) -> None:
         self.weights, self.clean, self.held = weights, clean, held
+        self.furniture = furniture or (np.zeros(1 << LINE_BITS, np.float32), frozenset())
         self.joiner = np.zeros(1 << JOIN_BITS, np.float32) if joiner is None else joiner
         self.known: dict[str, str] = {}
 
@@ -239,47 +243,140 @@ def apply_edits(word: str, edits: dict[int, int]) -> str:
 # ---------------------------------------------------------------- furniture and lines
 
 PAGE_NUMBER = re.compile(r"[\W_]*(?:(?:page|pag\.?|pp?\.|seite|s\.)\s*)?[\W_]*(?:\d{1,4}|[ivxl]{1,7})(?:\s*(?:/|of|von|de)\s*\d{1,4})?[\W_]*", re.IGNORECASE)
-ET_AL = re.compile(r"\bet a[l1|]\.")
-VOLUME = re.compile(r"\bV[O0][L1]\.", re.IGNORECASE)
-SPACED = re.compile(r"(?:\b[^\W\d_] ){4,}")
-
-
-def header_score(line: str, first: bool, last: bool) -> int:
-    """How much a line looks like a running header: its parts, its capitals, its numbers, and its place on the page."""
-    words = re.findall(r"[^\W_]+", line)
-    letters = [w for w in words if w[0].isalpha()]
-    if not letters:
-        return 0
-    capital = sum(w[0].isupper() for w in letters) / len(letters)
-    upper = sum(c.isupper() for c in line) / max(1, sum(c.isalpha() for c in line))
-    score = int(first or last)
-    score += 3 * bool(ET_AL.search(line)) * (" / " in line)
-    score += 2 * (" / " in line) + 2 * bool(VOLUME.search(line)) + 2 * bool(SPACED.search(line))
-    score += 3 * (upper > 0.8 and len(letters) >= 2) + 2 * (capital >= 0.6 and len(letters) >= 3)
-    score += 2 * bool(re.search(r"\s\d{1,4}$", line)) + 2 * bool(re.match(r"\d{1,4}\s{2,}\S", line) or re.search(r"\S\s{3,}\d{1,4}$", line))
-    score += 4 * bool(re.search(r" [–-] draft c[o0]py\b", line, re.IGNORECASE)) - 2 * (line.endswith((".", ",", ";")) and not VOLUME.search(line))
-    return score - 2 * (capital < 0.34 and " – " not in line)
-
-
-#: From this score on a line is a running header.
-HEADER_FROM = 4
+#: Size of the furniture model, rounds of its training, and shares of the lines that its second view takes for sure.
+LINE_BITS, LINE_EPOCHS, SURE_HEADER, SURE_TEXT = 15, 4, 0.7, 0.95
+SHAPES = str.maketrans({**{chr(c): "A" for c in range(0x41, 0x250) if chr(c).isupper()}, **{chr(c): "a" for c in range(0x61, 0x250) if chr(c).islower()}, **{str(d): "9" for d in range(10)}})
+REPEATED = re.compile(r"(.)\1+")
+READ_AS = str.maketrans("01|!", "olli")
+NUMBERS = re.compile(r"\d+")
+TOKENS = re.compile(r"[^\W_]+")
+SPACED = re.compile(r"(?:[^\W\d_] ){4,}")
+
+
+def line_features(line: str, first: bool, last: bool, width: float, lexical: bool) -> list[int]:
+    """Hashed features of a line: its shape (runs of capitals, small letters and digits), its place on the page, its width against that
+    of the record's lines, capitals and numbers; with lexical also its pairs and triples of words."""
+    shapes = REPEATED.sub(r"\1", line.translate(SHAPES)).split()
+    words = TOKENS.findall(line)
+    long = [w for w in words if len(w) > 3 and w[0].isalpha()]
+    capital = int(4 * sum(w[0].isupper() for w in long) / max(1, len(long)))
+    letters = [c for c in line if c.isalpha()]
+    upper, n = int(4 * sum(c.isupper() for c in letters) / max(1, len(letters))), len(shapes)
+    names = [
+        "bias", f"place {first} {last}", f"end {'w' if line[-1:].isalnum() else line[-1:]}", f"begin {shapes[0][0]}", f"capital {capital}", f"upper {upper}", f"n {min(n, 12)}", f"width {min(4, int(4 * len(line) / max(1, width)))}",
+        f"gap {'  ' in line}", f"cn {capital} {shapes[-1][:5]} {min(n, 9) // 3}", f"cu {capital} {upper} {min(n, 9) // 3}", f"spaced {bool(SPACED.search(line))}", f"numbers {shapes[0] == '9'} {shapes[-1] == '9'} {capital}", f"cl {last} {capital}",
+    ]
+    around = ["<", *(x[:5] for x in shapes), ">"]
+    names += [f"2 {x} {y}" for x, y in zip(around, around[1:])] + [f"3 {x} {y} {z}" for x, y, z in zip(around, around[1:], around[2:])]
+    if lexical:
+        low = [NUMBERS.sub("#", w.lower().translate(READ_AS)) for w in words]
+        names += [f"w {x} {y}" for x, y in zip(low, low[1:])] + [f"ww {x} {y} {z}" for x, y, z in zip(low, low[1:], low[2:])]
+    return list({zlib.crc32(x.encode()) & ((1 << LINE_BITS) - 1) for x in names})
+
+
+def made_header(rng: np.random.Generator, words: list[str]) -> str:
+    """A running header as pages have them: a title of such words with a page number, a volume, authors or a remark, in some style."""
+    pick = lambda n: [words[k] for k in rng.integers(0, len(words), n)]
+    title = " ".join(w.title() if k == 0 or rng.random() < 0.6 else str(rng.choice(["of", "in", "on", "and", "for", "the"])) if rng.random() < 0.5 else w for k, w in enumerate(pick(int(rng.integers(2, 7)))))
+    name, number = pick(1)[0].title(), str(rng.integers(1, 400))
+    who = str(rng.choice([f"{name} et al.", f"{name} and {pick(1)[0].title()}", f"{name}-{pick(1)[0]}-{rng.integers(1980, 2030)}", f"{name}-{pick(1)[0]}-{rng.integers(1980, 2030)} et al."]))
+    styles = (
+        f"{title} {number}", f"{title.upper()} {number}", f"{title.upper()}, {rng.choice(['VOL.', 'NO.', 'ISSUE'])} {number}", f"{title}, {rng.choice(['Vol.', 'No.', 'Issue'])} {number}", f"{who} / {title} {number}", f"{who} / {title}",
+        f"{who}, {title} {number}", f"{who} – {' '.join(pick(int(rng.integers(2, 5))))}", " ".join(title.upper().replace(" ", "  ")),
+    )
+    header = styles[rng.integers(0, len(styles))]
+    return f"{rng.integers(1, 400)}   {header}" if rng.random() < 0.25 else header
+
+
+def wrapped(text: str, width: int) -> list[str]:
+    out, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) + 1 > width:
+            out.append(line)
+            line = w
+        else:
+            line = f"{line} {w}" if line else w
+    return [*out, line] if line else out
+
+
+def _perceptron(examples: list[tuple[list[int], int]], rng: np.random.Generator) -> np.ndarray:
+    weights, later, step = np.zeros(1 << LINE_BITS), np.zeros(1 << LINE_BITS), 1
+    for _ in range(LINE_EPOCHS):
+        for k in rng.permutation(len(examples)):
+            f, y = examples[k]
+            if y * weights[f].sum() <= 0:
+                weights[f] += y
+                later[f] += y * step
+            step += 1
+    return (weights - later / step).astype(np.float32)
+
+
+def page_lines(text: str) -> list[tuple[str, bool, bool, float]]:
+    """Lines that may be a running header: stripped, whether first and last of the record, and the record's median width of a line."""
+    lines = [x.strip() for x in text.split("\n")]
+    sizes = sorted(len(x) for x in lines if x)
+    width = sizes[len(sizes) // 2] if sizes else 1
+    return [(x, k == 0, k == len(lines) - 1, width) for k, x in enumerate(lines) if x and len(lines) > 1]
+
+
+def train_furniture(texts: list[str], scans: list[str], seed: int = 7) -> tuple[np.ndarray, frozenset[str]]:
+    """Weights of the furniture model, and the kinds of character with which a header begins.
+
+    Two views of a line train each other. Shapes and places are learned on wrapped clean texts against made headers; lines of
+    scanned pages that they are sure about (the upper SURE_HEADER of the headers, the lower SURE_TEXT of the others) then take the place
+    of these examples and teach the words of this collection's headers. Without clean texts no line is a header.
+    """
+    rng = np.random.default_rng(seed)
+    words = sorted({w.lower() for t in texts[:1000] for w in re.findall(CLEAN_WORD, t) if len(w) > 3})
+    begins: set[str] = set()
+    examples: list[tuple[tuple[str, bool, bool, float], int]] = []
+    for t in texts[:3000] if words else ():
+        width = int(rng.integers(40, 95))
+        examples += [(x, -1) for x in page_lines("\n".join(wrapped(t, width)))]
+        parts = made_header(rng, words).split(" ")
+        k = int(rng.integers(0, len(parts)))
+        if rng.random() < 0.4 and parts[k].isalpha() and (c := corrupt(parts[k].lower(), rng)):
+            parts[k] = c[0].title() if parts[k][0].isupper() else c[0]
+        header, place = " ".join(parts), rng.random()
+        begins.add(header.translate(SHAPES)[0])
+        examples.append(((header, place < 0.1, place > 0.85, width), 1))
+    shape = _perceptron([(line_features(*x, False), y) for x, y in examples], rng)
+    lines = [x for t in scans for x in page_lines(t) if x[0].translate(SHAPES)[0] in begins and not is_page_number(x[0])]
+    margin = np.array([shape[line_features(*x, False)].sum() for x in lines], np.float32)
+    if (margin > 0).any() and (margin <= 0).any():
+        high, low = np.quantile(margin[margin > 0], 1 - SURE_HEADER), np.quantile(margin[margin <= 0], SURE_TEXT)
+        examples = [(x, 1 if m > 0 else -1) for x, m in zip(lines, margin, strict=True) if m >= high or m <= low]
+    return _perceptron([(line_features(*x, True), y) for x, y in examples], rng), frozenset(begins)
+
+
+def is_page_number(line: str) -> bool:
+    return len(line) <= 14 and bool(PAGE_NUMBER.fullmatch(line))
+
+
 CUT = re.compile(r"[^\W\d_][-‐‑¬­][ \t]*$")
 
 
-def clean_lines(text: str) -> tuple[list[str], set[str]]:
+def clean_lines(text: str, furniture: tuple[np.ndarray, frozenset[str]]) -> tuple[list[str], set[str]]:
     """Lines of the running text, and the kinds of furniture found."""
+    weights, begins = furniture
     kinds: set[str] = set()
     lines = text.split("\n")
-    kept = []
+    if len(lines) == 1:
+        return lines, kinds
+    kept, width = [], 0.0
     for k, line in enumerate(lines):
         s = line.strip()
-        if s and len(lines) > 1:
-            if len(s) <= 14 and PAGE_NUMBER.fullmatch(s):
+        if s:
+            if is_page_number(s):
                 kinds.add("page")
                 continue
-            if header_score(s, k == 0, k == len(lines) - 1) >= HEADER_FROM:
-                kinds.add("header")
-                continue
+            if s[0].translate(SHAPES) in begins:
+                if not width:
+                    sizes = sorted(len(x.strip()) for x in lines if x.strip())
+                    width = sizes[len(sizes) // 2]
+                if weights[line_features(s, k == 0, k == len(lines) - 1, width, True)].sum() > 0:
+                    kinds.add("header")
+                    continue
         kept.append(line)
     return kept, kinds
 
@@ -358,7 +455,7 @@ def repair_batch(texts: list[str], editor: Editor) -> Iterator[tuple[str, list[s
     """Repaired paragraph and kinds of noise of each text."""
     joined = []
     for t in texts:
-        lines, kinds = clean_lines(t)
+        lines, kinds = clean_lines(t, editor.furniture)
         paragraph, cut = join_lines(lines, editor.joiner, editor.clean)
         if cut:
             kinds.add("hyphen")
@@ -399,7 +496,7 @@ def _doubted(broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         editor = Editor(*broadcast.value)
         for b in batches:
-            words = {w for t in b.column("text").to_pylist() for w in WORD.findall(join_lines(clean_lines(t)[0], editor.joiner, editor.clean)[0])} - editor.known.keys()
+            words = {w for t in b.column("text").to_pylist() for w in WORD.findall(join_lines(clean_lines(t, editor.furniture)[0], editor.joiner, editor.clean)[0])} - editor.known.keys()
             editor.learn(words)
             asked = {w.translate(SHORT) if CODE.fullmatch(w) else w.lower() for w in words if CODE.fullmatch(w) or editor.known[w] != w}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(asked - editor.clean), pa.string())], names=["word"])
@@ -421,7 +518,8 @@ def fitted(spark: SparkSession, sf_dir: str):
     sample = bounded_texts(df, TRAIN_ROWS)
     weights, clean = train(sample)
     joiner = train_joiner(sample, clean)
-    model = spark.sparkContext.broadcast((weights, clean, joiner, None))
+    furniture = train_furniture(sample, bounded_texts(scan_records(spark, sf_dir), TRAIN_SCANS))
+    model = spark.sparkContext.broadcast((weights, clean, joiner, furniture, None))
     if df.count() <= TRAIN_ROWS:
         return model
     doubted = spread(scan_records(spark, sf_dir).select("text")).mapInArrow(_doubted(model), "word string").distinct()
@@ -429,7 +527,7 @@ def fitted(spark: SparkSession, sf_dir: str):
     met = cut_lineage(doubted.join(every, "word", "left_semi").select(F.xxhash64("word").alias("h")), "clean-words")
     held = bits.build(met, "h", 64 * max(met.count(), 1_000))  # sparse: a word that no clean text holds passes for one as good as never
     model.unpersist()
-    return spark.sparkContext.broadcast((weights, clean, joiner, held))
+    return spark.sparkContext.broadcast((weights, clean, joiner, furniture, held))
 
 
 def repaired(records: DataFrame, model) -> DataFrame:

@@ -372,17 +372,37 @@ def test_editor_held_out_accuracy():
 
 
 def test_lines_and_furniture():
+    texts = [re.sub("e ", " and the ", clean_text(random.Random(k))).capitalize() + ". " + clean_text(random.Random(k + 1)).capitalize() + "." for k in range(300)]
+    furniture = scans.train_furniture(texts, [])
     text = "The calibra-\n12\nDoe et al. / Journal of Plant Shadows 7\ntion of short-\nand long-term H2O – twins\nPage 3\nends here."
-    lines, kinds = scans.clean_lines(text)
+    lines, kinds = scans.clean_lines(text, furniture)
     assert kinds == {"page", "header"}
-    texts = [re.sub("e ", " and the ", clean_text(random.Random(k))) for k in range(300)]
-    clean = frozenset(" ".join(texts).split())
+    clean = frozenset(" ".join(texts).lower().split())
     joiner = scans.train_joiner(texts, clean)
     assert scans.join_lines(lines, joiner, clean) == ("The calibration of short- and long-term H2O – twins ends here.", True)
-    assert scans.clean_lines("42") == (["42"], set())
+    assert scans.clean_lines("42", furniture) == (["42"], set())
     assert scans.join_lines([""], joiner) == ("", False)
 
 
+def test_furniture_held_out_accuracy():
+    """Headers of styles and words that were not seen, between lines of clean text."""
+    rng = np.random.default_rng(5)
+    texts = [clean_text(random.Random(k), 40).capitalize() + ". " + clean_text(random.Random(900 + k), 30).capitalize() + "." for k in range(400)]
+    furniture = scans.train_furniture(texts[:300], [])
+    strange = ["harbour", "minutes", "ledger", "quarterly", "weather", "almanac", "orchard"]
+    right = wrong = total = 0
+    for t in texts[300:]:
+        lines = scans.wrapped(t, 60)
+        header = scans.made_header(rng, strange)
+        at = int(rng.integers(0, len(lines) + 1))
+        kept, kinds = scans.clean_lines("\n".join([*lines[:at], header, *lines[at:]]), furniture)
+        total += 1
+        right += header not in kept and "header" in kinds
+        wrong += len(lines) - len([x for x in kept if x in lines])
+    assert right >= 0.95 * total and wrong <= 0.02 * total
+    assert scans.clean_lines("Any Title 7\nand text", scans.train_furniture([], [])) == (["Any Title 7", "and text"], set())
+
+
 def test_genuine_codes_stay():
     editor = scans.Editor(*scans.train(["calibration of the turbine, register"] * 3))
     editor.learn({"H2O", "x86", "A1b", "ISO9001", "l0", "turb1ne", "re9ister"})
