@@ -60,10 +60,9 @@ def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
 QUERIES_AT_ONCE = 1_000
 
 
-def _compared(part: DataFrame, pick):
-    """A function over Arrow batches of (vec_id, source, embedding): the rows that pick(distances, sources) chooses a query, with
-    their exact squared distances, summed in the order of the dimensions. part: a block of queries, collected."""
-    rows = part.collect()
+def _compared(rows: list, pick):
+    """A function over Arrow batches of (vec_id, source, embedding, ...): the rows that pick(distances, batch, first query) chooses a
+    query, with their exact squared distances, summed in the order of the dimensions. rows: a block of queries, collected."""
     ids = np.array([r["query_id"] for r in rows], dtype=object)
     q = np.array([r["query"] for r in rows], np.float64)
 
@@ -72,11 +71,10 @@ def _compared(part: DataFrame, pick):
             if not b.num_rows or not len(q):
                 continue
             x = np.stack(b.column("embedding").to_numpy(zero_copy_only=False)).astype(np.float64)
-            source = np.array(b.column("source").to_pylist(), dtype=object)
             for s in range(0, len(q), QUERIES_AT_ONCE):
                 y = q[s : s + QUERIES_AT_ONCE]
                 near = (y * y).sum(1)[:, None] - 2 * y @ x.T + (x * x).sum(1)
-                at, of = pick(near, source)
+                at, of = pick(near, b, s)
                 exact = np.zeros(len(at))
                 for k in range(x.shape[1]):
                     exact += (y[at, k] - x[of, k]) ** 2
@@ -105,9 +103,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, per_source: int | No
     queries see indexed_nearest.
     """
 
-    def pick(near: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pick(near: np.ndarray, batch: pa.RecordBatch, _: int) -> tuple[np.ndarray, np.ndarray]:
         if not per_source:
             return np.nonzero(_least(near, k))
+        source = np.array(batch.column("source").to_pylist(), dtype=object)
         found = [(at, cols[of]) for s in set(source) for cols in [np.flatnonzero(source == s)] for at, of in [np.nonzero(_least(near[:, cols], per_source))]]
         return np.concatenate([a for a, _ in found]), np.concatenate([o for _, o in found])
 
@@ -115,7 +114,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, per_source: int | No
     source_type = dict(rows.dtypes)["source"]
     out = None
     for part in query_blocks(queries.where("query is not null")):
-        found = rows.mapInArrow(_compared(part, pick), f"query_id long, vec_id {dict(rows.dtypes)['vec_id']}, source {source_type}, distance double")
+        found = rows.mapInArrow(_compared(part.collect(), pick), f"query_id long, vec_id {dict(rows.dtypes)['vec_id']}, source {source_type}, distance double")
         found = _ranked(found.withColumn("distance", F.round("distance", 4)), k, per_source)
         out = found if out is None else out.unionByName(found)
     return out
@@ -196,16 +195,26 @@ def indexed_nearest(queries: DataFrame, vectors: DataFrame, k: int, probes: int
     left = queries.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     left = cut_lineage(left.withColumn("open", open_cells("query", "bound")).where(F.exists("open", lambda x: x)), "open")
     out = near.drop("rank")
+    types = dict(filed.dtypes)
     for part in query_blocks(left):
-        met = filed.crossJoin(F.broadcast(part)).where(F.element_at("open", F.col("cell") + 1)).select("query_id", "vec_id", "source", d, "bound")
-        out = out.unionByName(met.where("distance <= bound").drop("bound"))
+        asked_rows = part.collect()
+        open_ = np.array([r["open"] for r in asked_rows], bool)
+        bound = np.array([r["bound"] for r in asked_rows], float)
+
+        def pick(near: np.ndarray, batch: pa.RecordBatch, first: int, open_=open_, bound=bound) -> tuple[np.ndarray, np.ndarray]:
+            mine = slice(first, first + len(near))
+            return np.nonzero(open_[mine][:, batch.column("cell").to_numpy()] & (near <= bound[mine, None] + SLACK))
+
+        met = filed.select("vec_id", "source", "embedding", "cell").mapInArrow(_compared(asked_rows, pick), f"query_id long, vec_id {types['vec_id']}, source {types['source']}, distance double")
+        out = out.unionByName(met.withColumn("distance", F.round("distance", 4)))
     return _ranked(out, k, per_source)
 
 
 def best_distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(source, distance): least distance of any query to a vector of the source."""
 
-    def pick(near: np.ndarray, source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pick(near: np.ndarray, batch: pa.RecordBatch, _: int) -> tuple[np.ndarray, np.ndarray]:
+        source = np.array(batch.column("source").to_pylist(), dtype=object)
         found = [(near[:, cols], cols) for s in set(source) for cols in [np.flatnonzero(source == s)]]
         best = [(*np.unravel_index(part.argmin(), part.shape), cols) for part, cols in found]
         return np.array([a for a, _, _ in best]), np.array([cols[o] for _, o, cols in best])
@@ -213,7 +222,7 @@ def best_distances(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     rows = vectors.where("embedding is not null").select("vec_id", "source", "embedding")
     out = None
     for part in query_blocks(queries.where("query is not null")):
-        found = rows.mapInArrow(_compared(part, pick), f"query_id long, vec_id {dict(rows.dtypes)['vec_id']}, source {dict(rows.dtypes)['source']}, distance double")
+        found = rows.mapInArrow(_compared(part.collect(), pick), f"query_id long, vec_id {dict(rows.dtypes)['vec_id']}, source {dict(rows.dtypes)['source']}, distance double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("source").agg(F.round(F.min("distance"), 4).alias("distance"))
 
