@@ -54,10 +54,11 @@ def keyword_truth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_truth(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of event of each user that signed up: the set a log keeps for it."""
-    e = load(spark, d, "events")
-    users = e.where("event_type = 'signup'").select("user_id").distinct()
-    return e.join(users, "user_id", "left_semi").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"))
+    """Ground truth from the log: for each user's requests since a first marker, how often they were made and with how many scopes."""
+    e = load(spark, d, "events").select("user_id", "ts", "event_id", "event_type", F.get_json_object("props", "$.k").alias("scope"))
+    first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("first_at"))
+    since = e.where("event_type <> 'signup'").join(first, "user_id").where(F.struct("ts", "event_id") > F.col("first_at"))
+    return since.groupBy("user_id", F.col("event_type").alias("query")).agg(F.count("*").alias("requests"), F.count_distinct("scope").alias("relevant"))
 
 
 def run_tally(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +132,8 @@ SQL = {
     "label_truth": """WITH f AS (SELECT DISTINCT id, draft, citekey FROM overlap_df), c AS (SELECT DISTINCT draft, unnest(citekeys) AS citekey FROM draft_sentences)
         SELECT CASE WHEN c.citekey IS NULL THEN 'unmatched' ELSE 'matched' END AS state, count(*) AS n FROM f LEFT JOIN c ON c.draft = f.draft AND c.citekey = f.citekey GROUP BY 1""",
     "keyword_truth": "SELECT query, count(*) AS relevant FROM (SELECT DISTINCT citekey, string_split(c, ' > ')[-1] AS query FROM (SELECT citekey, unnest(collections) AS c FROM refs)) WHERE citekey IN (SELECT citekey FROM passages) GROUP BY 1",
-    "log_truth": "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup') GROUP BY 1",
+    "log_truth": """WITH f AS (SELECT user_id, min((ts, event_id)) AS first_at FROM events WHERE event_type = 'signup' GROUP BY 1)
+        SELECT user_id, event_type AS query, count(*) AS requests, count(DISTINCT json_extract_string(props, '$.k')) AS relevant FROM events JOIN f USING (user_id) WHERE event_type <> 'signup' AND (ts, event_id) > first_at GROUP BY 1, 2""",
     "run_tally": "SELECT count_if(pdf_resolution = 'resolved')::BIGINT AS resolved, count_if(pdf_resolution IN ('malformed file field', 'non-PDF attachment only'))::BIGINT AS failed, count_if(pdf_resolution NOT IN ('resolved', 'malformed file field', 'non-PDF attachment only'))::BIGINT AS no_file, count(*) AS total FROM refs",
     "pages_by_origin": "SELECT origin, CAST(sum(n) AS BIGINT) AS passages, count(*) AS pages, round(sum(n) / count(*)::DOUBLE, 4) AS per_page FROM (SELECT coalesce(origin, 'unknown') AS origin, citekey, page, count(*) AS n FROM passages WHERE citekey IS NOT NULL AND page IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1",
     "collection_slugs": "SELECT DISTINCT c AS collection, substr(regexp_replace(regexp_replace(lower(c), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 63) AS slug FROM (SELECT unnest(collections) AS c FROM refs)",

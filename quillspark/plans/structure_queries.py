@@ -153,11 +153,11 @@ def scope_to_drafts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_compare(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of passages and source sentences: only left, only right, or both with equal or different numbers of pages."""
+    """Each key in two runs (passages and source sentences) by its number of pages: only left, only right, equal or different, and by how much."""
     side = lambda t: load(spark, d, t).where("citekey is not null").groupBy("citekey").agg(F.count_distinct("page").alias("n"))
     a, b = side("passages").withColumnRenamed("n", "a"), side("source_sentences").withColumnRenamed("n", "b")
     state = F.when(F.col("b").isNull(), "left").when(F.col("a").isNull(), "right").when(F.col("a") == F.col("b"), "equal").otherwise("different")
-    return a.join(b, "citekey", "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("keys"))
+    return a.join(b, "citekey", "full_outer").select("citekey", state.alias("state"), (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("change"))
 
 
 def finding_collapse(spark: SparkSession, d: str) -> DataFrame:
@@ -355,7 +355,7 @@ SQL = {
     "first_marker_line": "SELECT doc_id, CAST(len(string_split(substr(text, 1, instr(text, '[@') - 1), chr(10))) AS BIGINT) AS line FROM documents WHERE text LIKE '%[@%'",
     "scope_to_drafts": "SELECT citekey, count(doc_id) AS documents FROM (SELECT DISTINCT unnest(citekeys) AS citekey FROM draft_sentences) LEFT JOIN documents USING (citekey) GROUP BY 1",
     "run_compare": """WITH a AS (SELECT citekey, count(DISTINCT page) AS a FROM passages WHERE citekey IS NOT NULL GROUP BY 1), b AS (SELECT citekey, count(DISTINCT page) AS b FROM source_sentences WHERE citekey IS NOT NULL GROUP BY 1)
-        SELECT CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' WHEN a = b THEN 'equal' ELSE 'different' END AS state, count(*) AS keys FROM a FULL JOIN b ON a.citekey = b.citekey GROUP BY 1""",
+        SELECT coalesce(a.citekey, b.citekey) AS citekey, CASE WHEN b IS NULL THEN 'left' WHEN a IS NULL THEN 'right' WHEN a = b THEN 'equal' ELSE 'different' END AS state, coalesce(b, 0) - coalesce(a, 0) AS change FROM a FULL JOIN b ON a.citekey = b.citekey""",
     "finding_collapse": "SELECT tier, md5(fragment) AS fragment, count(*) AS n, min(line) AS line FROM overlap_df GROUP BY 1, 2",
     "tier_histogram": "SELECT tiers, count(*) AS keys FROM (SELECT citekey, array_to_string(list_sort(list_distinct(list(tier))), '+') AS tiers FROM overlap_df GROUP BY 1) GROUP BY 1",
     "df_by_severity": f"""WITH {_PROFILE}, f AS (SELECT id, CASE WHEN quoted AND cites_source THEN 'quoted' WHEN matched_words >= 15 THEN 'long' ELSE 'short' END AS severity FROM overlap_df QUALIFY row_number() OVER (PARTITION BY id ORDER BY scanned_at DESC) = 1)
