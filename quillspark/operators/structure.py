@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import cut_lineage
 
 
 def asof(points: DataFrame, marks: DataFrame, key: str, at: str, value: str, width: int = 10_000) -> DataFrame:
@@ -108,14 +109,22 @@ def swap_every(tokens: Column, n: int, word: str) -> Column:
 def locate(phrases: DataFrame, pages: DataFrame, key: str, most: int = 4) -> DataFrame:
     """(id, page, score, rank): pages of a phrase's source by the share of its words of over three letters; later pages win ties.
 
-    phrases: (id, key, text); pages: (key, page, text).
+    phrases: (id, key, text); pages: (key, page, text), page not null. Phrases of a source with the same words are scored once. Words
+    of pages that no phrase of their source has are dropped; the others meet the phrases as lists of pages, which are counted
+    where the phrase is, so a source with many pages or phrases is spread over its words and phrases.
     """
     longer = lambda t: F.array_distinct(F.filter(T.words(t), lambda w: F.length(w) > 3))
-    p = phrases.select("id", key, longer(F.col("text")).alias("words"))
-    q = pages.groupBy(key, "page").agg(F.array_distinct(F.flatten(F.collect_set(longer(F.col("text"))))).alias("page_words"))
-    scored = p.join(q, key).withColumn("score", F.round(F.size(F.array_intersect("words", "page_words")) / F.nullif(F.size("words"), F.lit(0)), 4)).where("score > 0")
-    w = Window.partitionBy("id").orderBy(F.desc("score"), F.desc("page"))
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= most).select("id", "page", "score", "rank")
+    p = phrases.select("id", key, F.array_sort(longer(F.col("text"))).alias("words")).where((F.size("words") > 0) & F.col(key).isNotNull())
+    p = cut_lineage(p.select("id", key, "words", F.array_join("words", " ").alias("phrase")), "locate")
+    asked = p.select(key, F.explode("words").alias("word"), "phrase", F.size("words").alias("n")).distinct()
+    q = pages.join(p.select(key).distinct(), key, "left_semi").select(key, "page", F.explode(longer(F.col("text"))).alias("word"))
+    lists = q.join(asked.select(key, "word").distinct(), [key, "word"], "left_semi").groupBy(key, "word").agg(F.collect_set("page").alias("pages"))
+    met = asked.join(lists, [key, "word"]).select(key, "phrase", "n", "pages").repartition(key, "phrase")
+    scored = met.select(key, "phrase", "n", F.explode("pages").alias("page")).groupBy(key, "phrase", "page").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("page"))).cast("long")
+    scored = scored.select(key, "phrase", "page", F.round(F.col("shared") / F.col("n"), 4).alias("score")).withColumn("rank", best(key, "phrase")).where(F.col("rank") <= most)
+    located = p.select("id", key, "phrase").join(scored.drop("rank"), [key, "phrase"]).withColumn("rank", best("id"))
+    return located.where(F.col("rank") <= most).select("id", "page", "score", "rank")
 
 
 def adjusted_rand(pairs: DataFrame, left: str, right: str) -> DataFrame:

@@ -217,3 +217,29 @@ def test_memberships_by_product_and_by_join(spark, monkeypatch):
     monkeypatch.setattr(topics, "MATRIX_NUMBERS", 0)
     assert sorted(map(tuple, topics.memberships(v, "embedding", "label", "vec_id").collect())) == one
     assert topics.memberships(v.limit(0), "embedding", "label", "vec_id").count() == 0
+
+
+def test_pages_of_phrases_are_counted_by_word(spark):
+    import random
+    import re
+
+    from quillspark.operators import structure
+
+    rng = random.Random(8)
+    words = [f"word{i:02d}" for i in range(30)] + ["the", "cat"]
+    phrases = [(f"p{k}", rng.choice("abc"), " ".join(rng.choices(words, k=6))) for k in range(40)] + [("x", "a", None), ("y", None, "word01"), ("z", "a", "the cat"), (None, "b", "word01 word02")]
+    phrases += [(f"q{k}", "a", "word03 word04 word05") for k in range(5)] + [("q0", "b", "word03 word04 word05")]
+    pages = [(rng.choice("abd"), rng.randint(1, 9), " ".join(rng.choices(words, k=8))) for _ in range(60)]
+    got = structure.locate(spark.createDataFrame(phrases, "id string, citekey string, text string"), spark.createDataFrame(pages, "citekey string, page int, text string"), "citekey")
+    assert "array_intersect" not in got._jdf.queryExecution().toString()  # a source's pages aren't compared with each of its phrases
+    longer = lambda t: {w for w in re.findall("[a-z0-9]+", t or "") if len(w) > 3}
+    held: dict = {}
+    for k, page, t in pages:
+        held.setdefault((k, page), set()).update(longer(t))
+    want: dict = {}
+    for i, k, t in phrases:
+        w = longer(t)
+        want.setdefault(i, []).extend((round(len(w & h) / len(w), 4), page) for (of, page), h in held.items() if of == k and w & h)
+    rows_ = got.collect()
+    for i, rows in want.items():
+        assert [(r["score"], r["page"]) for r in sorted((r for r in rows_ if r["id"] == i), key=lambda r: r["rank"])] == sorted(rows, reverse=True)[:4]
