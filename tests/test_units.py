@@ -243,3 +243,23 @@ def test_pages_of_phrases_are_counted_by_word(spark):
     rows_ = got.collect()
     for i, rows in want.items():
         assert [(r["score"], r["page"]) for r in sorted((r for r in rows_ if r["id"] == i), key=lambda r: r["rank"])] == sorted(rows, reverse=True)[:4]
+
+
+def test_many_queries_are_ranked_without_a_join(spark, monkeypatch):
+    import random
+
+    from quillspark.operators import retrieval
+
+    rng = random.Random(9)
+    words = [f"w{i:03d}x" for i in range(200)]
+    draw = lambda n: " ".join(words[min(int(rng.expovariate(0.03)), 199)] for _ in range(n))
+    docs = spark.createDataFrame([(k, draw(rng.randint(0, 30))) for k in range(300)] + [(k, "w000x w001x") for k in range(400, 420)], "doc_id long, text string")
+    asked = spark.createDataFrame([(f"q{k}", draw(7)) for k in range(30)] + [("none", "zzz"), ("one", "w000x")], "query_id string, query string")
+    corpus_ = retrieval.corpus_of(docs)
+    one = sorted(map(tuple, retrieval.topk(corpus_, asked, 5).collect()))
+    monkeypatch.setattr(retrieval, "MATRIX_NUMBERS", 0)
+    for name, value in (("MOST_TERMS", 20_000), ("TOKENS_AT_ONCE", 300), ("QUERIES_AT_ONCE", 4), ("COMMON_TERMS", 3), ("MOST_TERMS", 5)):
+        monkeypatch.setattr(retrieval, name, value)
+        scored = retrieval.scores(corpus_, asked, 5)
+        assert "Join" not in scored._jdf.queryExecution().toString()  # not a row for every pair of query and document that share a term
+        assert sorted(map(tuple, retrieval.ranked(scored, 5).collect())) == one
