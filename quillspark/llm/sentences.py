@@ -16,18 +16,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.sample import bounded_texts
 from quillspark.llm.unmarked import NGrams
-from quillspark.session import load, spread
+from quillspark.session import load
 
-#: Cells the model is fitted on: the first of them by a hash of their text.
-TRAIN_CELLS = 10_000
 ROUNDS = 12
 #: Words that are kept as themselves; others share a class by their shape.
 LEAST_COUNT = 4
@@ -50,6 +45,20 @@ OPENERS = re.compile(r"[\s“„«「『‘\"‹《(\[（【¿¡]*")
 TOKEN = re.compile(r"\S+")
 
 
+def stops(written: Counter, tokens: Counter, stopped: Counter) -> None:
+    """Adds counts of tokens as they are written to counts of them without marks, and of those with a stop after them."""
+    for x, n in written.items():
+        x = x.strip("“”„«»「」『』‘’\"‹›《》()[]（）【】¿¡,;:!?")
+        w = x.rstrip(".")
+        tokens[w] += n
+        if x.endswith("."):
+            stopped[w] += n
+        if "." in w:  # a stop inside a token: the part before it
+            at = w.rindex(".")
+            tokens[w[:at]] += n
+            stopped[w[:at]] += n
+
+
 class Place:
     """A candidate boundary: end of the sentence it would close, start of the next, the words on either side, words before."""
 
@@ -147,7 +156,7 @@ def places(text: str) -> list[Place]:
 
 
 class Model:
-    """Counts of events and words, smoothed; see the module's text."""
+    """Counts of events and words, smoothed; see the module's text. Over tables sentence_fit does what fit and posteriors do here."""
 
     def __init__(self) -> None:
         self.kept_before: set[str] = set()
@@ -232,16 +241,7 @@ class Model:
 
     def fit(self, cells: list[list[Place]], firsts: list[str], texts: list[str]) -> None:
         tokens, stopped = Counter(), Counter()
-        for t in texts:
-            for x in t.split():
-                x = x.strip("“”„«»「」『』‘’\"‹›《》()[]（）【】¿¡,;:!?")
-                w = x.rstrip(".")
-                tokens[w] += 1
-                stopped[w] += x.endswith(".")
-                if "." in w:  # a stop inside a token: the part before it
-                    at = w.rindex(".")
-                    tokens[w[:at]] += 1
-                    stopped[w[:at]] += 1
+        stops(Counter(x for t in texts for x in t.split()), tokens, stopped)
         self.stopped = {w for w, n in tokens.items() if stopped[w] >= 0.8 * n and (n >= 10 or (n > 1 and len(w) <= 3))}
         befores = Counter(p.before for c in cells for p in c)
         afters = Counter(p.after for c in cells for p in c) + Counter(firsts)
@@ -305,30 +305,6 @@ def first_word(text: str) -> str:
     return t.group().rstrip(",;:.!?") if t else ""
 
 
-def train(cells: DataFrame, most: int = TRAIN_CELLS) -> Model:
-    """A model fitted on at most that many cells of a column text: a bounded sample, the same for the same data."""
-    texts = bounded_texts(cells.select("text"), most)
-    model = Model()
-    model.fit([places(t) for t in texts] or [[Place(1, 1, ". .", "<end>", 9, True)]], [first_word(t) for t in texts], texts)
-    return model
-
-
-def _split(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(t, i, s, e) for t, i, x in zip(*(b.column(c).to_pylist() for c in ("rec_table", "rec_id", "text")), strict=True) for s, e in split(x, model)]
-            if rows:
-                t, i, s, e = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(i, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["rec_table", "rec_id", "char_start", "char_end"])
-
-    return run
-
-
-def sentence_spans(cells: DataFrame, model: Model) -> DataFrame:
-    """(rec_table, rec_id, char_start, char_end) of every sentence of cells (rec_table, rec_id, text); null texts have none."""
-    return spread(cells.select("rec_table", "rec_id", "text").where("text is not null")).mapInArrow(_split(model), "rec_table string, rec_id long, char_start int, char_end int")
-
-
 def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = None
     for table in TABLES:
@@ -342,16 +318,19 @@ def all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence of every cell."""
-    cells = all_cells(spark, sf_dir)
-    return sentence_spans(cells, train(cells))
+    from quillspark.llm.sentence_fit import fitted_spans
+
+    return fitted_spans(all_cells(spark, sf_dir))
 
 
 def p5_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As p5_found, with the number of the sentence in its cell and its text."""
     from pyspark.sql import Window
 
+    from quillspark.llm.sentence_fit import fitted_spans
+
     cells = all_cells(spark, sf_dir)
-    spans = sentence_spans(cells, train(cells)).dropDuplicates()
+    spans = fitted_spans(cells).dropDuplicates()
     number = F.row_number().over(Window.partitionBy("rec_table", "rec_id").orderBy("char_start"))
     text = F.expr("substring(text, char_start + 1, char_end - char_start)")
     return spans.withColumn("number", number).join(cells.dropDuplicates(["rec_table", "rec_id"]), ["rec_table", "rec_id"]).select("rec_table", "rec_id", "number", text.alias("sentence"))

@@ -2,8 +2,8 @@
 
 The events of marked text are decided in sentences.py. What is left without a mark for longer than sentences of the collection ever
 run has lost its punctuation. There an event stands between any two tokens (words; characters in scripts without spaces): the
-boundary token <s> is a word of a trigram model, estimated on the sentences that marks did tell apart, and a text is a sequence of
-sentences, each with the probability of its words, of its end after its last words, and of its length. Forward-backward
+boundary token <s> is a word of a trigram model, estimated on the sentences that marks did tell apart (a stretch that has lost its
+marks is none of them, nor evidence of how long sentences are), and a text is a sequence of sentences, each with the probability of its words, of its end after its last words, and of its length. Forward-backward
 posteriors over all segmentations decide.
 """
 
@@ -18,6 +18,7 @@ import numpy as np
 DENSE = "⺀-⿟぀-ヿ㐀-鿿豈-﫿가-힯"
 THAI_CLUSTER = "[เ-ไ]?[ก-ฮ][ะ-ูๅ็-๎]*"
 TOKEN = re.compile(rf"[{DENSE}]|{THAI_CLUSTER}|[^\W{DENSE}ก-๎]+(?:['’.-][^\W{DENSE}ก-๎]+)*")
+ASCII_TOKEN = re.compile(r"\w+(?:['.-]\w+)*", re.ASCII)
 SPACELESS = re.compile(rf"[{DENSE}ก-๎]")
 OPENING = "“„«「『‘\"‹《([（【¿¡"
 EDGE = "<s>"
@@ -31,18 +32,62 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text)]
 
 
+def count_tokens(text: str) -> int:
+    return len((ASCII_TOKEN if text.isascii() else TOKEN).findall(text))
+
+
+def words_of(text: str) -> list[str]:
+    return [text[a:z].lower() for a, z in tokens(text)]
+
+
+def grams(words: list[str]) -> tuple[zip, zip, zip]:
+    """Words, bigrams and trigrams of a sentence and its boundaries."""
+    seq = [EDGE, EDGE, *words, EDGE]
+    return zip(seq[2:]), zip(seq[1:], seq[2:], strict=False), zip(seq, seq[1:], seq[2:], strict=False)
+
+
+def needed(words: list[str]) -> set[tuple[str, ...]]:
+    """All grams that NGrams.boundaries may look up for a text of these words."""
+    out: set[tuple[str, ...]] = set()
+    for k, w in enumerate(words):
+        before, first = words[k - 1] if k else EDGE, words[k - 2] if k > 1 else EDGE
+        for g in ((first, before, w), (EDGE, EDGE, w), (before, w, EDGE), (EDGE, w, words[k + 1] if k + 1 < len(words) else EDGE)):
+            out.update((g, g[1:], g[2:]))
+    return out
+
+
+def fall(mean: float) -> float:
+    """Ratio of the probabilities of a length and the one before, past the longest: a tail that falls off within a mean length."""
+    return math.exp(-8.0 / mean)
+
+
+def with_marks(counts: np.ndarray) -> np.ndarray:
+    """Numbers of sentences by length, up to the first gap in the longest tenth that a tail of lengths can't cross.
+
+    What stands beyond the gap has lost its marks. Its own length must not count, or no stretch of the collection would be too long.
+    """
+    held = np.flatnonzero(counts)
+    if len(held) < 2:
+        return counts
+    below = np.cumsum(counts[held])
+    ratio = fall((counts[held] * held).sum() / below[-1])
+    gaps = np.flatnonzero((10 * below[:-1] >= 9 * below[-1]) & (ratio ** (np.diff(held) - 1.0) < LOST))
+    return counts[: held[gaps[0]] + 1] if len(gaps) else counts
+
+
 class Lengths:
-    """Lengths of sentences in tokens: a smoothed histogram with a geometric tail."""
+    """Lengths of sentences in tokens, from the number of them by length: a smoothed histogram with a geometric tail."""
 
-    def __init__(self, lengths: list[int]) -> None:
-        top = max(lengths, default=1)
-        h = np.bincount(lengths, minlength=top + 1).astype(float) if lengths else np.zeros(2)
+    def __init__(self, counts: np.ndarray) -> None:
+        counts = with_marks(counts)
+        n = int(counts.sum())
+        h = counts.astype(float) if n else np.zeros(2)
         width = np.ones(5) / 5
         p = np.convolve(h, width, mode="same") + 0.01
         p[0] = 0.0
-        self.p = p / p.sum() * (1 - 1 / (len(lengths) + 2))
-        self.fall = math.exp(-8.0 / (np.mean(lengths) if lengths else 10.0))  # a tail that falls off within a mean length
-        self.last = (1 / (len(lengths) + 2)) * (1 - self.fall)
+        self.p = p / p.sum() * (1 - 1 / (n + 2))
+        self.fall = fall((counts * np.arange(len(counts))).sum() / n if n else 10.0)
+        self.last = (1 / (n + 2)) * (1 - self.fall)
         self.limit = next(n for n in range(len(self.p), 1 << 20) if self.tail(n) < LOST)
 
     def tail(self, n: int) -> float:
@@ -63,25 +108,29 @@ class NGrams:
 
     def __init__(self, sentences: list[str]) -> None:
         one, two, three = Counter(), Counter(), Counter()
-        lengths: tuple[list[int], list[int]] = ([], [])
-        for s in sentences:
-            words = [s[a:z].lower() for a, z in tokens(s)]
-            if not words:
-                continue
-            lengths[bool(SPACELESS.search(s))].append(len(words))
-            seq = [EDGE, EDGE, *words, EDGE]
-            one.update(seq[2:])
-            two.update(zip(seq[1:], seq[2:], strict=False))
-            three.update(zip(seq, seq[1:], seq[2:], strict=False))
+        told = [(words, bool(SPACELESS.search(s))) for s in sentences if (words := words_of(s))]
+        self.lengths = tuple(Lengths(np.bincount([len(words) for words, x in told if x == spaceless], minlength=2)) for spaceless in (False, True))
+        for words, spaceless in told:
+            if len(words) < self.lengths[spaceless].limit:
+                ones, twos, threes = grams(words)
+                one.update(w for (w,) in ones)
+                two.update(twos)
+                three.update(threes)
         self.one, self.two, self.three = dict(one), dict(two), {k: n for k, n in three.items() if n >= LEAST_TRIGRAM}
         self.total, self.kinds = sum(one.values()), len(one) + 1
         self.after: dict = {}
-        for grams in (self.two, self.three):
-            for k, n in grams.items():
+        for counts in (self.two, self.three):
+            for k, n in counts.items():
                 h = k[:-1] if len(k) > 2 else k[0]
                 total, kinds = self.after.get(h, (0, 0))
                 self.after[h] = (total + n, kinds + 1)
-        self.lengths = tuple(map(Lengths, lengths))
+
+    @classmethod
+    def of(cls, one: dict, two: dict, three: dict, after: dict, total: int, kinds: int, lengths: tuple[Lengths, Lengths]) -> NGrams:
+        """The model by counts made elsewhere."""
+        self = cls([])
+        self.one, self.two, self.three, self.after, self.total, self.kinds, self.lengths = one, two, three, after, total, kinds, lengths
+        return self
 
     def p(self, w: str, before: str, first: str) -> float:
         """Probability of a word (or boundary) after two others."""
@@ -98,7 +147,7 @@ class NGrams:
 
     def boundaries(self, text: str) -> list[tuple[int, float]]:
         """Number of the token before each place, and the posterior of a boundary there."""
-        words = [text[a:z].lower() for a, z in tokens(text)]
+        words = words_of(text)
         n = len(words)
         lengths = self.lengths[bool(SPACELESS.search(text))]
         most = min(n, 3 * len(lengths.p))

@@ -10,7 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from quillspark.llm import bits, leaks, mixing, mojibake, names, radix_copies, scans, sentences, shared_keys, spans, term_bitmaps, unmarked, words
+from quillspark.llm import bits, leaks, mixing, mojibake, names, radix_copies, scans, sentence_fit, sentences, shared_keys, spans, term_bitmaps, unmarked, words
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 
@@ -335,6 +335,51 @@ def test_sentence_query_on_nulls_and_empty_tables(spark, tables):
     assert got == [("claim_sentences", 1, 0, 5000), ("source_sentences", 1, 0, 12), ("source_sentences", 1, 13, 26)]
 
 
+def _in_memory(cells):
+    model = sentences.Model()
+    model.fit([sentences.places(c) for c in cells], [sentences.first_word(c) for c in cells], cells)
+    return sorted((k, a, z) for k, c in enumerate(cells) for a, z in sentences.split(c, model))
+
+
+def _fitted(spark, cells, parts):
+    df = spark.createDataFrame([("t", k, c) for k, c in enumerate(cells)], "rec_table string, rec_id long, text string").repartition(parts)
+    return sorted((r["rec_id"], r["char_start"], r["char_end"]) for r in sentence_fit.fitted_spans(df).collect())
+
+
+def test_sentences_fitted_over_a_table_agree_with_the_model_in_memory(spark):
+    cells, _ = generated_cells(3, 400)
+    cells += ["平台稳定。引用描述！", "Το όριο σφάλμα; Νέα ροή.", "पुल सीमा। मंच है।", " \n Es ersetzt „Kein Beleg. Nur Entwurf!“ und Modell. Ende", "ข้อ 3.5 ก ข", "A", "..."] * 5
+    want = _in_memory(cells)
+    assert _fitted(spark, cells, 1) == want and _fitted(spark, cells, 7) == want
+
+
+def test_sentences_learn_from_every_cell(spark):
+    asked = [f"The pump of Ostrel. {x} holds the {y} valve." for x in ("Kim", "Lee", "Roy") for y in ("wide", "flat", "cold", "main")]
+    cells = [f"The {k} pumps hold." for k in range(20_000)] + asked
+    got = [s for s in _fitted(spark, cells, 4) if s[0] >= 20_000]
+    assert got == [(20_000 + k, 0, len(c)) for k, c in enumerate(asked)]  # 12 uses, always with a stop: an abbreviation
+
+
+@pytest.mark.parametrize("dense", [False, True, None])
+def test_text_without_marks_in_the_collection_is_split(spark, tables, dense):
+    space = "" if dense in (True, None) else " "
+    cells = [("" if dense else " ").join(_grammar(k, 3, dense)) for k in range(200)]
+    told = [s.rstrip(".。").lower() for s in _grammar(999, 40, dense)]
+    cells.append(space.join(told))
+    frames = {t: spark.createDataFrame([(k, c) for k, c in enumerate(cells) if t == "claim_sentences"], f"{sentences.IDS[t]} long, text string") for t in sentences.TABLES}
+    rows = sorted((r["rec_id"], r["char_start"], r["char_end"]) for r in sentences.p5_found(spark, tables(**frames)).collect())
+    assert rows == _in_memory(cells)
+    got = [cells[-1][a:z] for k, a, z in rows if k == 200]
+    assert len(set(enumerate(got)) & set(enumerate(told))) >= 0.9 * len(told)
+
+
+def test_lengths_beyond_a_gap_are_no_sentences():
+    counts = np.bincount([5] * 500 + [6] * 300 + [9] * 20 + [200, 210])
+    assert 9 < unmarked.Lengths(counts).limit <= 200
+    assert len(unmarked.with_marks(np.bincount([1] * 60 + [15, 20, 25, 30] * 10))) == 31  # two sorts of sentences
+    assert unmarked.count_tokens("It's 3.5-fold, v2") == len(unmarked.tokens("It's 3.5-fold, v2")) == 3 and unmarked.count_tokens("平台 a") == 3
+
+
 # ---------------------------------------------------------------- 6 scans
 
 STEMS = ["turbine", "network", "calibration", "sentence", "register", "machine", "schedule", "protocol", "abstract", "bridge", "window", "gateway", "library", "citation", "passage", "vector"]
